@@ -52,79 +52,104 @@ def most_clogc(bits: float) -> int:
     return math.floor(WINDOW * (math.log2(WINDOW) - bits) * 1_000_000)
 
 
-def _spans(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
-    """Spans of all matches, by the pieces that a split at them leaves; ``keep`` is an array of booleans."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(gaps, i - 1)) + F.length(F.get(found, i - 1))).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(
-                    F.lit(kind).alias("kind"),
-                    (acc["at"] + F.length(F.get(gaps, i - 1))).alias("s"),
-                    (acc["at"] + F.length(F.get(gaps, i - 1)) + F.length(F.get(found, i - 1))).alias("e"),
-                    F.lit(KINDS.index(kind)).alias("rank"),
-                )),
-            ).alias("out"),
-        ),
-    )["out"]
-    walk = walk if keep is None else F.filter(walk, lambda x, i: F.get(keep, i))
-    return F.when(F.size(found) > 0, walk).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+NONE = f"cast(array() as array<{SPAN}>)"
+
+
+def _cut(text: Column, pattern: str, name: str, unless: Column | None = None) -> list[Column]:
+    """Two columns: the matches of a pattern and the pieces of text around them. unless: no match where it is false."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    if unless is not None:
+        empty = F.expr("cast(array() as array<string>)")
+        found, gaps = F.when(unless, found).otherwise(empty), F.when(unless, gaps).otherwise(empty)
+    return [found.alias(f"{name}_found"), gaps.alias(f"{name}_gaps")]
+
+
+def _spans(name: str, kind: str) -> Column:
+    """Spans of all matches, from the columns of ``_cut``: the lengths add up to the positions."""
+    at = lambda column, i: F.length(F.get(F.col(column), i - 1))
 
+    def step(acc: Column, i: Column) -> Column:
+        s = acc["at"] + at(f"{name}_gaps", i)
+        e = s + at(f"{name}_found", i)
+        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("rank"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.size(f"{name}_found")), F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out")), step)["out"]
+    return F.when(F.size(f"{name}_found") > 0, walk).otherwise(F.expr(NONE))
 
-def _hot_windows(run: Column, start: Column, kind: str, bits: float) -> Column:
-    """Merged spans of the windows of ``run`` whose entropy reaches ``bits``."""
-    chars = F.split(run, "")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.get(chars, i)) - 1
+
+def _hot_windows(run: Column, kind: str, bits: float) -> Column:
+    """Merged spans of the windows of ``run`` (s: its start, codes: its characters' places in ALPHABET) whose entropy reaches ``bits``."""
     clogc = F.array(*[F.lit(x) for x in CLOGC])
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET))
 
     def step(acc: Column, i: Column) -> Column:
-        came, left = code(i), F.when(i >= WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
+        came = F.get(run["codes"], i)
+        left = F.when(i >= WINDOW, F.get(run["codes"], i - WINDOW)).otherwise(F.lit(-1))
         n_in = F.get(acc["counts"], came)
         n_out = F.when(left >= 0, F.get(acc["counts"], left))
         change = F.when(came == left, 0).otherwise(F.get(clogc, n_in + 1) - F.get(clogc, n_in) + F.coalesce(F.get(clogc, n_out - 1) - F.get(clogc, n_out), F.lit(0)))
         total = acc["total"] + change
-        s, e = (start + i - WINDOW + 1).cast("int"), (start + i + 1).cast("int")
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("rank"))
+        s, e = (run["s"] + i - WINDOW + 1).cast("int"), (run["s"] + i + 1).cast("int")
+        made = lambda start: F.array(F.struct(F.lit(kind).alias("kind"), start.alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("rank")))
         last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(F.lit(kind).alias("kind"), last["s"].alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("rank"))))
-        out = F.when((i < WINDOW - 1) | (total > most_clogc(bits)), acc["out"]).when((F.size(acc["out"]) > 0) & (last["e"] >= s), grown).otherwise(F.concat(acc["out"], F.array(span)))
+        longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), made(last["s"]))
+        out = F.when((i < WINDOW - 1) | (total > most_clogc(bits)), acc["out"]).when((F.size(acc["out"]) > 0) & (last["e"] >= s), longer).otherwise(F.concat(acc["out"], made(s)))
         counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when(k == left, 1).otherwise(0))
         return F.struct(counts.alias("counts"), total.alias("total"), out.alias("out"))
 
-    first = F.struct(zeros.alias("counts"), F.lit(0).alias("total"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), first, step)["out"]
+    first = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("total"), F.expr(NONE).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(run["codes"]) - 1), first, step)["out"]
+
+
+def _by_start(spans: Column) -> Column:
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    return F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank")))
+
+
+def _inside(x: Column, spans: str) -> Column:
+    return F.exists(spans, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+
+
+def _outside(known: tuple[str, ...]):
+    def test(x: Column) -> Column:
+        out = F.lit(True)
+        for spans in known:
+            out = out & ~_inside(x, spans)
+        return out
+
+    return test
+
+
+def _windows_of(kind: str, bits: float):
+    return lambda run: _hot_windows(run, kind, bits)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, base and added: arrays of spans (kind, s, e, rank) by start, then kind."""
+    """doc_id, the columns of ``keep``, base, added and spans (both): arrays of (kind, s, e, rank) by start, then kind."""
+    text = F.col("_t")
     t = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    values = F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2))
-    base = t.select(
+    # each step reads columns of the step before, as an expression inside a lambda would be evaluated for each element
+    t = t.select(
         "*",
-        _spans(F.col("_t"), ASSIGN, "assign", F.transform(values, lambda v: F.length(v) >= ASSIGN_LEAST)).alias("_assign"),
-        F.when(F.contains("_t", F.lit("AKIA")), _spans(F.col("_t"), ACCESS, "access")).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")).alias("_access"),
-        _spans(F.col("_t"), HEX, "hex").alias("_hex"),
-        *[_spans(F.col("_t"), f"[{chars}]{{{WINDOW},}}", kind).alias(f"_{kind}") for kind, chars, _ in CLASSES],
-    )
-    by_start = lambda a: F.transform(F.sort_array(F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank")))
-    base = base.withColumn("base", by_start(F.concat("_assign", "_access", "_hex")))
-    inside = lambda x, spans: F.exists(spans, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
-
-    def hot(kind: str, bits: float) -> Column:
-        run = lambda x: F.substring(F.col("_t"), x["s"] + 1, x["e"] - x["s"])
-        suspects = F.filter(f"_{kind}", lambda x: ~inside(x, F.col("base")) & run(x).rlike(MIXED) & ~run(x).rlike(ALLOW))
-        return F.flatten(F.transform(suspects, lambda x: _hot_windows(run(x), x["s"], kind, bits)))
-
-    (first, _, first_bits), (second, _, second_bits) = CLASSES
-    added = base.withColumn("_first", F.when(F.size(f"_{first}") > 0, F.filter(hot(first, first_bits), lambda x: ~inside(x, F.col("base")))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
-    added = added.withColumn("_second", F.when(F.size(f"_{second}") > 0, F.filter(hot(second, second_bits), lambda x: ~inside(x, F.col("base")) & ~inside(x, F.col("_first")))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
-    return added.select("doc_id", *keep, "base", by_start(F.concat("_first", "_second")).alias("added"), by_start(F.concat("base", "_first", "_second")).alias("spans"))
+        *_cut(text, ASSIGN, "assign"),
+        F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)).alias("assign_values"),
+        *_cut(text, ACCESS, "access", F.contains(text, F.lit("AKIA"))),
+        *_cut(text, HEX, "hex"),
+        *[c for kind, chars, _ in CLASSES for c in _cut(text, f"[{chars}]{{{WINDOW},}}", kind)],
+    )
+    t = t.select("doc_id", *keep, "assign_values", _spans("assign", "assign").alias("assign"), _spans("access", "access").alias("access"), _spans("hex", "hex").alias("hex"), *[c for kind, _, _ in CLASSES for c in (_spans(kind, kind).alias(kind), F.col(f"{kind}_found"))])
+    fit = F.filter("assign", lambda x, i: F.length(F.get("assign_values", i)) >= ASSIGN_LEAST)
+    t = t.select("*", _by_start(F.concat(fit, "access", "hex")).alias("base"))
+    for kind, _, _ in CLASSES:
+        suspects = F.filter(F.arrays_zip(F.col(kind).alias("at"), F.col(f"{kind}_found").alias("run")), lambda x: x["run"].rlike(MIXED) & ~x["run"].rlike(ALLOW) & ~_inside(x["at"], "base"))
+        t = t.withColumn(f"{kind}_runs", F.transform(suspects, lambda x: F.struct(x["at"]["s"].alias("s"), F.transform(F.split(x["run"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("codes"))))
+    added = ["base"]
+    for kind, _, bits in CLASSES:
+        hot = F.flatten(F.transform(f"{kind}_runs", _windows_of(kind, bits)))
+        t = t.withColumn(f"{kind}_hot", F.when(F.size(f"{kind}_runs") > 0, hot).otherwise(F.expr(NONE)))
+        t = t.withColumn(f"{kind}_new", F.filter(f"{kind}_hot", _outside(tuple(added))))
+        added.append(f"{kind}_new")
+    return t.select("doc_id", *keep, "base", _by_start(F.concat(*added[1:])).alias("added"), _by_start(F.concat(*added)).alias("spans"))
 
 
 def joined(spans: Column | str) -> Column:
@@ -134,8 +159,9 @@ def joined(spans: Column | str) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each stretch of overlapping spans replaced by ``[secret]``; texts without spans stay as they are."""
-    found = scan(docs, id_col=docs.columns[0], text_col=text_col, keep=tuple(F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)))
-    text = F.col(f"_in_{docs.columns.index(text_col)}")
+    names = [f"_in_{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with the scan's
+    found = scan(docs.toDF(*names), id_col=names[0], text_col=names[docs.columns.index(text_col)], keep=tuple(names))
+    text = F.col(names[docs.columns.index(text_col)])
     cut = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
