@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, secrets
+from tidemark.llm import language, media, mixing, packing, quality, secrets, simhash, substrings, token_counts, token_files
 from tidemark.llm.common import documents, prepare
 
+#: The vocabulary files that the queries use.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under the unigram model of the byte-level vocabulary."""
+    return token_counts.token_counts(documents(spark, sf_dir), RANKS)
+
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: contract columns plus the number of spans that the entropy detector adds."""
@@ -18,6 +29,25 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return token_files.read_documents(token_files.write_shards(docs, WORD_BPE), dict(docs.dtypes)["doc_id"])
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(documents(spark, sf_dir), with_text=False).drop("spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(quality.counts(documents(spark, sf_dir)))
 
@@ -28,6 +58,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orderBy(F.col("position").asc_nulls_last())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    known = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.classify(docs, known, keep=("doc_id",))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), BYTE_BPE)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (op1_token_counts, op2_secret_scan, op3_simhash, op4_media_columns, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_mixing, op9_language_id, op10_packing, pipeline)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries, each with Python workers made ready first."""
 
@@ -38,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: ready(f) for f in (op2_secret_scan, op7_quality_rules, op8_mixing)}
+    return {f.__name__: ready(f) for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
