@@ -55,7 +55,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, range-sorted by training position (documents that it leaves out last)."""
     plan = mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", "again_position")
-    return plan.orderBy(F.col("position").asc_nulls_last())
+    return plan.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

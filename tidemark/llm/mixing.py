@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, WORD, n_words, row_keys, running_sum, written
+from tidemark.llm.common import GAP, WORD, n_words, numbered, row_keys, running_sum, written
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -118,18 +118,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = plan.select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("position").alias("_position"), F.col("again_position").alias("_again"))
     # rows of the same id and text are alike but for where the target ends: each keeps a plan of its own
     plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy("_p1", "_p2").orderBy("_taken", "_position")))
-    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    rows = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
+    rows, name = numbered(docs)
+    text = F.col(name[text_col])
+    k1, k2 = row_keys(F.col(name[id_col]), text)
+    rows = rows.select("*", k1.alias("_k1"), k2.alias("_k2"))
     rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))))
     # the difference, as an equality of columns would have the texts shuffled a second time
     kept = rows.join(plan, (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")) & (F.col("_m") - F.col("_n") == 0))
     passes = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1), lambda p: F.struct(p.alias("p"), F.least(F.col("_size"), F.col("_taken") - p * F.col("_size")).alias("words")))
     kept = kept.withColumn("_pass", F.explode(passes))
-    pieces = F.regexp_extract_all(text_col, F.lit(GAP[:-1] + "*" + WORD), F.lit(0))
-    cut = F.when(F.col("_pass.words") < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_pass.words").cast("int")), "")).otherwise(F.col(text_col))
+    pieces = F.regexp_extract_all(text, F.lit(GAP[:-1] + "*" + WORD), F.lit(0))
+    cut = F.when(F.col("_pass.words") < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_pass.words").cast("int")), "")).otherwise(text)
     place = F.when(F.col("_pass.p") == 0, F.col("_position")).otherwise(F.col("_again"))
-    kept = kept.withColumn("_place", place).withColumn(text_col, cut)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    kept = kept.withColumn("_place", place).withColumn("_text", cut)
+    new = {text_col: F.col("_text"), "n_chars": F.length("_text")}
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return kept.repartitionByRange(n, "_place").sortWithinPartitions("_place", "_k1").select(*docs.columns)
+    ranged = kept.repartitionByRange(n, "_place", "_k1").sortWithinPartitions("_place", "_k1")
+    return ranged.select(*[new.get(c, F.col(old)).cast(docs.schema[c].dataType).alias(c) for c, old in name.items()])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_keys, written
+from tidemark.llm.common import numbered, row_keys, written
 from tidemark.llm.graph import component_roots
 
 BITS = 4
@@ -243,6 +243,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one document of each component: the one with the smallest id, once if its row repeats."""
     found = near_duplicates(docs, id_col, text_col, shingle)
     heads = found.filter("k1 = first_k1 and k2 = first_k2").select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct()
-    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    kept = docs.select("*", k1.alias("_k1"), k2.alias("_k2")).join(heads, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    rows, name = numbered(docs)
+    k1, k2 = row_keys(F.col(name[id_col]), F.col(name[text_col]))
+    kept = rows.select("*", k1.alias("_k1"), k2.alias("_k2")).join(heads, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*[F.col(n).alias(c) for c, n in name.items()])
