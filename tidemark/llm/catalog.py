@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, media, mixing, packing, quality, secrets, simhash, substrings, token_counts, token_files
+from tidemark.llm import language, media, mixing, oracles, packing, quality, secrets, simhash, substrings, token_counts, token_files
 from tidemark.llm.common import documents, prepare
 
 #: The vocabulary files that the queries use.
@@ -54,7 +54,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, range-sorted by training position (documents that it leaves out last)."""
-    plan = mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", "again_position")
+    plan = mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.round("again_position", 9).alias("again_position"))
     return plan.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

@@ -76,15 +76,15 @@ def row_keys(id_col: Column, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), id_col, F.isnull(id_col), text, F.isnull(text)).alias(f"k{i}") for i in (1, 2)]
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, into: str, bucket_bits: int = 10) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, into: str, bucket_bits: int = 10, hash_bits: int = 64) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group``, for groups of any size.
 
-    ``order[0]`` must be a uniform 64-bit hash. Rows are cut into ``2**bucket_bits`` ranges of that
+    ``order[0]`` must be a uniform hash of ``hash_bits`` bits (64: signed). Rows are cut into ``2**bucket_bits`` ranges of that
     hash; each range is summed on its own and range totals (at most ``2**bucket_bits`` a group) are
     summed above them, so that no task holds a whole group.
     """
     bucket = "_bucket"
-    cut = df.withColumn(bucket, F.shiftright(order[0], 64 - bucket_bits))
+    cut = df.withColumn(bucket, F.shiftright(order[0], hash_bits - bucket_bits))
     totals = cut.groupBy(*group, bucket).agg(F.sum(value).alias("_total"))
     above = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1) if group else Window.partitionBy(F.lit(0)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(bucket).alias("_b"), F.coalesce(F.sum("_total").over(above), F.lit(0)).alias("_base"))

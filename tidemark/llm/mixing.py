@@ -20,7 +20,7 @@ table gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import GAP, WORD, n_words, numbered, row_keys, running_sum, written
@@ -72,6 +72,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, slop
     )
 
 
+def order_hash(id_col: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text, by which a source's documents are ordered; any engine can compute them."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", id_col.cast("string"), text)), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
     """One row a document: doc_id, k1, k2, source, size, source_size, target, taken, position, again_position.
 
@@ -80,10 +85,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is at most ``ceil(target / source_size)`` times the size. ``again_position`` is where the second
     pass over the document begins, null if there is none.
     """
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *row_keys(F.col(id_col), F.col(text_col)), n_words(F.col(text_col)).alias("size"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *row_keys(F.col(id_col), F.col(text_col)), n_words(F.col(text_col)).alias("size"), order_hash(F.col(id_col), F.col(text_col)).alias("h"))
     sizes = written(sizes, "mix-sizes")
     of = source_targets(sizes, **targets).withColumnRenamed("source", "_source")
-    placed = running_sum(sizes, ["source"], ["k1", "k2", "size"], "size", "_start")
+    placed = running_sum(sizes, ["source"], ["h", "k1", "k2", "size"], "size", "_start", hash_bits=60)
     joined = placed.join(F.broadcast(of) if len(of.take(MAX_BROADCAST + 1)) <= MAX_BROADCAST else of, F.col("source").eqNullSafe(F.col("_source")))
     want = F.round("target").cast("long")
     # words of this document among the first `want` words of its endlessly repeated source

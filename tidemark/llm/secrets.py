@@ -36,8 +36,8 @@ CLASSES = (
     ("entropy_alnum", "A-Za-z0-9", 4.0),
     ("entropy_base64", "A-Za-z0-9+/=_-", 4.15),
 )
-#: Candidates with one of these are no secrets: placeholders, alphabets in order, paths of words.
-ALLOW = r"(?:EXAMPLE|[eE]xample|[pP]laceholder|[cC]hange[mM]e|[dD]ummy|[xX]{8}|abcdefghij|ABCDEFGHIJ|0123456789|^(?:[/_=+-]?[a-z]+)+$|^(?:[/_=+-]?[A-Z]+)+$|^(?:[/_=+-]?[A-Z]?[a-z]+)+$)"
+#: Candidates with one of these are no secrets: placeholders, alphabets in order, paths of words with numbers after them.
+ALLOW = r"(?:EXAMPLE|[eE]xample|[pP]laceholder|[cC]hange[mM]e|[dD]ummy|[xX]{8}|abcdefghij|ABCDEFGHIJ|0123456789|^[/_=+-]*[A-Za-z]?[a-z]*[0-9]{0,4}(?:[/_=+-]+[A-Za-z]?[a-z]*[0-9]{0,4})*$)"
 #: A candidate must hold a digit and a letter.
 MIXED = r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]"
 
