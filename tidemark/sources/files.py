@@ -128,8 +128,11 @@ def bullets(rows: DataFrame, most: int = 8) -> DataFrame:
 
 def tail(rows: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` lines that are not blank, each at most 200 characters."""
-    last = rows.filter(F.trim("line") != "").orderBy(F.desc("ord")).limit(n)
-    return last.select("ord", F.when(F.length("line") > 200, F.concat(F.substring("line", 1, 200), F.lit("…"))).otherwise(F.col("line")).alias("line"))
+    return rows.filter(F.trim("line") != "").orderBy(F.desc("ord")).limit(n).select("ord", tail_text().alias("line"))
+
+
+def tail_text() -> Column:
+    return F.when(F.length("line") > 200, F.concat(F.substring("line", 1, 200), F.lit("…"))).otherwise(F.col("line"))
 
 
 def read_registry(spark: SparkSession, path: str, default: dict | None = None) -> dict:
