@@ -11,15 +11,30 @@ The strings of special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-#: Pieces that a worker's table holds before it starts anew.
-MOST_PIECES = 300_000
+#: Pieces that a worker's table takes in before it drops those not used since it last did.
+MOST_PIECES = 600_000
 #: Latin letters: their lower case goes letter by letter and they are in composed form.
 LATIN = "ɐ"
 PUNCTUATION = frozenset(".,;:!?")
 
 
+#: A text with such white space is not cut before its spaces.
+ODD = re.compile(r"\s\s|[^\S \n]")
+#: Every text that ODD finds something in has one of these: pairs of white space, other ASCII space, the starts of other space.
+SIGNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
+def spaced_pieces(text: bytes) -> list[bytes] | None:
+    """The text cut before each space, where pre-tokens that hold the space before them never span a cut; else null."""
+    if any(sign in text for sign in SIGNS) and ODD.search(text.decode(errors="replace")):
+        return None
+    first, *rest = text.split(b" ")
+    return [first] * bool(first) + [b" " + x for x in rest]
+
+
 @lru_cache(maxsize=1)
 def byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write bytes with: printable ones for themselves, then from U+0100 on."""
@@ -29,6 +44,8 @@ def byte_letters() -> dict[int, str]:
 
 
 def byte_level(s: str) -> str:
+    if s.isascii() and s.isprintable():  # of these only the space has another letter
+        return s.replace(" ", "Ġ")
     return s.encode().decode("latin-1").translate(byte_letters())
 
 
@@ -47,33 +64,45 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.make(piece.decode(errors="replace"))
+            if len(piece) > 200 or b"\n" in piece:  # rarely seen again
+                return ids
         if len(self) >= MOST_PIECES:
+            self.before = dict(self)
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.ids(piece.decode()))
-        if len(piece) <= 200:
-            self[piece] = ids
+        self[piece] = ids
         return ids
 
-    def ids(self, piece: str) -> list[int]:
+    def make(self, piece: str) -> bytes:
         raise NotImplementedError
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def one(self, word: str) -> list[int]:
+    def one(self, word: str) -> bytes:
         """Of a word that the tokenizer does not cut further."""
-        return [t.id for t in self.model.tokenize(byte_level(word))]
+        return as_bytes([t.id for t in self.model.tokenize(byte_level(word))])
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class LowerWordPieces(_Pieces):
     """For a tokenizer that lower-cases, drops white space and marks word ends."""
 
-    def ids(self, piece: str) -> list[int]:
-        core = piece[:-1] if piece[-1] in PUNCTUATION else piece
-        if core.isalpha() and max(core) < LATIN and "İ" not in core:
-            return self.one(core.lower()) + (self.one(piece[-1]) if core is not piece else [])
+    def make(self, piece: str) -> bytes:
+        if max(piece) < LATIN and "İ" not in piece:
+            if piece.isalpha():
+                low = piece.lower()
+                return self.one(low) if low == piece else self[low.encode()]
+            if piece[-1] in PUNCTUATION and piece[:-1].isalpha():  # the tokenizer cuts there
+                return self[piece[:-1].encode()] + self[piece[-1].encode()]
         return self.whole(piece)
 
     def encode(self, text: bytes) -> bytes:
@@ -83,24 +112,22 @@ class LowerWordPieces(_Pieces):
 class SpacedPieces(_Pieces):
     """For a byte-level tokenizer that joins a single space to the word after it."""
 
-    ODD = re.compile(r"\s\s|[^\S \n]")
-
-    def ids(self, piece: str) -> list[int]:
+    def make(self, piece: str) -> bytes:
         if "\n" in piece and len(piece) > 1:
             head, line, tail = piece.partition("\n")
-            return [i for part in (head, line, tail) if part for i in self.ids(part)]
-        core = piece[:-1] if piece[-1] in PUNCTUATION else piece
-        if core.removeprefix(" ").isalpha() and max(core) < LATIN:
-            return self.one(core) + (self.one(piece[-1]) if core is not piece else [])
+            return b"".join(self[part.encode()] for part in (head, line, tail) if part)
+        if max(piece) < LATIN:
+            if piece.removeprefix(" ").isalpha():
+                return self.one(piece)
+            if piece[-1] in PUNCTUATION and piece[:-1].removeprefix(" ").isalpha():  # the tokenizer cuts there
+                return self[piece[:-1].encode()] + self[piece[-1].encode()]
         return self.whole(piece)
 
     def encode(self, text: bytes) -> bytes:
         if not text:
             return b""
-        if self.ODD.search(as_text := text.decode()):
-            return b"".join(i.to_bytes(4, "little") for i in self.whole(as_text))
-        first, *rest = text.split(b" ")
-        return (self[first] if first else b"") + b"".join(map(self.__getitem__, [b" " + x for x in rest]))
+        pieces = spaced_pieces(text)
+        return self.whole(text.decode(errors="replace")) if pieces is None else b"".join(map(self.__getitem__, pieces))
 
 
 KINDS = {"lower_words": LowerWordPieces, "spaced_words": SpacedPieces}

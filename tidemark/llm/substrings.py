@@ -215,7 +215,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_removed.append(len(words) - len(left))
                 digests.append(hashlib.sha256(data).hexdigest())
                 spans.append([{"start": s, "end": e} for s, e in own])
-                kept.append(data.decode())
+                kept.append(data.decode(errors="replace"))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, span)] + [pa.array(kept, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * with_text])
