@@ -18,7 +18,6 @@ gives no shard and an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
