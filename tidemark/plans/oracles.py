@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.functions import classify as C
 from tidemark.functions import text as X
 from tidemark.operators import context, sessions
-from tidemark.plans.queries import EXCERPT_QUERY, JOT_TS, QUERY, SCOPE, TRIGGER
+from tidemark.plans.queries import EXCERPT_QUERY, JOT_TS, QUERY, SCOPE
 
 
 def lit(s: str) -> str:
