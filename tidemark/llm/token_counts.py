@@ -30,8 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.encoders import spaced_pieces
+
 #: Nodes that a trie holds before it starts anew.
 MOST_NODES = 400_000
+#: Stretches between spaces whose counts are kept before they are dropped.
+MOST_PIECES = 300_000
 #: Pre-tokens over so many bytes are not stored.
 LONG = 256
 #: Fixed value: the pre-token pattern of the vocabulary.
@@ -105,17 +109,36 @@ class Counts(dict):
         return scores[-1][1]
 
 
+class Pieces(dict):
+    """A stretch of text from one space to the next -> its numbers of pre-tokens (high 32 bits) and of tokens (low 32 bits)."""
+
+    def __init__(self, counts: Counts):
+        super().__init__()
+        self.counts, self.find = counts, regex.compile(PATTERN).findall
+
+    def __missing__(self, piece: bytes) -> int:
+        if len(self) >= MOST_PIECES:
+            self.clear()
+        n = self[piece] = self.count(piece.decode(errors="replace"))
+        return n
+
+    def count(self, text: str) -> int:
+        found = self.find(text)
+        return len(found) << 32 | sum(map(self.counts.__getitem__, found))
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
     """doc_id, n_bytes, n_pretokens, n_tokens (longs) of each document."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, find = Counts(*costs_of(vocabulary), most_nodes), regex.compile(PATTERN).findall
+        pieces = Pieces(Counts(*costs_of(vocabulary), most_nodes))
         for b in batches:
             out = []
             for t in b.column("t").to_pylist():
-                tokens = find(t or "")
-                out.append((len((t or "").encode()), len(tokens), sum(map(counts.__getitem__, tokens))))
+                cut = spaced_pieces(t or b"")
+                both = pieces.count(t.decode(errors="replace")) if cut is None else sum(map(pieces.__getitem__, cut))
+                out.append((len(t or b""), both >> 32, both & 0xFFFFFFFF))
             columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
