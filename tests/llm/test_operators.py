@@ -358,7 +358,7 @@ def test_quality(case):
         base = n < 50 or 100 * rep > 50 * n
         kept = not (base or 10 * symbols > 3 * n or chars < 2 * n or chars > 15 * n or 2 * dup > lines)
         expected.append((r["doc_id"], n, chars, symbols, lines, dup, rep, base, kept))
-    assert multiset(map(tuple, quality.judged(quality.counts(df)).collect())) == multiset(expected)
+    assert multiset(map(tuple, quality.judged(df).collect())) == multiset(expected)
 
 
 def test_cascade_order(table):
@@ -470,7 +470,7 @@ def test_empty_tables(empty):
     assert media.media_columns(empty).count() == 0
     assert token_files.read_documents(token_files.write_shards(empty, WORD_BPE)).count() == 0
     assert substrings.deduplicated(empty).count() == 0
-    assert quality.judged(quality.counts(empty)).count() == 0
+    assert quality.judged(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     assert language.learn(empty) == {} and language.classify(empty, {}).count() == 0
     assert packing.pack(empty, BYTE_BPE).count() == 0

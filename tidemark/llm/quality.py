@@ -84,9 +84,9 @@ RULES = (
 BASE = ("few_words", "repeats")
 
 
-def plan_cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """The rules by rejections per second on the first ``sample_rows`` rows found, with rejections and seconds."""
-    sample = df.limit(sample_rows).persist()
+def plan_cascade(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[dict]:
+    """The rules by rejections per second on ``sample``, a few rows, with rejections and seconds."""
+    sample = sample.persist()
     try:
         n = max(1, sample.count())
         found = []
@@ -108,11 +108,12 @@ def cascade(order: list[Rule]) -> Column:
     return out
 
 
-def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``df`` with base_failed and kept. ``df`` has the columns of ``counts``, or what ``rules`` name."""
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The columns of ``counts`` with base_failed and kept. Only the sample's rows are counted to order the rules."""
+    df = counts(docs, id_col, text_col)
     base = F.lit(False)
     for rule in rules:
         if rule.name in BASE:
             base = base | F.expr(f"coalesce({rule.rejects}, true)")
-    order = [x["rule"] for x in plan_cascade(df, rules, sample_rows)]
+    order = [x["rule"] for x in plan_cascade(counts(docs.limit(sample_rows), id_col, text_col), rules)]
     return df.select("*", base.alias("base_failed"), cascade(order).alias("kept"))
