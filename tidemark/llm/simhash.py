@@ -24,7 +24,7 @@ than none); an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -230,9 +230,14 @@ def links(fps: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """doc_id, k1, k2, fp (signed long), component_id and first_k1: the smallest id of the component and the k1 of a row that has it."""
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return grouped(rows, lambda nodes: links(nodes, most_in_bucket))
+
+
+def grouped(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, k1, k2, fp) with component_id, first_k1 and first_k2, by the links of their distinct fp."""
     lowest = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("k1").alias("k1"), F.col("k2").alias("k2"))
     nodes = written(rows.groupBy("fp").agg(F.min(lowest).alias("low")), "nodes")
-    roots = component_roots(links(nodes.select("fp"), most_in_bucket))
+    roots = component_roots(links_of(nodes.select("fp")))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("low").alias("head"))
     placed = placed.select("fp", "root").join(heads, "root").select(F.col("fp").alias("_fp"), F.col("head.id").alias("component_id"), F.col("head.k1").alias("first_k1"), F.col("head.k2").alias("first_k2"))
@@ -241,7 +246,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, once if its row repeats."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
+    return firsts(docs, near_duplicates(docs, id_col, text_col, shingle), id_col, text_col)
+
+
+def firsts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are first in their component of ``found``."""
     heads = found.filter("k1 = first_k1 and k2 = first_k2").select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct()
     rows, name = numbered(docs)
     k1, k2 = row_keys(F.col(name[id_col]), F.col(name[text_col]))
