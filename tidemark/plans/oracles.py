@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.functions import classify as C
 from tidemark.functions import text as X
 from tidemark.operators import context, sessions
-from tidemark.plans.queries import EXCERPT_QUERY, JOT_TS, QUERY, SCOPE
+from tidemark.plans.queries import EXCERPT_QUERY, HYBRID_QUERY, JOT_TS, QUERY, SCOPE
 
 
 def lit(s: str) -> str:
@@ -99,6 +99,24 @@ keys AS (SELECT coalesce(lex.node_id, vec.node_id) AS node_id, lex.node_id IS NO
 SELECT node_id, project_id, round(score, 9) AS score FROM (SELECT c.node_id, c.project_id, coalesce(v, 0.0) + CASE WHEN l THEN 0.05 ELSE 0.0 END + {bonus} - CASE WHEN source_path IS NOT NULL THEN 0.0 ELSE 0.2 END AS score FROM keys JOIN chunks c USING (node_id)) ORDER BY score DESC, project_id DESC, node_id DESC LIMIT 12"""
 
 
+def hybrid_search(scope: str | None) -> str:
+    where = f"WHERE project_id = '{scope}'" if scope else ""
+    bonus = 0.1 if scope else 0.0
+    return f"""WITH {CHUNKS}, vec AS (SELECT node_id, {COSINE} AS v FROM chunks, q {where} ORDER BY v DESC, node_id LIMIT 20),
+within AS (SELECT c.node_id, {tokens('d.text')} AS ts FROM (SELECT * FROM chunks {where}) c JOIN documents d ON d.doc_id = c.vec_id), asked AS (SELECT DISTINCT unnest({tokens(lit(HYBRID_QUERY))}) AS token),
+stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM within), tf AS (SELECT node_id, dl, token, count(*) AS tf FROM (SELECT node_id, len(ts) AS dl, unnest(ts) AS token FROM within) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+lex AS (SELECT node_id FROM tf JOIN asked USING (token) JOIN df USING (token), stats GROUP BY node_id HAVING count(*) = (SELECT count(*) FROM asked)
+  ORDER BY round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) DESC, node_id LIMIT 50),
+keys AS (SELECT coalesce(lex.node_id, vec.node_id) AS node_id, lex.node_id IS NOT NULL AS l, v FROM lex FULL JOIN vec ON lex.node_id = vec.node_id)
+SELECT node_id, project_id, round(score, 9) AS score FROM (SELECT c.node_id, c.project_id, coalesce(v, 0.0) + CASE WHEN l THEN 0.05 ELSE 0.0 END + {bonus} - CASE WHEN source_path IS NOT NULL THEN 0.0 ELSE 0.2 END AS score FROM keys JOIN chunks c USING (node_id)) ORDER BY score DESC, project_id DESC, node_id DESC LIMIT 12"""
+
+
+def vector_search(scope: str | None) -> str:
+    where = f"WHERE project_id = '{scope}'" if scope else ""
+    return f"""WITH {CHUNKS}, asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), scored AS (SELECT query_id, node_id, project_id, {COSINE} AS s FROM chunks, asked {where})
+SELECT query_id, node_id, project_id, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS rank FROM scored) WHERE rank <= 20"""
+
+
 def named(pairs, x: str) -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches({x}, {lit(p)}) THEN {lit(n)} END" for n, p in pairs)
     return f"list_filter([{cases}], lambda v: v IS NOT NULL)"
@@ -186,6 +204,10 @@ w AS (SELECT vec_id, e, s, list_transform(e, lambda x: greatest(-127, least(127,
 SELECT vec_id, CAST(list_sum(qv) AS BIGINT) AS q_sum, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - d[i]) * (e[i] - d[i]))) / len(e), 12) AS mse, round(list_inner_product(e, d) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(d, d))), 9) AS cosine FROM d""",
     "hybrid_rerank": hybrid("p3"),
     "hybrid_rerank_global": hybrid(None),
+    "hybrid_search": hybrid_search("p3"),
+    "hybrid_search_global": hybrid_search(None),
+    "vector_search_exact": vector_search(None),
+    "vector_search_scoped": vector_search("p3"),
     "bm25_topk": f"""WITH {NODES}, queries AS ({PROBES}), terms AS (SELECT DISTINCT query_id, unnest({tokens('query')}) AS token FROM queries),
 docs AS (SELECT id AS node_id, {tokens('text')} AS ts FROM nodes), stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
 tf AS (SELECT node_id, dl, token, count(*) AS tf FROM (SELECT node_id, len(ts) AS dl, unnest(ts) AS token FROM docs) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),

@@ -22,6 +22,7 @@ TODAY = "2025-01-01"
 JOT_TS = "2024-06-01T00:00:00+00:00"
 EXCERPT_QUERY = "the thing"
 TRIGGER = "please rotate the password"
+HYBRID_QUERY = "the ing"
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -190,6 +191,28 @@ def temporal_decay_rank(spark, sf):
 
 @query
 def hierarchical_merge(spark, sf):
+def _hybrid_search(spark, sf, scope):
+    """The hybrid search with its lexical half: texts of the vectors (documents of the same id) that hold all query tokens, by BM25."""
+    chunks, i = _chunks_with_source(spark, sf)
+    within = chunks if scope is None else chunks.filter(F.col("project_id") == scope)
+    texts = adapters.table(spark, sf, "documents").select(F.concat(F.lit("vec:"), F.col("doc_id").cast("string")).alias("node_id"), "text")
+    named = within.select("node_id", "chunk_id").join(texts, "node_id")
+    found = lexical.bm25(named.select(F.col("node_id").alias("id"), "text"), spark.range(1).select(F.col("id").alias("query_id"), F.lit(HYBRID_QUERY).alias("query")), 50, all_terms=True)
+    lex = named.join(found.select("node_id"), "node_id", "left_semi")
+    vec = recall.vector_topk(chunks, query_vector(spark, sf), 20, scope)
+    return recall.reranked(lex, vec, chunks.drop("embedding"), scope, 12).select("node_id", "project_id", F.round("score", 9).alias("score"))
+
+
+@query
+def hybrid_search(spark, sf):
+    return _hybrid_search(spark, sf, "p3")
+
+
+@query
+def hybrid_search_global(spark, sf):
+    return _hybrid_search(spark, sf, None)
+
+
     hits = _scored_hits(spark, sf)
     out = recall.hierarchical(hits.filter("node_type in ('decision', 'incident') and project_id = 'src3'"), hits, now=now())
     return out.select("node_id", "stage", F.round("score", 9).alias("score"))
