@@ -66,6 +66,15 @@ def vector_topk(chunks: DataFrame, query: list[float] | Column, k: int = 20, sco
     return rows.withColumn("score", V.cosine(F.col("embedding"), q)).orderBy(F.desc("score"), "node_id", "chunk_id").limit(k)
 
 
+def vector_topk_of_each(chunks: DataFrame, queries: DataFrame, k: int = 20, scope: str | None = None, on: Column | None = None) -> DataFrame:
+    """``vector_topk`` for each of ``queries`` (query_id, q): their product with all chunks, or with those of ``on``; ranked before any shuffle."""
+    rows = chunks.filter(F.col("embedding").isNotNull())
+    rows = rows if scope is None else rows.filter(F.col("project_id") == scope)
+    both = rows.crossJoin(queries) if on is None else rows.join(queries, on)
+    scored = both.withColumn("score", V.cosine(F.col("embedding"), F.col("q"))).drop("embedding", "q")
+    return lexical.top(scored, k, F.desc("score"), F.asc("node_id"), F.asc("chunk_id"))
+
+
 def reranked(lexical_hits: DataFrame, vector_hits: DataFrame, chunks: DataFrame, scope: str | None, k: int = 8, missing_penalty: float = 0.20) -> DataFrame:
     """Full outer of lexical keys and vector hits, fetched from the chunks and scored.
 
@@ -158,3 +167,31 @@ class IvfIndex:
 
     def search(self, query: list[float], k: int = 10, scope: str | None = None) -> DataFrame:
         return vector_topk(self.rows.filter(F.col("cell").isin(self.nearest_cells(query))), query, k, scope)
+
+    def _ranked_cells(self, queries: DataFrame) -> DataFrame:
+        """(query_id, q, _cell, _nth): all cells of each query, the nearest first."""
+        centres = queries.sparkSession.createDataFrame(list(enumerate(self.centres or [[0.0]])), "_cell int, _centre array<double>")
+        near = F.lit(0.0) if self.centres is None else V.cosine(F.col("_centre"), F.col("q"))
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_near"), "_cell"))
+        return queries.crossJoin(F.broadcast(centres)).withColumn("_near", near).withColumn("_nth", nth).select("query_id", "q", "_cell", "_nth")
+
+    def tuned(self, queries: DataFrame, k: int = 10, least: float = 0.93, sample: int = 100) -> IvfIndex:
+        """This index, with no fewer probes than find ``least`` of the ``k`` true neighbours of ``sample`` queries (query_id, q)."""
+        if self.probes >= self.cells:
+            return self
+        some = queries.orderBy(F.xxhash64("query_id")).limit(sample)
+        true = vector_topk_of_each(self.rows, some, k).select("query_id", "cell")
+        cells = self._ranked_cells(some).select(F.col("query_id").alias("_q"), "_cell", "_nth")
+        nth = true.join(cells, (F.col("query_id") == F.col("_q")) & (F.col("cell") == F.col("_cell"))).groupBy("_nth").count().collect()  # a row a cell
+        found, total = 0, sum(r["count"] for r in nth)
+        for r in sorted(nth):
+            found += r["count"]
+            if found >= least * total:
+                self.probes = max(self.probes, r["_nth"])
+                break
+        return self
+
+    def search_each(self, queries: DataFrame, k: int = 10, scope: str | None = None) -> DataFrame:
+        """``search`` for each of ``queries`` (query_id, q): query_id, rank, cell and score with the chunks' columns."""
+        asked = self._ranked_cells(queries).filter(F.col("_nth") <= self.probes).drop("_nth")
+        return vector_topk_of_each(self.rows, asked, k, scope, F.col("cell") == F.col("_cell")).drop("_cell")

@@ -129,6 +129,24 @@ def vector_topk_scoped(spark, sf):
     return recall.vector_topk(adapters.chunk_vectors(spark, sf), query_vector(spark, sf), scope="p3").select("node_id", "project_id", F.round("score", 9).alias("score"))
 
 
+def every_20th(spark, sf):
+    """The vectors that are searched for: query_id, q."""
+    return adapters.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query
+def vector_search_exact(spark, sf):
+    """As vector_topk_exact, for every row whose id is divisible by 20."""
+    found = recall.vector_topk_of_each(adapters.chunk_vectors(spark, sf), every_20th(spark, sf))
+    return found.select("query_id", "node_id", "project_id", F.round("score", 9).alias("score"))
+
+
+@query
+def vector_search_scoped(spark, sf):
+    found = recall.vector_topk_of_each(adapters.chunk_vectors(spark, sf), every_20th(spark, sf), scope="p3")
+    return found.select("query_id", "node_id", "project_id", F.round("score", 9).alias("score"))
+
+
 @query
 def hash_embed(spark, sf):
     rows = adapters.table(spark, sf, "documents").select("doc_id", V.hash_embedding("text").alias("e"))
@@ -459,7 +477,10 @@ def retrieval_metrics(spark, sf):
 
 @query
 def ann_ivf_topk(spark, sf):
-    return recall.IvfIndex(adapters.chunk_vectors(spark, sf)).search([float(x) for x in query_vector(spark, sf)], 20).select("node_id", "project_id", "cell", F.round("score", 9).alias("score"))
+    """For every row whose id is divisible by 20; as many cells are probed as reach the recall on a sample of these."""
+    asked = every_20th(spark, sf)
+    found = recall.IvfIndex(adapters.chunk_vectors(spark, sf)).tuned(asked, 20).search_each(asked, 20)
+    return found.select("query_id", "node_id", "project_id", "cell", F.round("score", 9).alias("score"))
 
 
 @query
