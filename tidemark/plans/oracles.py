@@ -228,6 +228,9 @@ reach AS (SELECT scope, src, dst FROM edges UNION SELECT r.scope, r.src, e.dst F
 SELECT ord, id, scope FROM nodes m WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.scope = m.scope AND g.id = m.id)""",
     "policy_core_budget": f"WITH {NODES}, short AS (SELECT * REPLACE (substring(text, 1, 60) AS text) FROM nodes), rules AS ({CORE_RULES}) {budget(900, HEADER, None)}",
     "triggered_rules_budget": f"""WITH {NODES}, short AS (SELECT * REPLACE (substring(text, 1, 300) AS text) FROM nodes), core AS (SELECT id FROM (WITH rules AS ({CORE_RULES}) {budget(900, HEADER, None)})),
+rules AS (SELECT * FROM short WHERE type = 'rule' AND {strip('text')} <> '' AND list_has_any(tags, ['security']) AND id NOT IN (SELECT id FROM core)) {budget(1200, 0, 5)}""",
+    "policy_core_whole": f"WITH {NODES}, short AS (SELECT * FROM nodes), rules AS ({CORE_RULES}) {budget(900, HEADER, None)}",
+    "triggered_rules_whole": f"""WITH {NODES}, short AS (SELECT * FROM nodes), core AS (SELECT id FROM (WITH rules AS ({CORE_RULES}) {budget(900, HEADER, None)})),
 rules AS (SELECT * FROM short WHERE type = 'rule' AND {strip('text')} <> '' AND list_has_any(tags, ['security']) AND id NOT IN (SELECT id FROM core)) {budget(1200, 0, 5)}""",
     "intent_gate": f"""WITH {MESSAGES} SELECT session, ord, array_to_string(list_sort({named([(i, p) for i, _, _, p in C.INTENTS], LOW)}), ',') AS intents,
 array_to_string(list_sort(list_distinct(list_concat(['core'], {named([(b, p) for _, b, _, p in C.INTENTS], LOW)}))), ',') AS buckets, array_to_string({named([(n, p) for _, _, n, p in C.INTENTS if n], LOW)}, ',') AS notes FROM (SELECT *, role || ' ' || text AS t FROM messages)""",

@@ -191,24 +191,6 @@ def hybrid_rerank_global(spark, sf):
     return _hybrid(spark, sf, None)
 
 
-@query
-def bm25_topk(spark, sf):
-    return lexical.bm25(adapters.nodes(spark, sf), adapters.probes(spark, sf))
-
-
-def _scored_hits(spark, sf):
-    n = adapters.nodes(spark, sf).withColumn("score", F.col("priority") / F.lit(100.0))
-    return recall.hits_of(n, "scored")
-
-
-@query
-def temporal_decay_rank(spark, sf):
-    rows = recall.decayed(_scored_hits(spark, sf), now())
-    return rows.select("node_id", "ts", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node_id").limit(50)
-
-
-@query
-def hierarchical_merge(spark, sf):
 def _hybrid_search(spark, sf, scope):
     """The hybrid search with its lexical half: texts of the vectors (documents of the same id) that hold all query tokens, by BM25."""
     chunks, i = _chunks_with_source(spark, sf)
@@ -231,6 +213,24 @@ def hybrid_search_global(spark, sf):
     return _hybrid_search(spark, sf, None)
 
 
+@query
+def bm25_topk(spark, sf):
+    return lexical.bm25(adapters.nodes(spark, sf), adapters.probes(spark, sf))
+
+
+def _scored_hits(spark, sf):
+    n = adapters.nodes(spark, sf).withColumn("score", F.col("priority") / F.lit(100.0))
+    return recall.hits_of(n, "scored")
+
+
+@query
+def temporal_decay_rank(spark, sf):
+    rows = recall.decayed(_scored_hits(spark, sf), now())
+    return rows.select("node_id", "ts", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node_id").limit(50)
+
+
+@query
+def hierarchical_merge(spark, sf):
     hits = _scored_hits(spark, sf)
     out = recall.hierarchical(hits.filter("node_type in ('decision', 'incident') and project_id = 'src3'"), hits, now=now())
     return out.select("node_id", "stage", F.round("score", 9).alias("score"))
@@ -266,6 +266,18 @@ def triggered_rules_budget(spark, sf):
     return context.triggered_rules(short, TRIGGER, context.core_policy(short), 5, 1200)
 
 
+@query
+def policy_core_whole(spark, sf):
+    """As policy_core_budget, over whole texts."""
+    return context.core_policy(adapters.nodes(spark, sf))
+
+
+@query
+def triggered_rules_whole(spark, sf):
+    n = adapters.nodes(spark, sf)
+    return context.triggered_rules(n, TRIGGER, context.core_policy(n), 5, 1200)
+
+
 @query
 def intent_gate(spark, sf):
     t = F.concat("role", F.lit(" "), "text")
@@ -466,15 +478,25 @@ def tag_validation(spark, sf):
     return context.tag_violations(adapters.nodes(spark, sf), ["decision", "risk"], ["en", "de", "style"]).withColumn("unknown", joined("unknown"))
 
 
-@query
-def retrieval_metrics(spark, sf):
+def _metrics(spark, sf, text):
     n = adapters.nodes(spark, sf)
-    asked = n.filter("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.col("id").alias("expected_text"))
+    asked = n.filter("ord % 20 = 0").select(F.col("ord").alias("query_id"), text.alias("query"), F.col("id").alias("expected_text"))
     hits = lexical.lookup_indexed(lexical.postings(n), lexical.node_meta(n), asked.select("query_id", "query"), 3)
     out = evaluate.retrieval_metrics(hits.select("query_id", "rank", F.col("node_id").alias("text")), asked.select("query_id", "expected_text"))
     return out.select("queries", F.round("mrr", 9).alias("mrr"), F.round("recall", 9).alias("recall"))
 
 
+@query
+def retrieval_metrics(spark, sf):
+    return _metrics(spark, sf, F.substring("text", 1, 200))
+
+
+@query
+def retrieval_metrics_whole(spark, sf):
+    """As retrieval_metrics, with whole texts as queries."""
+    return _metrics(spark, sf, F.col("text"))
+
+
 @query
 def ann_ivf_topk(spark, sf):
     """For every row whose id is divisible by 20; as many cells are probed as reach the recall on a sample of these."""
