@@ -5,7 +5,7 @@ grey PNG of 8-bit samples, 576 wide, one row for each 576 bytes; lossless. A tas
 payloads of its rows into one tar file of its own, each distinct payload once, named by the digest
 of the payload; rows carry digest, shard, offset and length. Payloads that several shards hold resolve
 to one place, the first by shard name and offset. Metadata columns (width, height, bit depth) are
-filled from the first 33 bytes of the stored form, read by range; features from reading it all.
+in its first 33 bytes, which ``headers`` reads by range; ``media_columns`` needs features too, so it reads it all.
 
 Shards go through the shared folder's file system under names of their own, and count only where the
 manifest, a table that Spark commits, names them: a task that runs again leaves nothing in use.
