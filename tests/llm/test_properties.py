@@ -29,8 +29,7 @@ def test_pieces_encode_as_whole_texts(kind, path):
 
 
 def test_piece_counts_equal_whole_texts():
-    costs, longest = token_counts.costs_of(RANKS)
-    pieces = token_counts.Pieces(token_counts.Counts(costs, longest))
+    pieces = token_counts.Pieces(token_counts.Trie(token_counts.piece_costs(RANKS)))
 
     @settings(max_examples=400, deadline=None)
     @given(TEXTS)
@@ -44,16 +43,11 @@ def test_piece_counts_equal_whole_texts():
 
 
 def test_long_pre_tokens_slide():
-    costs, longest = token_counts.costs_of(RANKS)
+    trie, stored = (token_counts.Trie(token_counts.piece_costs(RANKS)) for _ in range(2))
     rng = random.Random(3)
     for n in (300, 700):
-        data = "".join(rng.choice("abcdefgh") for _ in range(n))
-        counts, stored = token_counts.Counts(costs, longest), token_counts.Counts(costs, longest)
-        path = [0]
-        for i in range(n):
-            stored.score(data, i + 1, path)
-            path.append(i + 1)
-        assert counts[data] == stored.pieces[n] and not counts
+        data = "".join(rng.choice("abcdefgh") for _ in range(n)).encode()
+        assert trie.count(data) == stored.insert(data, 0) and not trie.computed
 
 
 @settings(max_examples=200, deadline=None)
