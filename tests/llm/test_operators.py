@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 import tarfile
 import zlib
 from collections import Counter, defaultdict
@@ -51,11 +53,10 @@ def test_token_counts(case):
 
 
 def test_forward_scores_are_shared():
-    costs, longest = token_counts.costs_of(RANKS)
-    counts = token_counts.Counts(costs, longest)
+    trie = token_counts.Trie(token_counts.piece_costs(RANKS))
     for t in ("shared", "share", "shares", "shared"):
-        counts[t]
-    assert counts.computed == len("shared") + 1
+        trie.count(t.encode())
+    assert trie.computed == len("shared") + 1
 
 
 # secret scans
@@ -74,11 +75,11 @@ def slow_secrets(text):
             if {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}[kind](m):
                 base.append((m.start(), secrets.KINDS.index(kind), m.end()))
     added = []
-    for kind, chars, bits in secrets.CLASSES:
+    for kind, chars, bits, holds in secrets.CLASSES:
         hot = []
         for m in re.finditer(f"[{chars}]{{{secrets.WINDOW},}}", text):
             run, s0 = m[0], m.start()
-            if not re.search(secrets.MIXED, run) or re.search(secrets.ALLOW, run) or any(a <= s0 and m.end() <= e for a, _, e in base):
+            if not re.search(holds, run) or re.search(secrets.ALLOW_WORDS, run) or all(re.fullmatch(secrets.PART, x) for x in re.split(secrets.BETWEEN, run)):
                 continue
             for i in range(len(run) - secrets.WINDOW + 1):
                 total = sum(secrets.CLOGC[c] for c in Counter(run[i : i + secrets.WINDOW]).values())
@@ -101,9 +102,34 @@ def test_secrets(case):
     assert multiset(map(tuple, found.collect())) == multiset(expected)
 
 
-def test_secrets_find_by_entropy(odd):
-    found = [slow_secrets(r["text"])[2] for r in odd[1]]
-    assert sum(found) >= 1, "the fixture must hold a secret that only entropy finds"
+def test_secrets_find_by_entropy(ready):
+    """Keys of all alphabets among words, in texts up to several chunks of windows long."""
+    rng, rows = random.Random(5), []
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits + "_-", "ab1", "aB3xY"]
+    for i in range(300):
+        key = lambda: "".join(rng.choices(rng.choice(alphabets), k=rng.choice([20, 24, 30, 48, 90, 700])))
+        rows.append((i, rng.choice([" ", "\n", "=", "/", ": token="]).join([key() if rng.random() < 0.5 else rng.choice(["word", "größe", "secret:", "AKIA" + key().upper()]) for _ in range(rng.randrange(1, 12))])))
+    found = secrets.scan(ready.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.joined("base"), secrets.joined("spans"), F.size("added")).collect()
+    expected = [(i, *slow_secrets(t)) for i, t in rows]
+    assert sum(x[3] for x in expected) > 200 and multiset(map(tuple, found)) == multiset(expected)
+
+
+@pytest.mark.parametrize("text", ["a1/" * 2000, "a1/" * 60_000, "aB3" * 70_000, "=" * 200_000, "0" * 100_000 + "a" * 100_000, " " * 200_000, "x" * 200_000, "token" + " " * 200_000 + "= abcdefgh", "token=abcdef12 " * 20_000, "AKIA" * 50_000, "é" * 200_000], ids=lambda x: x[:4])
+def test_secrets_of_long_runs(ready, text):
+    df = ready.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.scan(df).select(secrets.joined("base"), secrets.joined("spans"), F.size("added")).first()
+    assert tuple(found) == slow_secrets(text)
+    assert secrets.redacted(df).first()["text"] == slow_redacted(text)
+
+
+def slow_redacted(text):
+    out, at = [], 0
+    spans = sorted(tuple(map(int, x.split(":")[1:])) for x in slow_secrets(text)[1].split(",") if x)
+    for s, e in spans:
+        if s >= at or not out:
+            out.append(text[at:s])
+        at = max(at, e)
+    return "[secret]".join([*out, text[at:]])
 
 
 def test_redaction(odd):

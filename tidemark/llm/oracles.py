@@ -24,25 +24,27 @@ def _spans(kind: str, pattern: str) -> str:
     return f"SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS rank, n, f[n] AS run, CAST({s} AS BIGINT) AS s, CAST({s} + length(f[n]) AS BIGINT) AS e FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {lit(pattern)}) AS f, string_split_regex(coalesce(text, ''), {lit(pattern)}) AS g FROM documents WHERE regexp_matches(text, {lit(pattern)})))"
 
 
-def _hot(kind: str, chars: str, bits: float, before: str) -> str:
+def _found(level: int, kind: str, chars: str, bits: float, holds: str) -> str:
+    """Spans of one class: windows of candidates by entropy, those at most a window apart as one."""
     w = secrets.WINDOW
-    total = f"list_sum(list_transform(list_distinct(c), lambda x: {secrets.CLOGC}[len(list_filter(c, lambda y: y = x)) + 1]))"
-    return f"""{kind}_runs AS ({_spans(kind, f'[{chars}]{{{w},}}')}),
-{kind}_windows AS (SELECT doc_id, n, s + i - 1 AS a FROM (SELECT r.*, unnest(range(1, length(run) - {w - 2})) AS i FROM {kind}_runs r WHERE regexp_matches(run, {lit(secrets.MIXED)}) AND NOT regexp_matches(run, {lit(secrets.ALLOW)})
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e)) WHERE list_sum([0]) = 0 AND (SELECT {total} FROM (SELECT string_split(substring(run, i, {w}), '') AS c)) <= {secrets.most_clogc(bits)}),
-{kind}_new AS (SELECT * FROM (SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS rank, min(a) AS s, max(a) + {w} AS e FROM (SELECT *, sum(CASE WHEN a - prev <= {w} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, n ORDER BY a) AS g FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id, n ORDER BY a) AS prev FROM {kind}_windows)) GROUP BY doc_id, n, g) h
-  WHERE NOT EXISTS (SELECT 1 FROM {before} b WHERE b.doc_id = h.doc_id AND b.s <= h.s AND h.e <= b.e))"""
+    needs = " AND ".join(f"regexp_matches(run, '{x}')" for x in ("[0-9]", "[A-Z]", "[a-z]")) if holds == secrets.BOTH_CASES_AND_DIGIT else f"regexp_matches(run, {lit(holds)})"
+    allow = f"{secrets.ALLOW_WORDS}|^(?:{secrets.BETWEEN})?{secrets.PART}(?:{secrets.BETWEEN}{secrets.PART})*$"
+    clogc = f"list_sum(list_transform(map_values(list_histogram(string_split(substring(run, i, {w}), ''))), lambda c: {secrets.CLOGC}[c + 1]))"
+    return f"""SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS rank, min(a) AS s, max(a) + {w} AS e, {level} AS level
+FROM (SELECT *, sum(CASE WHEN a - prev <= {w} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, n ORDER BY a) AS g
+FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id, n ORDER BY a) AS prev
+FROM (SELECT doc_id, n, s + i - 1 AS a FROM (SELECT *, unnest(range(1, length(run) - {w - 2})) AS i FROM ({_spans(kind, f'[{chars}]{{{w},}}')}) WHERE {needs} AND NOT regexp_matches(run, {lit(allow)})) WHERE {clogc} <= {secrets.most_clogc(bits)})))
+GROUP BY doc_id, n, g"""
 
 
 def _joined(where: str = "") -> str:
     return f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e){where}, '')"
 
 
-(_k1, _c1, _b1), (_k2, _c2, _b2) = secrets.CLASSES
 OP2 = f"""WITH assign AS ({_spans('assign', secrets.ASSIGN)}), kept AS (SELECT * FROM assign WHERE length(regexp_extract(run, {lit(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LEAST}),
-base AS (SELECT doc_id, kind, rank, s, e FROM kept UNION ALL SELECT doc_id, kind, rank, s, e FROM ({_spans('access', secrets.ACCESS)}) UNION ALL SELECT doc_id, kind, rank, s, e FROM ({_spans('hex', secrets.HEX)})),
-{_hot(_k1, _c1, _b1, 'base')}, known AS (SELECT doc_id, s, e FROM base UNION ALL SELECT doc_id, s, e FROM {_k1}_new), {_hot(_k2, _c2, _b2, 'known')},
-found AS (SELECT *, true AS is_base FROM base UNION ALL SELECT doc_id, kind, rank, s, e, false FROM {_k1}_new UNION ALL SELECT doc_id, kind, rank, s, e, false FROM {_k2}_new)
+base AS (SELECT doc_id, kind, rank, s, e, 0 AS level FROM kept UNION ALL SELECT doc_id, kind, rank, s, e, 0 FROM ({_spans('access', secrets.ACCESS)}) UNION ALL SELECT doc_id, kind, rank, s, e, 0 FROM ({_spans('hex', secrets.HEX)})),
+hot AS (SELECT * FROM base UNION ALL {' UNION ALL '.join(f'({_found(i, *c)})' for i, c in enumerate(secrets.CLASSES, 1))}),
+found AS (SELECT *, level = 0 AS is_base FROM hot h WHERE level = 0 OR NOT EXISTS (SELECT 1 FROM hot b WHERE b.doc_id = h.doc_id AND b.level < h.level AND b.s <= h.s AND h.e <= b.e))
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256({_joined(' FILTER (is_base)')}) AS base_sha256, {_joined()} AS spans, count(*) FILTER (NOT is_base) AS n_added FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 OP6 = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),

@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns plus a sliding-window entropy detector, in Spark SQL expressions only.
 
-Patterns: see KINDS. Positions come from cutting the text at the matches, so that one pass yields
-both the matched strings and their offsets.
+Patterns: see KINDS. A text without a match is passed over by one test; else it is cut at the matches,
+and the lengths of matches and pieces, summed up, are the positions.
 
-Entropy: a candidate is a maximal run of at least WINDOW characters of a class (CLASSES, MORE_CLASSES). A window of
+Entropy: a candidate is a maximal run of at least WINDOW characters of a class (CLASSES). A window of
 WINDOW characters slides over it; counts of the characters inside are kept up to date with each
 step (one enters, one leaves), and with them the sum of c*log2(c) in whole millionths, from
 which the Shannon entropy is log2(WINDOW) - sum / WINDOW. Windows at or above the class's
-threshold are merged into spans. Candidates that match the allow-list (ALLOW), or that lie inside
-a span of a pattern, add nothing.
+threshold are merged into spans. Candidates on the allow-list (ALLOW_WORDS, PART) add nothing, nor do
+spans inside one of a pattern or of a class listed before.
+
+All is n log n in a text's length and its number of matches, and no pattern repeats a group, which
+Java's matcher would recurse on.
 
 Cases: null counts as empty text; texts of any length are read whole; matches are leftmost and do
 not overlap within a kind; repeated rows give repeated results; an empty table gives an empty
@@ -31,26 +34,25 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Characters that a window spans.
 WINDOW = 24
-#: Character classes of candidates: (kind, characters in a pattern, least entropy in bits). log2(24) = 4.58 is the most; prose stays under 3.8.
-CLASSES = (
-    ("entropy_alnum", "A-Za-z0-9", 4.0),
-    ("entropy_base64", "A-Za-z0-9+/=_-", 4.15),
-)
-#: Classes of fewer symbols, whose windows cannot reach the thresholds above, and base64 again: (kind, characters, least entropy, what a
-#: candidate must hold). Of 20,000 random windows each, 99.5 % reach 3.00 (hexadecimal), 3.49 (base32), 3.55 (one case and digits), 3.82 (alphanumeric).
 LETTER_AND_DIGIT = r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]"
 BOTH_CASES_AND_DIGIT = r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"
-MORE_CLASSES = (
+WIDEST = "A-Za-z0-9+/=_-"
+#: Character classes of candidates: (kind, characters in a pattern, least entropy in bits, what a candidate must hold). log2(24) = 4.58
+#: is the most; prose stays under 3.8. Of 20,000 random windows each, 99.5 % reach 3.00 (hexadecimal), 3.49 (base32), 3.55 (one case
+#: and digits), 3.82 (alphanumeric), so classes of fewer symbols have thresholds of their own.
+CLASSES = (
+    ("entropy_alnum", "A-Za-z0-9", 4.0, LETTER_AND_DIGIT),
+    ("entropy_base64", WIDEST, 4.15, LETTER_AND_DIGIT),
     ("entropy_hex", "0-9A-Fa-f", 3.0, LETTER_AND_DIGIT),
     ("entropy_upper", "A-Z0-9", 3.48, LETTER_AND_DIGIT),
     ("entropy_lower", "a-z0-9", 3.48, LETTER_AND_DIGIT),
-    ("entropy_mixed", "A-Za-z0-9+/=_-", 3.82, BOTH_CASES_AND_DIGIT),
+    ("entropy_mixed", WIDEST, 3.82, BOTH_CASES_AND_DIGIT),
 )
-#: Candidates with one of these are no secrets: placeholders, alphabets in order, paths of words with numbers after them.
-ALLOW = r"(?:EXAMPLE|[eE]xample|[pP]laceholder|[cC]hange[mM]e|[dD]ummy|[xX]{8}|abcdefghij|ABCDEFGHIJ|0123456789|^[/_=+-]*[A-Za-z]?[a-z]*[0-9]{0,4}(?:[/_=+-]+[A-Za-z]?[a-z]*[0-9]{0,4})*$)"
-#: A candidate must hold a digit and a letter.
-MIXED = LETTER_AND_DIGIT
-
+#: Candidates with one of these are no secrets: placeholders, alphabets in order.
+ALLOW_WORDS = r"EXAMPLE|[eE]xample|[pP]laceholder|[cC]hange[mM]e|[dD]ummy|[xX]{8}|abcdefghij|ABCDEFGHIJ|0123456789"
+#: Nor are paths of words with numbers after them: candidates whose parts between BETWEEN all match PART. Written apart, as
+#: Java's matcher recurses once for each repetition of a group.
+BETWEEN, PART = r"[/_=+-]+", r"[A-Za-z]?[a-z]*[0-9]{0,4}"
 SPAN = "struct<kind:string,s:int,e:int,rank:int>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: c*log2(c) in whole millionths for c from 0 to WINDOW.
@@ -63,107 +65,146 @@ def most_clogc(bits: float) -> int:
 
 
 NONE = f"cast(array() as array<{SPAN}>)"
+#: Windows that are walked over in one go; a walk copies what it has found so far, so it must not be long.
+CHUNK = 512
+#: Letters that a cut counts at most to find its place.
+BLOCK = 4096
+#: Arrays of up to two to this power elements are summed.
+DOUBLINGS = 30
+
 
+def _prefixes(values: Column | str, both) -> Column:
+    """Of an array, ``both`` applied over all elements up to each, by doubling: n log n."""
 
-def _cut(text: Column, pattern: str, name: str, unless: Column | None = None) -> list[Column]:
-    """Two columns: the matches of a pattern and the pieces of text around them. unless: no match where it is false."""
+    def step(acc: Column, p: Column) -> Column:
+        back = F.pow(F.lit(2), p).cast("int")
+        return F.when(back < F.size(acc), F.transform(acc, lambda x, i: F.when(i >= back, both(F.get(acc, i - back), x)).otherwise(x))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS - 1)), F.col(values) if isinstance(values, str) else values, step)
+
+
+def _span(kind: str, s: Column, e: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), s.cast("int").alias("s"), e.cast("int").alias("e"), F.lit(KINDS.index(kind)).alias("rank"))
+
+
+def _cut(text: Column, pattern: str, name: str, when: Column) -> list[Column]:
+    """The matches of a pattern and the pieces of text around them; none where ``when`` is false."""
+    empty = F.expr("cast(array() as array<string>)")
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    if unless is not None:
-        empty = F.expr("cast(array() as array<string>)")
-        found, gaps = F.when(unless, found).otherwise(empty), F.when(unless, gaps).otherwise(empty)
-    return [found.alias(f"{name}_found"), gaps.alias(f"{name}_gaps")]
+    return [F.when(when, found).otherwise(empty).alias(f"{name}_found"), F.when(when, gaps).otherwise(empty).alias(f"{name}_gaps")]
 
 
-def _spans(name: str, kind: str) -> Column:
-    """Spans of all matches, from the columns of ``_cut``: the lengths add up to the positions."""
-    at = lambda column, i: F.length(F.get(F.col(column), i - 1))
+def _ends(name: str) -> Column:
+    """Where each match of ``_cut`` ends: lengths summed up."""
+    lengths = F.transform(f"{name}_found", lambda x, i: F.length(x) + F.length(F.get(F.col(f"{name}_gaps"), i)))
+    return F.when(F.size(f"{name}_found") > 0, _prefixes(lengths, lambda a, b: a + b)).otherwise(F.expr("cast(array() as array<int>)")).alias(f"{name}_ends")
 
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + at(f"{name}_gaps", i)
-        e = s + at(f"{name}_found", i)
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("rank"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(f"{name}_found")), F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out")), step)["out"]
-    return F.when(F.size(f"{name}_found") > 0, walk).otherwise(F.expr(NONE))
+def _spans(kind: str) -> Column:
+    return F.transform(f"{kind}_ends", lambda e, i: _span(kind, e - F.length(F.get(F.col(f"{kind}_found"), i)), e)).alias(kind)
 
 
-def _hot_windows(run: Column, kind: str, bits: float) -> Column:
-    """Merged spans of the windows of ``run`` (s: its start, codes: its characters' places in ALPHABET) whose entropy reaches ``bits``."""
+def _runs(kind: str, holds: str) -> Column:
+    """The candidates that neither lack what the class must hold nor match the allow-list: (s, codes)."""
+    fit = lambda x: x.rlike(holds) & ~x.rlike(ALLOW_WORDS) & ~F.forall(F.split(x, BETWEEN, -1), lambda part: part.rlike(f"^{PART}$"))
+    suspects = F.filter(F.transform(kind, lambda x, i: F.struct(x["s"].alias("s"), F.get(F.col(f"{kind}_found"), i).alias("run"))), lambda x: fit(x["run"]))
+    return F.transform(suspects, lambda x: F.struct(x["s"].alias("s"), F.transform(F.split(x["run"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("codes"))).alias(f"{kind}_runs")
+
+
+def _walk(run: Column, first: Column, bits: float) -> Column:
+    """Stretches (s, e) of hot windows among the CHUNK windows of ``run`` from ``first`` on.
+
+    The counts of the window are letters of a string, one for each symbol: A for none, B for one, ...
+    """
     clogc = F.array(*[F.lit(x) for x in CLOGC])
+    letter = lambda n: F.char(n + ord("A"))
+    count = lambda counts, code: F.ascii(F.substring(counts, code + 1, F.lit(1))) - ord("A")
 
     def step(acc: Column, i: Column) -> Column:
         came = F.get(run["codes"], i)
-        left = F.when(i >= WINDOW, F.get(run["codes"], i - WINDOW)).otherwise(F.lit(-1))
-        n_in = F.get(acc["counts"], came)
-        n_out = F.when(left >= 0, F.get(acc["counts"], left))
-        change = F.when(came == left, 0).otherwise(F.get(clogc, n_in + 1) - F.get(clogc, n_in) + F.coalesce(F.get(clogc, n_out - 1) - F.get(clogc, n_out), F.lit(0)))
+        full = i - first >= WINDOW
+        left = F.when(full, F.get(run["codes"], i - WINDOW)).otherwise(F.lit(-1))
+        n_in, n_out = count(acc["counts"], came), count(acc["counts"], F.greatest(left, F.lit(0)))
+        enters = F.overlay(acc["counts"], letter(n_in + 1), came + 1, F.lit(1))
+        counts = F.when(came == left, acc["counts"]).when(full, F.overlay(enters, letter(n_out - 1), left + 1, F.lit(1))).otherwise(enters)
+        grows = F.get(clogc, n_in + 1) - F.get(clogc, n_in)
+        change = F.when(came == left, F.lit(0)).when(full, grows - F.get(clogc, n_out) + F.get(clogc, n_out - 1)).otherwise(grows)
         total = acc["total"] + change
-        s, e = (run["s"] + i - WINDOW + 1).cast("int"), (run["s"] + i + 1).cast("int")
-        made = lambda start: F.array(F.struct(F.lit(kind).alias("kind"), start.alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("rank")))
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), made(last["s"]))
-        out = F.when((i < WINDOW - 1) | (total > most_clogc(bits)), acc["out"]).when((F.size(acc["out"]) > 0) & (last["e"] >= s), longer).otherwise(F.concat(acc["out"], made(s)))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when(k == left, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("total"), out.alias("out"))
+        s, e = run["s"] + i - (WINDOW - 1), run["s"] + i + 1
+        hot = (i - first >= WINDOW - 1) & (total <= most_clogc(bits))
+        apart = hot & (acc["e"] < s)
+        return F.struct(
+            counts.alias("counts"),
+            total.alias("total"),
+            F.when(apart, s).otherwise(acc["s"]).alias("s"),
+            F.when(hot, e).otherwise(acc["e"]).alias("e"),
+            F.when(apart & (acc["e"] >= 0), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"]).alias("out"),
+        )
 
-    first = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("total"), F.expr(NONE).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(run["codes"]) - 1), first, step)["out"]
+    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+    begin = F.struct(F.lit("A" * len(ALPHABET)).alias("counts"), F.lit(0).alias("total"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("out"))
+    last = F.least(F.size(run["codes"]), first + CHUNK + WINDOW - 1) - 1
+    return F.aggregate(F.sequence(first, last), begin, step, lambda acc: F.when(acc["e"] < 0, none).otherwise(F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))))
 
 
-def _by_start(spans: Column) -> Column:
-    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    return F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank")))
+def _hot(kind: str, bits: float) -> Column:
+    """Stretches of hot windows of all runs, in order; those of neighbouring chunks may touch."""
 
+    def of(run: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(run["codes"]) - WINDOW, F.lit(CHUNK))
+        return F.flatten(F.transform(firsts, lambda first: _walk(run, first, bits)))
 
-def _inside(x: Column, spans: str) -> Column:
-    return F.exists(spans, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+    return F.when(F.size(f"{kind}_runs") > 0, F.flatten(F.transform(f"{kind}_runs", of))).otherwise(F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias(f"{kind}_hot")
 
 
-def _outside(known: tuple[str, ...]):
-    def test(x: Column) -> Column:
-        out = F.lit(True)
-        for spans in known:
-            out = out & ~_inside(x, spans)
-        return out
+def _merged(kind: str) -> Column:
+    """Spans of the class: its stretches, those that touch as one."""
+    hot = F.col(f"{kind}_hot")
+    firsts = F.filter(hot, lambda x, i: (i == 0) | (F.get(hot, i - 1)["e"] < x["s"]))
+    lasts = F.filter(hot, lambda x, i: (i == F.size(hot) - 1) | (F.get(hot, i + 1)["s"] > x["e"]))
+    return F.transform(F.arrays_zip(firsts.alias("a"), lasts.alias("z")), lambda x: _span(kind, x["a"]["s"], x["z"]["e"])).alias(f"{kind}_new")
 
-    return test
 
+def _by_start(spans: Column) -> Column:
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    return F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank")))
 
-def _windows_of(kind: str, bits: float):
-    return lambda run: _hot_windows(run, kind, bits)
+
+def _level(rank: Column) -> Column:
+    """0 for the kinds of the patterns, then one a class: a span inside one of a lower level adds nothing."""
+    return F.greatest(rank - 2, F.lit(0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, base, added and spans (both): arrays of (kind, s, e, rank) by start, then kind."""
     text = F.col("_t")
-    classes = (*((*c, MIXED) for c in CLASSES), *MORE_CLASSES)
     t = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    # the runs of any further class are part of a run of the widest
-    t = t.withColumn("_long", text.rlike(f"[{CLASSES[-1][1]}]{{{WINDOW},}}"))
+    # hexadecimal matches and the runs of every class are part of a run of the widest class
+    t = t.select("*", text.rlike(ASSIGN).alias("_assign"), F.contains(text, F.lit("AKIA")).alias("_access"), text.rlike(f"[{WIDEST}]{{{WINDOW},}}").alias("_long"))
     # each step reads columns of the step before, as an expression inside a lambda would be evaluated for each element
     t = t.select(
         "*",
-        *_cut(text, ASSIGN, "assign"),
-        F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)).alias("assign_values"),
-        *_cut(text, ACCESS, "access", F.contains(text, F.lit("AKIA"))),
-        *_cut(text, HEX, "hex"),
-        *[c for kind, chars, _ in CLASSES for c in _cut(text, f"[{chars}]{{{WINDOW},}}", kind)],
-        *[c for kind, chars, _, _ in MORE_CLASSES for c in _cut(text, f"[{chars}]{{{WINDOW},}}", kind, F.col("_long"))],
+        *_cut(text, ASSIGN, "assign", F.col("_assign")),
+        F.when(F.col("_assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(F.expr("cast(array() as array<string>)")).alias("assign_values"),
+        *_cut(text, ACCESS, "access", F.col("_access")),
+        *_cut(text, HEX, "hex", F.col("_long")),
+        *[c for kind, chars, *_ in CLASSES for c in _cut(text, f"[{chars}]{{{WINDOW},}}", kind, F.col("_long"))],
     )
-    t = t.select("doc_id", *keep, "assign_values", _spans("assign", "assign").alias("assign"), _spans("access", "access").alias("access"), _spans("hex", "hex").alias("hex"), *[c for kind, *_ in classes for c in (_spans(kind, kind).alias(kind), F.col(f"{kind}_found"))])
+    t = t.select("*", *map(_ends, KINDS))
+    t = t.select("*", *map(_spans, KINDS))
     fit = F.filter("assign", lambda x, i: F.length(F.get("assign_values", i)) >= ASSIGN_LEAST)
-    t = t.select("*", _by_start(F.concat(fit, "access", "hex")).alias("base"))
-    for kind, _, _, holds in classes:
-        suspects = F.filter(F.arrays_zip(F.col(kind).alias("at"), F.col(f"{kind}_found").alias("run")), lambda x: x["run"].rlike(holds) & ~x["run"].rlike(ALLOW) & ~_inside(x["at"], "base"))
-        t = t.withColumn(f"{kind}_runs", F.transform(suspects, lambda x: F.struct(x["at"]["s"].alias("s"), F.transform(F.split(x["run"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("codes"))))
-    added = ["base"]
-    for kind, _, bits, _ in classes:
-        hot = F.flatten(F.transform(f"{kind}_runs", _windows_of(kind, bits)))
-        t = t.withColumn(f"{kind}_hot", F.when(F.size(f"{kind}_runs") > 0, hot).otherwise(F.expr(NONE)))
-        t = t.withColumn(f"{kind}_new", F.filter(f"{kind}_hot", _outside(tuple(added))))
-        added.append(f"{kind}_new")
-    return t.select("doc_id", *keep, "base", _by_start(F.concat(*added[1:])).alias("added"), _by_start(F.concat(*added)).alias("spans"))
+    t = t.select("doc_id", *keep, _by_start(F.concat(fit, "access", "hex")).alias("base"), *[_runs(kind, holds) for kind, _, _, holds in CLASSES])
+    t = t.select("doc_id", *keep, "base", *[_hot(kind, bits) for kind, _, bits, _ in CLASSES])
+    t = t.select("doc_id", *keep, "base", *[_merged(kind) for kind, *_ in CLASSES])
+    t = t.select("doc_id", *keep, "base", _by_start(F.concat("base", *[f"{kind}_new" for kind, *_ in CLASSES])).alias("all"))
+    # for each span, the furthest end of each level among the spans up to it
+    ends = F.transform("all", lambda x: F.transform(F.sequence(F.lit(0), F.lit(len(CLASSES))), lambda level: F.when(level == _level(x["rank"]), x["e"]).otherwise(F.lit(0))))
+    furthest = _prefixes(ends, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    t = t.select("*", F.when(F.size("all") > F.size("base"), furthest).alias("_furthest"))
+    inside = lambda x, i: F.exists(F.slice(F.get(F.col("_furthest"), i), F.lit(1), _level(x["rank"])), lambda end: end >= x["e"])
+    added = F.when(F.col("_furthest").isNull(), F.expr(NONE)).otherwise(F.filter("all", lambda x, i: F.when(x["rank"] < len(KINDS) - len(CLASSES), F.lit(False)).otherwise(~inside(x, i))))
+    t = t.select("doc_id", *keep, "base", added.alias("added"))
+    return t.select("*", _by_start(F.concat("base", "added")).alias("spans"))
 
 
 def joined(spans: Column | str) -> Column:
@@ -176,15 +217,25 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = [f"_in_{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with the scan's
     found = scan(docs.toDF(*names), id_col=names[0], text_col=names[docs.columns.index(text_col)], keep=tuple(names))
     text = F.col(names[docs.columns.index(text_col)])
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("[secret]"))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    some = F.size("spans") > 0
+    reach = _prefixes(F.transform("spans", lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    found = found.select("*", F.when(some, reach).alias("_reach"), F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("_blocks"))
+    # stretches of overlapping spans, and the text before each
+    reach = F.col("_reach")
+    firsts = F.transform(F.filter(F.transform("spans", lambda x, i: F.struct(x["s"].alias("s"), F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("before"), (i == 0).alias("first"))), lambda x: x["first"] | (x["s"] >= x["before"])), lambda x: F.struct(x["before"].alias("from"), x["s"].alias("to")))
+    found = found.select("*", firsts.alias("_firsts"))
+
+    def piece(at: Column, end: Column) -> Column:
+        def of(b: Column) -> Column:
+            start = F.greatest(at - b * BLOCK, F.lit(0))
+            return F.substring(F.get(F.col("_blocks"), b), start + 1, F.least(end - b * BLOCK, F.lit(BLOCK)) - start)
+
+        blocks = F.sequence(F.floor(at / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int"))
+        return F.when(at < end, F.array_join(F.transform(blocks, of), "")).otherwise("")
+
+    last = F.get(reach, F.size(reach) - 1)
+    parts = F.concat(F.transform("_firsts", lambda x: piece(x["from"], x["to"])), F.array(piece(last, F.length(text))))
+    cut = F.array_join(parts, "[secret]")
     new = F.when(F.size("spans") > 0, cut).otherwise(text)
     out = [new.alias(c) if c == text_col else F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)]
     out = [F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, out, strict=True)]
