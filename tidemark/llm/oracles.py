@@ -29,7 +29,7 @@ def _found(level: int, kind: str, chars: str, bits: float, holds: str) -> str:
     w = secrets.WINDOW
     needs = " AND ".join(f"regexp_matches(run, '{x}')" for x in ("[0-9]", "[A-Z]", "[a-z]")) if holds == secrets.BOTH_CASES_AND_DIGIT else f"regexp_matches(run, {lit(holds)})"
     allow = f"{secrets.ALLOW_WORDS}|^(?:{secrets.BETWEEN})?{secrets.PART}(?:{secrets.BETWEEN}{secrets.PART})*$"
-    clogc = f"list_sum(list_transform(map_values(list_histogram(string_split(substring(run, i, {w}), ''))), lambda c: {secrets.CLOGC}[c + 1]))"
+    clogc = f"list_sum(list_transform(map_values(list_histogram(string_split(substring(run, i, {w}), ''))), lambda c: {secrets.CLOGC}[CAST(c AS BIGINT) + 1]))"
     return f"""SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS rank, min(a) AS s, max(a) + {w} AS e, {level} AS level
 FROM (SELECT *, sum(CASE WHEN a - prev <= {w} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, n ORDER BY a) AS g
 FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id, n ORDER BY a) AS prev
