@@ -4,8 +4,9 @@ Payload: a text's UTF-8 bytes, filled with bytes 255 up to a positive multiple o
 grey PNG of 8-bit samples, 576 wide, one row for each 576 bytes; lossless. A task writes the
 payloads of its rows into one tar file of its own, each distinct payload once, named by the digest
 of the payload; rows carry digest, shard, offset and length. Payloads that several shards hold resolve
-to one place, the first by shard name and offset. Metadata columns (width, height, bit depth) are
-in its first 33 bytes, which ``headers`` reads by range; ``media_columns`` needs features too, so it reads it all.
+to one place, the first by shard name and offset. Metadata columns (width, height, bit depth) are filled by ``headers``,
+which reads a stored form's first 33 bytes by range; ``features`` reads it whole for what its samples say, and
+``media_columns`` does one after the other, shard by shard, without another shuffle.
 
 Shards go through the shared folder's file system under names of their own, and count only where the
 manifest, a table that Spark commits, names them: a task that runs again leaves nothing in use.
@@ -127,47 +128,53 @@ def resolved(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("digest").agg(place.alias("p")).select("digest", "p.shard", "p.offset", "p.length")
 
 
+def dealt(places: DataFrame) -> DataFrame:
+    """``places`` spread evenly and, within a task, shard by shard and ascending."""
+    return places.repartition("digest").sortWithinPartitions("shard", "offset")
+
+
 def headers(places: DataFrame) -> DataFrame:
     """``places`` (digest, shard, offset, length) with width, height and bit_depth, by reading the headers only."""
-    return _read(places, HEADER, lambda first: png_header(first), (("width", "long"), ("height", "long"), ("bit_depth", "long")))
+    return _read(places, HEADER, png_header, (("width", "long"), ("height", "long"), ("bit_depth", "long")))
 
 
-def contents(places: DataFrame) -> DataFrame:
-    """``places`` with the metadata of their headers and what reading them back gives."""
+def features(places: DataFrame) -> DataFrame:
+    """``places`` with what reading them back whole gives."""
 
     def look(stored: bytes) -> dict:
         samples = from_png(stored)
-        return png_header(stored[:HEADER]) | {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature(samples)}
+        return {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature(samples)}
 
-    return _read(places, None, look, (("width", "long"), ("height", "long"), ("bit_depth", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")))
+    return _read(places, None, look, (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")))
 
 
 def _read(places: DataFrame, most: int | None, look, columns) -> DataFrame:
-    """Each place's first ``most`` bytes (None: all), by range, shard by shard and ascending."""
+    """Each place's first ``most`` bytes (None: all), by range, in the order in which the rows come."""
     kinds = {"long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
-        for b in batches:
-            found = []
-            for shard, offset, length in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
-                if shard != name:
-                    if file:
-                        file.close()
-                    name, file = shard, open_input(shard)
-                found.append(look(file.read_at(length if most is None else min(most, length), offset)))
-            new = [pa.array([x[c] for x in found], kinds[k]) for c, k in columns]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(c for c, _ in columns)])
-        if file:
-            file.close()
-
-    schema = "digest binary, shard string, offset long, length long, " + ", ".join(f"{c} {k}" for c, k in columns)
-    ordered = places.select("digest", "shard", "offset", "length").repartition("digest").sortWithinPartitions("shard", "offset")
-    return ordered.mapInArrow(run, schema)
+        try:
+            for b in batches:
+                found = []
+                for shard, offset, length in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
+                    if shard != name:
+                        if file:
+                            file.close()
+                        name, file = shard, open_input(shard)
+                    found.append(look(file.read_at(length if most is None else min(most, length), offset)))
+                new = [pa.array([x[c] for x in found], kinds[k]) for c, k in columns]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(c for c, _ in columns)])
+        finally:
+            if file:
+                file.close()
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in places.schema), *(f"{c} {k}" for c, k in columns)])
+    return places.mapInArrow(run, schema)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, the place of each row's payload, its header's metadata and its features."""
     manifest = store(docs, folder, id_col, text_col)
-    read = contents(resolved(manifest)).withColumnRenamed("digest", "_digest")
+    read = features(headers(dealt(resolved(manifest)))).withColumnRenamed("digest", "_digest")
     return manifest.select("doc_id", "n_bytes", "digest").join(read, F.col("digest") == F.col("_digest")).drop("_digest")
