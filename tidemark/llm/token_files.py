@@ -4,7 +4,9 @@ Documents are range-partitioned by id and sorted; each task encodes its range an
 of about SHARD_TOKENS ids through the file system of their folder, under names of their own, so that a
 task that runs again leaves no half-written file in use: only files that the manifest names count,
 and the manifest is a table that Spark commits. Where each document starts follows from the
-manifest's sums: files within a partition, partitions (one row each) above them.
+manifest's sums: files within a partition, partitions (one row each) above them. Reading back undoes
+the planes of a whole file; each document's last id, which must be the end id, and its first are also read
+by rank, so a file whose ranks do not fit its planes is an error.
 
 Cases: a null or empty text is the end id alone; null ids come first; rows of one id stand in the
 order of a hash of their text; repeated rows are written each; one document over SHARD_TOKENS has a
@@ -43,12 +45,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, kin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number = encoder(kind, tokenizer).encode, TaskContext.get().partitionId(), 0
-        ids, doc_ids, lengths, held = [], [], [], 0
+        ids, doc_ids, lengths, held, id_type = [], [], [], 0, None
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held
             path = f"{folder}/ids-{part:06d}-{number:06d}-{uuid.uuid4().hex}.wm"
-            write_bytes(path, build(np.frombuffer(b"".join(ids), dtype="<u4"), doc_ids, lengths))
+            write_bytes(path, build(np.frombuffer(b"".join(ids), dtype="<u4"), doc_ids, lengths, id_type))
             row = pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": path, "n_docs": len(lengths), "n_ids": held}], schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             number, held = number + 1, 0
             for x in (ids, doc_ids, lengths):
@@ -56,6 +58,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, kin
             return row
 
         for b in batches:
+            id_type = b.column("doc_id").type
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True):
                 own = encode(t or b"") + end
                 if held and held + len(own) // 4 > shard_tokens:
@@ -80,8 +83,8 @@ def with_starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("_within", within).join(parts, F.col("part") == F.col("_part")).withColumn("start", (F.col("_within") + F.col("_above")).cast("long")).drop("_within", "_part", "_above")
 
 
-def read_documents(manifest: DataFrame, id_type: str = "long") -> DataFrame:
-    """From the files: doc_id, start (ids before it), n_tokens, ids_crc32 (of its ids as 32-bit little-endian)."""
+def read_documents(manifest: DataFrame, id_type: str = "long", end_id: int = END_ID) -> DataFrame:
+    """From the files: doc_id, start (ids before it), n_tokens, ids_crc32 (of its ids as 32-bit little-endian), first_id (by rank)."""
     files = with_starts(manifest).select("path", "start")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,11 +95,11 @@ def read_documents(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                 doc_ids, lengths = matrix.documents()
                 data = matrix.all().astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
+                firsts = ends - np.array(lengths)
+                if (matrix.access_many(ends - 1) != end_id).any():
+                    raise ValueError(f"a document of {path} does not end with the end id")
                 crcs = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths, strict=True)]
-                starts = start + ends - np.array(lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, type=ARROW.get(id_type)), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = [pa.array(x, pa.int64()) for x in (start + firsts, lengths, crcs, matrix.access_many(firsts))]
+                yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id"])
 
-    return files.repartition(n).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
-
-
-ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return files.repartition(n).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, first_id long")
