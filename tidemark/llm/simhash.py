@@ -11,9 +11,11 @@ fingerprints share a variant. Rows are brought together by variant and verified
 bits. A bucket yields at most a forest of its links, which has the same components as all of
 them: of pairs that meet in several buckets only the first counts, and large buckets are searched
 breadth first over the members not yet reached, which a dense group of near copies exhausts at once.
-A bucket over MOST_IN_BUCKET members is not held: its members go on to a second index, in which the
-other two segments are cut into three again and one-bit variants of those refine the variant; no
-link is lost, as at most BITS bits differ there too.
+A bucket over MOST_IN_BUCKET members is not held: its members go on to a finer index, in which the
+bits that its key leaves free are cut into three again and one-bit variants of those refine the
+key; no link is lost, as at most BITS bits differ there too. This repeats while a bucket has over
+MOST_IN_FINER members. Each level fixes a third of the free bits but one, so a bucket of level l with f
+free bits has at most 2 ** (f + l) members: 2 ** 17 at the fourth, where f is 13.
 
 Equal fingerprints are one node, so exact copies cost nothing here.
 
@@ -43,8 +45,8 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size are compared pair by pair, larger ones breadth first.
 SMALL_BUCKET = 64
-#: Buckets over this size are cut by the second index.
-MOST_IN_BUCKET = 20_000
+#: Buckets over this size are cut by a finer index, and over this one those of a finer index.
+MOST_IN_BUCKET, MOST_IN_FINER = 20_000, 100_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -96,20 +98,41 @@ def variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def finer_variants(fp: Column, key: Column) -> Column:
-    """For members of a bucket: keys of the bits outside its segment, cut into three, one bit taken out."""
-    out = F.array().cast("array<bigint>")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def refined(keys: np.ndarray, fps: np.ndarray, free: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Finer keys of members of buckets that leave the bits ``free`` free, with the bits that they leave free."""
+    bits = [b for b in range(64) if free >> b & 1]
+    third = -(-len(bits) // 3)
+    for at in range(0, len(bits), third):
+        part = bits[at : at + third]
+        rest = free & ~sum(1 << b for b in part)
+        for w in part:
+            mask = np.uint64(sum(1 << b for b in part if b != w))
+            yield _mixed(_mixed(keys + np.uint64(w + 1)) ^ (fps & mask)), rest
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (fp, key, free): the same with finer keys, a row for each variant."""
+    for b in batches:
+        fps, keys, frees = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "key", "free"))
+        for free in np.unique(frees).tolist():
+            own = np.flatnonzero(frees == free)
+            for finer, rest in refined(keys[own], fps[own], free):
+                columns = (finer, fps[own], np.full(len(own), rest, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["key", "fp", "free"])
+
+
+def _free_of(key: Column) -> Column:
+    """The bits that a key of ``variants`` leaves free: all but its segment's."""
+    bit, out = F.shiftright(key, 22), F.lit(None).cast("long")
     for low, n in SEGMENTS:
-        others = [b for b in range(64) if not low <= b < low + n]
-        third = -(-len(others) // 3)
-        keys = []
-        for k in range(3):
-            part = others[k * third : (k + 1) * third]
-            for w in part:
-                mask = sum(1 << b for b in part if b != w)
-                keys.append(F.xxhash64(F.lit(w), fp.bitwiseAND(F.lit(_signed(mask)))))
-        bit = F.shiftright(key, 22)
-        out = F.when((bit >= low) & (bit < low + n), F.array(*keys)).otherwise(out)
+        out = F.when((bit >= low) & (bit < low + n), F.lit(_signed(((1 << 64) - 1) & ~_mask(low, n)))).otherwise(out)
     return out
 
 
@@ -182,49 +205,65 @@ def _links(keys: np.ndarray, fps: np.ndarray, first_only: bool) -> list[tuple[in
     return out + _forest((int(a), int(b)) for a, b in pairs.tolist())
 
 
-def _search(most: int | None, first_only: bool):
-    """Over rows (key, fp) sorted by key: (a, b, key) with links where key is null, and members of buckets over ``most`` with a null b."""
+def _search(most: int, first_only: bool):
+    """Over rows (key, fp, free) sorted by key: links (a, b), and (a, null, key, free) for members of buckets over ``most``."""
+    names = ["a", "b", "key", "free"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, passing = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), None
+    def linked(keys, fps):
+        ab = np.array(_links(keys, fps, first_only), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), *[pa.nulls(len(ab), pa.int64())] * 2], names=names)
 
-        def linked(keys, fps):
-            ab = np.array(_links(keys, fps, first_only), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.nulls(len(ab), pa.int64())], names=["a", "b", "key"])
+    def unheld(keys, fps, frees):
+        return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(keys), pa.array(frees)], names=names)
 
-        def unheld(keys, fps):
-            return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(keys)], names=["a", "b", "key"])
+    def searched(keys, fps, frees):
+        """Of whole buckets: large ones that leave bits free unheld, the others searched."""
+        starts = np.append(0, np.flatnonzero(np.diff(keys)) + 1)[: len(keys)]
+        sizes = np.diff(np.append(starts, len(keys)))
+        over = np.repeat(sizes > most, sizes) & (frees != 0)
+        if over.any():
+            yield unheld(keys[over], fps[over], frees[over])
+        yield linked(keys[~over], fps[~over])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)], None
         for b in batches:
-            new_keys, new_fps = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            keys, fps, frees = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "free"))
+            new = [keys.astype(np.int64), fps.view(np.uint64), frees]
             if passing is not None:
-                n = np.searchsorted(new_keys, passing, side="right")
-                yield unheld(new_keys[:n], new_fps[:n])
-                new_keys, new_fps, passing = new_keys[n:], new_fps[n:], passing if n == len(new_keys) else None
-            keys, fps = np.concatenate([keys, new_keys]), np.concatenate([fps, new_fps])
-            if not len(keys):
+                n = np.searchsorted(new[0], passing, side="right")
+                yield unheld(*(x[:n] for x in new))
+                passing = passing if n == len(new[0]) else None
+                new = [x[n:] for x in new]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if not len(held[0]):
                 continue
-            tail = np.searchsorted(keys, keys[-1], side="left")  # the last bucket may go on
-            yield linked(keys[:tail], fps[:tail])
-            keys, fps = keys[tail:], fps[tail:]
-            if most is not None and len(keys) > most:
-                yield unheld(keys, fps)
-                keys, fps, passing = keys[:0], fps[:0], int(keys[0])
-        yield linked(keys, fps)
+            tail = np.searchsorted(held[0], held[0][-1], side="left")  # the last bucket may go on
+            yield from searched(*(x[:tail] for x in held))
+            held = [x[tail:] for x in held]
+            if len(held[0]) > most and held[2][0] != 0:
+                passing = int(held[0][0])
+                yield unheld(*held)
+                held = [x[:0] for x in held]
+        yield from searched(*held)
 
     return run
 
 
-def links(fps: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+def links(fps: DataFrame, most_in_bucket: int = MOST_IN_BUCKET, most_in_finer: int = MOST_IN_FINER) -> DataFrame:
     """(a, b): links of distinct fingerprints (fp) with the same components as all links of BITS or fewer bits."""
-    schema = "a long, b long, key long"
+    schema = "a long, b long, key long, free long"
     keyed = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search(most_in_bucket, True), schema), "links")
-    large = found.filter("b is null").select(F.col("a").alias("fp"), "key")
-    finer = large.select("fp", F.explode(finer_variants(F.col("fp"), F.col("key"))).alias("fine"), F.col("key").alias("_of"))
-    finer = finer.select("fp", F.xxhash64("_of", "fine").alias("key"))
-    more = finer.repartition("key").sortWithinPartitions("key").mapInArrow(_search(None, False), schema)
-    return found.filter("b is not null").select("a", "b").union(more.select("a", "b"))
+    found = written(keyed.repartition("key").sortWithinPartitions("key").select("key", "fp", F.lit(-1).cast("long").alias("free")).mapInArrow(_search(most_in_bucket, True), schema), "links")
+    out = found.filter("b is not null").select("a", "b")
+    large = found.filter("b is null").select(F.col("a").alias("fp"), "key", _free_of(F.col("key")).alias("free"))
+    while not large.isEmpty():
+        finer = large.mapInArrow(_refine, "key long, fp long, free long").repartition("key").sortWithinPartitions("key")
+        found = written(finer.mapInArrow(_search(most_in_finer, False), schema), "finer-links")
+        out = out.union(found.filter("b is not null").select("a", "b"))
+        # a bucket that leaves no bit free is searched whatever its size, which is at most 2 ** (levels)
+        large = found.filter("b is null").select(F.col("a").alias("fp"), "key", "free")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
