@@ -182,7 +182,7 @@ def test_links_of_dense_groups(ready):
     rng = np.random.default_rng(3)
     fps = {0}
     for centre in rng.integers(0, 1 << 63, 8):
-        for _ in range(120):
+        for _ in range(90):
             f = int(centre)
             for b in rng.choice(64, rng.integers(0, 6), replace=False):
                 f ^= 1 << int(b)
@@ -190,8 +190,8 @@ def test_links_of_dense_groups(ready):
     fps |= {int(x) for x in rng.integers(0, 1 << 63, 300)}
     df = ready.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     expected = slow_components(fps)
-    for most in (5, 90, 20_000):
-        edges = simhash.links(df, most).collect()
+    for most in ((5, 80), (90, 70), (20_000, 100_000)):
+        edges = simhash.links(df, *most).collect()
         assert all((a ^ b) % (1 << 64) and ((a ^ b) % (1 << 64)).bit_count() <= 4 for a, b in edges)
         up = {f: f for f in fps}
         top = lambda x: x if up[x] == x else top(up[x])  # noqa: E731, B023
@@ -201,6 +201,23 @@ def test_links_of_dense_groups(ready):
         assert groups({f: top(f) for f in fps}) == groups(expected)
 
 
+def test_finer_keys_lose_no_link():
+    """Any two fingerprints within the links' bits share a key at every level, down to no free bit."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        a = int(rng.integers(0, 1 << 63))
+        b = a ^ sum(1 << int(x) for x in rng.choice(64, 4, replace=False))
+        level = {((1 << 64) - 1, (7, 7))}
+        for _ in range(4):
+            finer = set()
+            for free, keys in sorted(level)[:3]:
+                for found, rest in simhash.refined(np.array(keys, dtype=np.uint64), np.array([a, b], dtype=np.uint64), free):
+                    if found[0] == found[1]:
+                        finer.add((rest, tuple(found.tolist())))
+            assert finer
+            level = finer
+
+
 def group(of):
     out = defaultdict(list)
     for x, y in of.items():
@@ -249,7 +266,7 @@ def test_media(case):
             assert len(names) == len(set(names))
             for member in tar.getmembers():
                 assert hashlib.sha256(media.from_png(tar.extractfile(member).read())).hexdigest() + ".png" == member.name
-    head = media.headers(media.resolved(manifest)).collect()
+    head = media.headers(media.dealt(media.resolved(manifest))).collect()
     assert all((x["width"], x["bit_depth"]) == (576, 8) for x in head)
 
 
@@ -258,12 +275,12 @@ def test_media(case):
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
-    for ids in (rng.integers(0, 49_408, 5000), rng.zipf(1.3, 300_000) % 700, np.array([0]), np.array([70_000, 3, 70_000])):
+    for ids in (rng.integers(0, 49_408, 5000), rng.zipf(1.3, 300_000) % 700, rng.integers(0, 3, 512), rng.integers(0, 2, 1 << 18), np.array([0]), np.array([70_000, 3, 70_000])):
         ids = ids.astype(np.uint32)
         data = wavelet.build(ids, [1, None], [len(ids), 0])
         m = wavelet.WaveletMatrix(data)
-        assert m.documents() == ([1, None], [len(ids), 0])
-        assert (m.all() == ids).all()
+        assert (m.documents()[0].to_pylist(), m.documents()[1]) == ([1, None], [len(ids), 0])
+        assert (m.all() == ids).all() and (m.access_many(np.arange(len(ids))) == ids).all()
         for i in [0, len(ids) - 1, *rng.integers(0, len(ids), 20)]:
             assert m.access(int(i)) == ids[i]
         for token in {int(x) for x in ids[rng.integers(0, len(ids), 8)]} | {1, 65_000}:
@@ -290,13 +307,20 @@ def test_token_files(case):
     expected, start = [], 0
     for r, ids in zip(rows, reference_ids(WORD_BPE, [r["text"] or "" for r in rows]), strict=True):
         ids = [*ids, 1]
-        expected.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        expected.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids[0]))
         start += len(ids)
     for shard_tokens in (1 << 20, 500):
         found = token_files.read_documents(token_files.write_shards(df, WORD_BPE, shard_tokens=shard_tokens))
         assert multiset(map(tuple, found.collect())) == multiset(expected)
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(20,3)", "date"])
+def test_token_files_of_other_id_types(table, kind):
+    df = table[0].limit(20).withColumn("doc_id", F.expr("date_add(date '2024-01-01', cast(doc_id as int))") if kind == "date" else F.col("doc_id").cast(kind))
+    found = token_files.read_documents(token_files.write_shards(df, WORD_BPE), kind)
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(r["doc_id"] for r in df.collect())
+
+
 # packing
 
 

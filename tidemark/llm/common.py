@@ -8,6 +8,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,25 +21,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+ROOT = Path(__file__).resolve().parents[2]
+#: Arrow batches are bounded by bytes, not only by rows, where the caller has set nothing else.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_SHIPPED: set[str] = set()
+_MADE: list[str] = []
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether the driver runs all tasks itself."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and keep Arrow batches bounded by bytes, not only by rows."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
+    """Let Python workers import this package, on other hosts too, and keep Arrow batches small."""
+    sc = spark.sparkContext
+    env = sc.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if str(ROOT) not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([str(ROOT), *paths])
+    if not is_local(spark) and sc.applicationId not in _SHIPPED:
+        archive = Path(tempfile.mkdtemp()) / "tidemark.zip"  # the driver serves it from here
+        with zipfile.ZipFile(archive, "w") as out:
+            for f in sorted((ROOT / "tidemark").rglob("*.py")):
+                out.write(f, f.relative_to(ROOT))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset.
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and no cluster runs.
 
     With its scheme, so that Python workers open it where Spark does.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         if not spark.sparkContext.getCheckpointDir():
+            if not is_local(spark):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         path = spark.sparkContext.getCheckpointDir()
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,14 +71,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with its path."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -61,6 +95,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, what operators have written for their own use inside: for callers that have stored the result by then."""
+    mark = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[mark:]:
+            remove(spark, path)
+        del _MADE[mark:]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -81,6 +127,15 @@ def row_keys(id_col: Column, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), id_col, F.isnull(id_col), text, F.isnull(text)).alias(f"k{i}") for i in (1, 2)]
 
 
+#: Rows that a range of a running sum holds, about.
+RANGE_ROWS = 500_000
+
+
+def range_bits(rows: int) -> int:
+    """How many bits of a uniform hash cut so many rows into ranges of about RANGE_ROWS, 10 at least."""
+    return max(10, (rows // RANGE_ROWS).bit_length())
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, into: str, bucket_bits: int = 10, hash_bits: int = 64) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group``, for groups of any size.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, WORD, n_words, numbered, row_keys, running_sum, written
+from tidemark.llm.common import GAP, WORD, n_words, numbered, range_bits, row_keys, running_sum, written
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *row_keys(F.col(id_col), F.col(text_col)), n_words(F.col(text_col)).alias("size"), order_hash(F.col(id_col), F.col(text_col)).alias("h"))
     sizes = written(sizes, "mix-sizes")
     of = source_targets(sizes, **targets).withColumnRenamed("source", "_source")
-    placed = running_sum(sizes, ["source"], ["h", "k1", "k2", "size"], "size", "_start", hash_bits=60)
+    placed = running_sum(sizes, ["source"], ["h", "k1", "k2", "size"], "size", "_start", range_bits(sizes.count()), 60)
     joined = placed.join(F.broadcast(of) if len(of.take(MAX_BROADCAST + 1)) <= MAX_BROADCAST else of, F.col("source").eqNullSafe(F.col("_source")))
     want = F.round("target").cast("long")
     # words of this document among the first `want` words of its endlessly repeated source

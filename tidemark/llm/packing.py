@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_keys, running_sum, written
+from tidemark.llm.common import range_bits, row_keys, running_sum, written
 from tidemark.llm.encoders import encoder
 
 LENGTH = 2048
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced_words", id_col: st
     longer = Window.partitionBy(F.lit(0)).orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("length")))
     buckets = counts.select(F.col("length").alias("_length"), F.coalesce(F.sum("count").over(longer), F.lit(0)).alias("_base"), F.coalesce(F.sum(F.ceil(F.col("count") / per_batch)).over(longer), F.lit(0)).alias("_batches"))
-    numbered = running_sum(cuts.withColumn("_one", F.lit(1)), ["length"], ["k1", "k2", "start"], "_one", "_number").join(F.broadcast(buckets), F.col("length") == F.col("_length"))
+    numbered = running_sum(cuts.withColumn("_one", F.lit(1)), ["length"], ["k1", "k2", "start"], "_one", "_number", range_bits(cuts.count())).join(F.broadcast(buckets), F.col("length") == F.col("_length"))
     return numbered.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("_base") + F.col("_number")).cast("long").alias("sequence_id"),
