@@ -1,21 +1,27 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
 
-A factor of a document is a stretch of its words that also stands elsewhere in the corpus; those of at
-least WINDOW = 35 words become duplicate spans. The reference is the corpus itself, indexed by
-its 35-word phrases; the index is dealt over the tasks by phrase, and each part of it is a block.
-Parsing is greedy: a factor starts where a phrase is found in a block and goes on for as long as the
-phrases one word further are found; where it ends, all phrases that begin in its last 34 words were
-looked up too, so a factor that straddles the boundary is not missed.
+A factor of a document is a stretch of its words with a source: a place, elsewhere in the corpus, where
+the same words stand. Factors of at least WINDOW = 35 words become duplicate spans. The reference
+is the corpus itself, indexed by its 35-word phrases; the index is dealt over the tasks by phrase, and
+each part of it is a block, so a document meets every block that could hold a source of it.
+
+Parsing is greedy: a factor starts at the first word not yet parsed that starts a phrase found in a block
+and takes the phrase's source, the least place where it stands; it goes on for as long as the next
+phrase is found with its source one word further. Where it ends, the phrases that begin in its last 34
+words and reach over the boundary were looked up too; those found start a factor of their own,
+which overlaps the one before, so nothing that straddles a boundary is missed.
 
 Only phrases that can be found are looked up. A phrase's anchor is the least of the hashes of its
 GRAM-word grams (winnowing); phrases alike have one anchor, so a phrase whose anchor stands once in
 the corpus stands once itself. Anchors are one for about 14 words; the rest of the work is on phrases
 with repeated anchors.
 
-Equality is of 128-bit hashes of the phrases' text. Hot phrases: a task sends on the first two
-occurrences that it meets of a phrase and keeps the rest, which it knows to be repeats; so a phrase that a
-third of the documents share reaches the index twice a task, and no pairs are made. The texts are
-shuffled once, by a 64-bit key of id and text, for both the lookup and the removal.
+Equality is of 128-bit hashes of the phrases' text. Hot anchors and phrases: a task sends on the first
+two occurrences that it meets (of an anchor, in each batch until it is known to be hot) and keeps the
+rest, which it knows to be repeats and of phrases also has a source for; so a phrase that a third
+of the documents share reaches the index twice a task, and no pairs are made. The texts are
+shuffled once, by a 64-bit key of id and text, for both the lookup and the removal; what is found
+carries 32 more bits of key, so documents whose keys collide do not take each other's factors.
 
 Cases: a null text has no words; with fewer than 35 words nothing is removed; windows are judged on the
 input; repeated rows are copies of each other and lose all windows; texts of any length are read
@@ -38,8 +44,10 @@ from tidemark.llm.common import row_keys
 
 WINDOW = 35
 GRAM = 8
-#: Phrases that a task remembers having sent on; beyond, it forgets them and sends more.
-MOST_SEEN = 500_000
+#: Phrases that a task remembers having sent on; beyond, it forgets them and sends more. Likewise anchors known to be hot.
+MOST_SEEN, MOST_HOT = 500_000, 200_000
+#: Something found: the document's second key, the first of ``n`` windows, the source's place (its first key and word).
+FOUND = np.dtype([("k2", "<i4"), ("at", "<u4"), ("n", "<u4"), ("source_at", "<u4"), ("source", "<i8")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,9 +77,10 @@ def _split(text: bytes | None) -> list[bytes]:
 
 
 def _emit_anchors(window: int, gram: int):
-    """(key, k1): each document's anchors, twice where the gram stands twice in the document."""
+    """(key, k1, real): each document's anchors, twice where the gram stands twice in it; with ``real`` those known to be repeats, under a key of no meaning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.zeros(0, dtype=np.uint64)
         for b in batches:
             keys, docs = [], []
             for k1, t in zip(b.column("k1").to_pylist(), b.column("t").to_pylist(), strict=True):
@@ -82,131 +91,171 @@ def _emit_anchors(window: int, gram: int):
                     own = np.concatenate((own, own[n > 1]))
                     keys.append(own)
                     docs.append(np.full(len(own), k1, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], names=["key", "k1"])
+            if not keys:
+                continue
+            keys, docs = np.concatenate(keys), np.concatenate(docs)
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            starts = np.append(0, np.flatnonzero(np.diff(keys)) + 1)
+            sizes = np.diff(np.append(starts, len(keys)))
+            known = np.arange(len(keys)) - np.repeat(starts, sizes) >= 2
+            if len(hot):
+                known |= hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+            hot = np.union1d(hot, keys[starts[sizes > 2]])
+            hot = hot if len(hot) <= MOST_HOT else hot[:0]
+            key = np.where(known, _mixed(keys ^ docs.view(np.uint64)), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs), pa.array(keys.view(np.int64), mask=~known)], names=["key", "k1", "real"])
 
     return run
 
 
-def _repeated(by: list[str], names: list[str], known: str | None = None):
-    """Of rows sorted by the columns ``by`` (longs), those with an equal neighbour, or with ``known`` set; gives ``names``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_twice = None, False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            columns = {c: b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in dict.fromkeys([*by, *names, *([known] if known else [])])}
-            if held is not None:
-                columns = {c: np.concatenate((held[c], x)) for c, x in columns.items()}
-            n = len(columns[by[0]])
-            alike = np.ones(n - 1, dtype=bool)
-            for c in by:
-                alike &= columns[c][1:] == columns[c][:-1]
-            out = np.zeros(n, dtype=bool)
-            out[1:] |= alike
-            out[:-1] |= alike
-            out[0] |= held_twice
-            if known:
-                out |= columns[known] > 0
-            # the last row waits for its next one
-            held, held_twice = {c: x[-1:] for c, x in columns.items()}, bool(out[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(columns[c][:-1][out[:-1]]) for c in names], names=names)
-        if held is not None and held_twice:
-            yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in names], names=names)
-
-    return run
+def _whole_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Of rows sorted by the columns ``by``: columns of whole runs of equal values, with the runs' starts and sizes."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = {c: b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i, c in enumerate(b.schema.names)}
+        if held is not None:
+            columns = {c: np.concatenate((held[c], x)) for c, x in columns.items()}
+        change = np.zeros(len(columns[by[0]]) - 1, dtype=bool)
+        for c in by:
+            change |= columns[c][1:] != columns[c][:-1]
+        starts = np.append(0, np.flatnonzero(change) + 1)
+        last = starts[-1]  # this run may go on
+        held = {c: x[last:] for c, x in columns.items()}
+        if last:
+            yield {c: x[:last] for c, x in columns.items()}, starts[:-1], np.diff(starts)
+    if held is not None:
+        yield held, np.zeros(1, dtype=np.int64), np.array([len(held[by[0]])])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by key: (k1, key) of those that stand twice or are known to."""
+    for columns, _, sizes in _whole_runs(batches, ["key"]):
+        known = columns["known"].astype(bool)
+        out = np.repeat(sizes > 1, sizes) | known
+        yield pa.RecordBatch.from_arrays([pa.array(columns["k1"][out]), pa.array(np.where(known, columns["real"], columns["key"])[out])], names=["k1", "key"])
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of phrases sorted by p1 and p2: (k1, found) of those that stand twice or have a source already."""
+    for columns, _, sizes in _whole_runs(batches, ["p1", "p2"]):
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        known = columns["n"] > 0
+        asked = np.repeat(sizes > 1, sizes) & ~known
+        c = {name: x[asked] for name, x in columns.items()}
+        order = np.lexsort((c["at"], c["k1"], run[asked]))
+        c, of = {name: x[order] for name, x in c.items()}, run[asked][order]
+        first = np.append(True, of[1:] != of[:-1])[: len(of)]
+        least = np.flatnonzero(first)[np.cumsum(first) - 1] if len(of) else np.zeros(0, dtype=np.int64)
+        # the least place is the source of all others, and the second least its own
+        place = np.where(first, np.minimum(least + 1, len(of) - 1), least)
+        out = np.zeros(len(of) + int(known.sum()), dtype=FOUND)
+        for name, own, source in (("k2", c["k2"], columns["k2"]), ("at", c["at"], columns["at"]), ("n", np.ones(len(of)), columns["n"]), ("source", c["k1"][place], columns["source"]), ("source_at", c["at"][place], columns["source_at"])):
+            out[name] = np.concatenate((own, source[known]))
+        k1 = np.concatenate((c["k1"], columns["k1"][known]))
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.Array.from_buffers(pa.binary(FOUND.itemsize), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())], names=["k1", "found"])
 
 
 def _emit_phrases(window: int, gram: int, most_seen: int):
-    """(p1, p2, k1, at, n): phrases with repeated anchors, n = 0; stretches of n windows known to be repeats."""
+    """(p1, p2, k1, k2, at, n, source, source_at): phrases with repeated anchors, n = 0; stretches of n windows whose source is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes, int] = {}  # phrase -> where it was met first (document, word) and whether a second time
+        met: list[int] = []  # the documents that places in ``seen`` count from
         for b in batches:
-            phrases, docs, places, counts = [], [], [], []
-            for k1, t, keys in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("k1", "t", "keys")), strict=True):
+            phrases, rows = [], []
+            for k1, k2, t, keys in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("k1", "k2", "t", "keys")), strict=True):
                 words = _split(t)
                 least, _ = anchors(words, window, gram)
                 ask = np.flatnonzero(np.isin(least, np.array(keys, dtype=np.int64).view(np.uint64)))
                 joined = b" ".join(words)
                 ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
-                known: list[int] = []
+                known: list[list[int]] = []
                 for i in ask.tolist():
                     phrase = xxhash.xxh3_128_digest(joined[ends[i] - len(words[i]) : ends[i + window - 1]])
-                    met = seen.get(phrase, 0)
-                    if met == 2:
-                        known.append(i)
+                    place = seen.get(phrase)
+                    if place is not None and place & 1:
+                        source, source_at = met[place >> 33], place >> 1 & 0xFFFFFFFF
+                        if known and known[-1][0] + known[-1][1] == i and known[-1][2:] == [source, source_at - known[-1][1]]:
+                            known[-1][1] += 1
+                        else:
+                            known.append([i, 1, source, source_at])
                         continue
-                    if len(seen) >= most_seen:
+                    if place is None and len(seen) >= most_seen:
                         seen.clear()
-                    seen[phrase] = met + 1
+                        met.clear()
+                    if place is None:
+                        if not met or met[-1] != k1:
+                            met.append(k1)
+                        seen[phrase] = (len(met) - 1) << 33 | i << 1
+                    else:
+                        seen[phrase] = place | 1
                     phrases.append(phrase)
-                    docs.append(k1)
-                    places.append(i)
-                    counts.append(0)
-                for start, n in runs(known):
+                    rows.append((k1, k2, i, 0, 0, 0))
+                for start, n, source, source_at in known:
                     phrases.append(xxhash.xxh3_128_digest(b"%d %d" % (k1, start)))  # any task will do
-                    docs.append(k1)
-                    places.append(start)
-                    counts.append(n)
-            p = np.frombuffer(b"".join(phrases), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(counts, pa.int64())], names=["p1", "p2", "k1", "at", "n"])
+                    rows.append((k1, k2, start, n, source, source_at))
+            if rows:
+                p = np.frombuffer(b"".join(phrases), dtype=np.int64).reshape(-1, 2)
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), *columns], names=["p1", "p2", "k1", "k2", "at", "n", "source", "source_at"])
 
     return run
 
 
-def runs(places: list[int]) -> list[tuple[int, int]]:
-    """Ascending places as (first, how many in a row)."""
-    if not len(places):
-        return []
-    a = np.asarray(places)
-    cuts = np.flatnonzero(np.diff(a) != 1) + 1
-    firsts = np.concatenate(([0], cuts))
-    return list(zip(a[firsts].tolist(), np.diff(np.append(firsts, len(a))).tolist(), strict=True))
-
-
-def factors(found: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors [start, end) in words, from (start, n): n windows in a row that are found."""
-    out: list[tuple[int, int]] = []
-    for start, n in sorted(found):
-        end = start + n - 1 + window
-        if out and start <= out[-1][1] - window + 1:  # the next window, or one already inside
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
+def factors(found: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, source, source_at) in words, from (at, n, source, source_at): n windows in a row with their source."""
+    out: list[tuple[int, int, int, int]] = []
+    for at, n, source, source_at in sorted(set(found)):
+        end = at + n - 1 + window
+        if out:
+            start, last, own, own_at = out[-1]
+            if end <= last:  # parsed already
+                continue
+            if at <= last - window + 1 and (own, own_at + at - start) == (source, source_at):  # goes on
+                out[-1] = (start, end, own, own_at)
+                continue
+        out.append((at, end, source, source_at))
     return out
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most_seen: int = MOST_SEEN) -> DataFrame:
     """doc_id, k1, t (the text as binary) and found: what its factors are made of, null if none."""
-    k1, _ = row_keys(F.col(id_col), F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), F.col(text_col).cast("binary").alias("t"))
-    keys = texts.select("k1", "t").mapInArrow(_emit_anchors(window, gram), "key long, k1 long")
-    again = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated(["key"], ["k1", "key"]), "k1 long, key long")
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), F.col(text_col).cast("binary").alias("t"), F.shiftright(k2, 32).cast("int").alias("k2"))
+    keys = texts.select("k1", "t").mapInArrow(_emit_anchors(window, gram), "key long, k1 long, real long")
+    again = keys.repartition("key").sortWithinPartitions("key").withColumn("known", F.col("real").isNotNull().cast("int")).mapInArrow(_again, "k1 long, key long")
     wanted = again.groupBy("k1").agg(F.collect_set("key").alias("keys")).withColumnRenamed("k1", "_k1")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(n, "k1")
-    ask = dealt.join(wanted.hint("merge"), F.col("k1") == F.col("_k1")).select("doc_id", "k1", "t", "keys")
-    phrases = ask.mapInArrow(_emit_phrases(window, gram, most_seen), "p1 long, p2 long, k1 long, at long, n long")
-    met = phrases.repartition("p1").sortWithinPartitions("p1", "p2").mapInArrow(_repeated(["p1", "p2"], ["k1", "at", "n"], "n"), "k1 long, at long, n long")
-    found = met.select(F.col("k1").alias("_k1"), (F.col("at") * (1 << 32) + F.greatest("n", F.lit(1))).alias("f")).groupBy("_k1").agg(F.collect_set("f").alias("found"))
-    return dealt.join(found.hint("merge"), F.col("k1") == F.col("_k1"), "left").select("doc_id", "k1", "t", "found")
+    ask = dealt.join(wanted.hint("merge"), F.col("k1") == F.col("_k1")).select("k1", "k2", "t", "keys")
+    phrases = ask.mapInArrow(_emit_phrases(window, gram, most_seen), "p1 long, p2 long, k1 long, k2 int, at int, n int, source long, source_at int")
+    met = phrases.repartition("p1").sortWithinPartitions("p1", "p2").mapInArrow(_sources, "k1 long, found binary")
+    found = met.groupBy(F.col("k1").alias("_k1")).agg(F.collect_list("found").alias("found"))
+    return dealt.join(found.hint("merge"), F.col("k1") == F.col("_k1"), "left").select("doc_id", "k1", "k2", "t", "found")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans (start, end: words, end exclusive) and, if asked for, kept: the words left, joined by single spaces."""
+    """doc_id, k1, n_words, n_removed, kept_sha256, spans and, if asked for, kept: the words left, joined by single spaces.
+
+    spans are the factors: start and end (words, end exclusive), source (k1 of a row with the same words) and source_start.
+    """
     found = parsed(docs, id_col, text_col, window, gram)
     id_type = dict(found.dtypes)["doc_id"]
+    span = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source", "source_start")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, digests, spans, kept = [], [], [], [], []
-            for t, f in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("t", "found")), strict=True):
+            for t, k2, f in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("t", "k2", "found")), strict=True):
                 words = _split(t)
-                own = factors([(x >> 32, x & 0xFFFFFFFF) for x in f or []], window)
+                own = np.frombuffer(b"".join(f or []), dtype=FOUND)
+                own = own[own["k2"] == k2]
+                parts = factors(list(zip(*(own[c].tolist() for c in ("at", "n", "source", "source_at")), strict=True)), window)
                 left, at = [], 0
-                for start, end in own:
+                for start, end, _, _ in parts:
                     left += words[at:start]
                     at = max(at, end)
                 left += words[at:]
@@ -214,10 +263,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 digests.append(hashlib.sha256(data).hexdigest())
-                spans.append([{"start": s, "end": e} for s, e in own])
+                spans.append([dict(zip(("start", "end", "source", "source_start"), x, strict=True)) for x in parts])
                 kept.append(data.decode(errors="replace"))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, span)] + [pa.array(kept, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "k1", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * with_text])
 
-    return found.mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept string" * with_text)
+    return found.mapInArrow(run, f"doc_id {id_type}, k1 long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long,source:long,source_start:long>>" + ", kept string" * with_text)
