@@ -372,6 +372,35 @@ def test_substrings(case):
     assert multiset(map(tuple, found.collect())) == multiset(expected)
 
 
+def test_factors_have_sources(case):
+    """A factor's words stand at its source, it is as long as the two go on alike from its start, and it is not its own source."""
+    df, rows = case
+    texts = defaultdict(list)
+    for r in df.select(substrings.row_keys(F.col("doc_id"), F.col("text"))[0].alias("k1"), "text").collect():
+        texts[r["k1"]].append(words(r["text"]))
+    n = 0
+    for r in substrings.deduplicated(df).collect():
+        own = texts[r["k1"]][0]
+        for x in r["spans"]:
+            other = texts[x["source"]][0]
+            size = x["end"] - x["start"]
+            assert size >= 35 and own[x["start"] : x["end"]] == other[x["source_start"] : x["source_start"] + size]
+            assert (r["k1"], x["start"]) != (x["source"], x["source_start"]) or len(texts[r["k1"]]) > 1
+            n += 1
+    assert n > 5
+
+
+def test_a_hot_line(ready):
+    """One passage in a third of all documents: every copy goes, whatever the batches, and nothing else."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = " ".join(word() for _ in range(50))
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(5, 60))] + [line] * (i % 3 == 0) + [word() for _ in range(20)])) for i in range(900)]
+    df = ready.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.deduplicated(df).collect()}
+    assert found == {i: (len(t.split()), 50 * (i % 3 == 0)) for i, t in rows}
+
+
 def test_substrings_forget_and_still_find(odd, monkeypatch):
     df, _ = odd
     usual = multiset(map(tuple, substrings.parsed(df).selectExpr("k1", "found is null").collect()))
@@ -379,10 +408,13 @@ def test_substrings_forget_and_still_find(odd, monkeypatch):
 
 
 def test_factors():
-    assert substrings.factors([(0, 1)]) == [(0, 35)]
-    assert substrings.factors([(0, 3), (3, 2), (50, 1)]) == [(0, 39), (50, 85)]
-    assert substrings.factors([(0, 1), (10, 1)]) == [(0, 35), (10, 45)]
-    assert substrings.runs([1, 2, 3, 7, 9, 10]) == [(1, 3), (7, 1), (9, 2)] and substrings.runs([]) == []
+    assert substrings.factors([(0, 1, 7, 100)]) == [(0, 35, 7, 100)]
+    assert substrings.factors([(0, 3, 7, 100), (3, 2, 7, 103), (50, 1, 7, 0)]) == [(0, 39, 7, 100), (50, 85, 7, 0)]
+    # at a boundary, what reaches over it is a factor of its own
+    assert substrings.factors([(0, 1, 7, 100), (1, 1, 8, 5), (2, 1, 8, 6)]) == [(0, 35, 7, 100), (1, 37, 8, 5)]
+    # windows between may not have been asked for, as long as the place goes on
+    assert substrings.factors([(0, 1, 7, 100), (1, 1, 7, 101), (1, 1, 7, 101)]) == [(0, 36, 7, 100)]
+    assert substrings.factors([]) == []
 
 
 # quality rules
@@ -407,19 +439,32 @@ def test_quality(case):
         n, chars, symbols, lines, dup, rep = slow_counts(r["text"])
         base = n < 50 or 100 * rep > 50 * n
         kept = not (base or 10 * symbols > 3 * n or chars < 2 * n or chars > 15 * n or 2 * dup > lines)
+        text = r["text"] or ""
+        kept &= 5 * len(regex.findall(r"[\p{L}\p{M}]", text)) >= 2 * chars and 25 * len(set(re.split(r"[\x20\x09-\x0d]+", text.lower()))) >= n
+        kept &= 2 * sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0d]*$", x)) for x in text.split("\n")) <= lines
         expected.append((r["doc_id"], n, chars, symbols, lines, dup, rep, base, kept))
-    assert multiset(map(tuple, quality.judged(df).collect())) == multiset(expected)
+    assert multiset(map(tuple, quality.judged(df).drop("rejected_by").collect())) == multiset(expected)
 
 
 def test_cascade_order(table):
-    counts = quality.counts(table[0])
-    order = quality.plan_cascade(counts)
-    assert [x["gain"] for x in order] == sorted((x["gain"] for x in order), reverse=True)
-    forward = counts.select("doc_id", quality.cascade(list(quality.RULES)).alias("k")).collect()
-    backward = counts.select("doc_id", quality.cascade(list(reversed(quality.RULES))).alias("k")).collect()
+    order = quality.plan_cascade(quality.counts(quality.sampled(table[0].select("doc_id", "text"), 100)))
+    assert [x["gain"] for x in order] == sorted((x["gain"] for x in order), reverse=True) and len(order) == len(quality.RULES)
+    forward, backward = (quality.judged(table[0], order=list(x)).drop("rejected_by").collect() for x in (quality.RULES, reversed(quality.RULES)))
     assert multiset(forward) == multiset(backward)
 
 
+def test_cascade_stops(ready):
+    """A rule is evaluated on the documents only that those before it have let pass."""
+    words = " ".join(f"word{i}" for i in range(80))
+    df = ready.createDataFrame([(1, "few"), (2, words), (3, "#" * 30 + words)], "doc_id long, text string")
+    late = quality.Rule("late", "if(doc_id = 2, false, cast(raise_error('evaluated') as boolean))")
+    rules = (quality.RULES[0], quality.RULES[2], late)
+    found = quality.judged(df, rules=rules, order=list(rules)).collect()
+    assert {r["doc_id"]: r["rejected_by"] for r in found} == {1: "few_words", 2: None, 3: "symbols"}
+    with pytest.raises(Exception, match="evaluated"):
+        quality.judged(df, rules=rules, order=[late, *rules[:2]]).collect()
+
+
 # mixing
 
 

@@ -45,11 +45,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicated(documents(spark, sf_dir), with_text=False).drop("spans")
+    return substrings.deduplicated(documents(spark, sf_dir), with_text=False).drop("spans", "k1")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(documents(spark, sf_dir))
+    return quality.judged(documents(spark, sf_dir)).drop("rejected_by")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

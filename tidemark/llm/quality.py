@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, in Spark SQL expressions only.
 
-A rule is a condition on which a document is rejected. ``plan_cascade`` runs every rule on a bounded
-sample, takes how many it rejects and how long it takes, and orders the rules by rejections per
-second; ``cascade`` turns the order into one nested CASE, so that for each document evaluation
-stops at the first rule that rejects. As the verdict is that of any rule rejecting, the order (and
-so the sample) changes only the time, never a verdict.
+A rule is a condition on which a document is rejected, over the counts that every document gets and
+over the text itself (``_t``). ``plan_cascade`` takes, on a bounded sample, how many documents each rule
+rejects and how long it takes where the counts are there, and orders the rules by rejections per second;
+``cascade`` turns the order into one nested CASE, so that for each document evaluation stops at the
+first rule that rejects, and rules that read the text do so for the documents left. As the verdict is
+that of any rule rejecting, the order (and so the sample) changes only the time, never a verdict.
 
 Repeated words: the text's 3-word windows are hashed, the hashes are sorted with their positions, and
 windows with an equal neighbour are those found twice or more; the words that these cover are counted
@@ -28,8 +29,10 @@ from tidemark.llm.common import GAP
 #: Fixed values.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows that the costs and rejections of the rules are estimated on.
-SAMPLE_ROWS = 2000
+#: Rows that the costs and rejections of the rules are estimated on: the first that Spark meets, whole texts.
+SAMPLE_ROWS = 256
+#: Runs of which a rule's shortest time counts.
+RUNS = 3
 
 
 def words_of(text: Column) -> Column:
@@ -50,50 +53,68 @@ def lines_of(text: Column) -> Column:
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_lines (those with a word), n_dup_lines, n_repeat_words (longs)."""
+    """doc_id, _t (the text), n_words, word_chars, n_symbols, n_lines (those with a word), n_dup_lines, n_repeat_words (longs)."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    t = t.select("doc_id", word_chars(F.col("_t")).alias("word_chars"), n_symbols(F.col("_t")).alias("n_symbols"), lines_of(F.col("_t")).alias("_l"), words_of(F.col("_t")).alias("_w"))
+    t = t.select("doc_id", "_t", word_chars(F.col("_t")).alias("word_chars"), n_symbols(F.col("_t")).alias("n_symbols"), lines_of(F.col("_t")).alias("_l"), words_of(F.col("_t")).alias("_w"))
     at = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.expr("cast(array() as array<int>)"))
     windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))
     n_lines, n_dup = F.size("_l").cast("long"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")
-    t = t.select("doc_id", "word_chars", "n_symbols", n_lines.alias("n_lines"), n_dup.alias("n_dup_lines"), F.size("_w").cast("long").alias("n_words"), F.sort_array(windows).alias("_s"))
+    t = t.select("doc_id", "_t", "word_chars", "n_symbols", n_lines.alias("n_lines"), n_dup.alias("n_dup_lines"), F.size("_w").cast("long").alias("n_words"), F.sort_array(windows).alias("_s"))
     # the sort key leads with the hash, so windows alike stand side by side
     twice = F.filter("_s", lambda x, k: (F.get(F.col("_s"), k - 1)["h"] == x["h"]) | (F.get(F.col("_s"), k + 1)["h"] == x["h"]))
     t = t.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, p: F.struct((acc["n"] + p + 3 - F.greatest(p, acc["end"])).alias("n"), (p + 3).alias("end")))["n"]
     repeated = F.when(F.size("_p") > 0, covered).otherwise(0).cast("long")
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeated.alias("n_repeat_words"))
+    return t.select("doc_id", "_t", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeated.alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    #: SQL condition on which a document is rejected, over the columns it is applied to.
+    #: SQL condition on which a document is rejected, over the columns of ``counts``.
     rejects: str
 
 
-#: On the columns of ``counts``; kept lenient, as each is to reject junk only.
+#: Kept lenient, as each is to reject junk only. Those after the first five read the text.
 RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeats", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("dup_lines", "2 * n_dup_lines > n_lines"),
+    Rule("letters", r"5 * length(regexp_replace(_t, '[^\\p{L}\\p{M}]+', '')) < 2 * word_chars"),
+    Rule("distinct_words", r"25 * size(array_distinct(split(lower(_t), '[\\x20\\x09-\\x0D]+'))) < n_words"),
+    Rule("broken_lines", r"2 * size(filter(split(_t, '\n'), x -> x rlike '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')) > n_lines"),
 )
 #: The rules that the counts' contract names.
 BASE = ("few_words", "repeats")
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``docs``, as a table of the driver's: Spark looks for them partition by partition and stops."""
+    head, spark = docs.limit(rows), docs.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(head._jdf.collectAsList(), head._jdf.schema()), spark)
+
+
 def plan_cascade(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[dict]:
-    """The rules by rejections per second on ``sample``, a few rows, with rejections and seconds."""
+    """The rules by rejections per second on ``sample``, a few rows of ``counts``, with rejections and seconds beyond those of no rule."""
     sample = sample.persist()
     try:
         n = max(1, sample.count())
+
+        def run(condition: str) -> tuple[int, float]:
+            asked, seconds = sample.filter(condition), []
+            for _ in range(RUNS):
+                began = time.perf_counter()
+                rejected = asked.count()
+                seconds.append(time.perf_counter() - began)
+            return rejected, min(seconds)
+
+        _, idle = run("n_words < 0")
         found = []
         for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.filter(f"coalesce({rule.rejects}, true)").count()
-            cost = max(time.perf_counter() - began, 1e-6)
+            rejected, seconds = run(f"coalesce({rule.rejects}, true)")
+            cost = max(seconds - idle, 1e-4)
             found.append({"rule": rule, "selectivity": rejected / n, "cost_s": cost, "gain": rejected / n / cost})
     finally:
         sample.unpersist()
@@ -101,19 +122,24 @@ def plan_cascade(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[dic
 
 
 def cascade(order: list[Rule]) -> Column:
-    """False at the first rule that rejects, without looking at those after it; true where none does."""
-    out = F.lit(True)
+    """The name of the first rule that rejects, without looking at those after it; null where none does."""
+    out = F.lit(None).cast("string")
     for rule in reversed(order):
-        out = F.when(F.expr(f"coalesce({rule.rejects}, true)"), F.lit(False)).otherwise(out)
+        out = F.when(F.expr(f"coalesce({rule.rejects}, true)"), F.lit(rule.name)).otherwise(out)
     return out
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The columns of ``counts`` with base_failed and kept. Only the sample's rows are counted to order the rules."""
-    df = counts(docs, id_col, text_col)
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, order: list[Rule] | None = None) -> DataFrame:
+    """The columns of ``counts`` but the text, with base_failed, kept and rejected_by; ``order`` instead of one from a sample.
+
+    rejected_by is the first rule in the cascade's order, so it may differ from run to run where several reject.
+    """
     base = F.lit(False)
     for rule in rules:
         if rule.name in BASE:
             base = base | F.expr(f"coalesce({rule.rejects}, true)")
-    order = [x["rule"] for x in plan_cascade(counts(docs.limit(sample_rows), id_col, text_col), rules)]
-    return df.select("*", base.alias("base_failed"), cascade(order).alias("kept"))
+    if order is None:
+        sample = counts(sampled(docs.select(id_col, text_col), sample_rows), id_col, text_col)
+        order = [x["rule"] for x in plan_cascade(sample, rules)]
+    df = counts(docs, id_col, text_col).select("*", base.alias("base_failed"), cascade(order).alias("rejected_by"))
+    return df.select("*", F.isnull("rejected_by").alias("kept")).drop("_t")
