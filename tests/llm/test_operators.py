@@ -15,6 +15,7 @@ import public_tokenizers
 import pytest
 import regex
 import xxhash
+import zstandard
 from llm_rows import multiset
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -547,6 +548,37 @@ def test_language(ready):
     assert multiset((r["doc_id"], r["lang_pred"], r["score"]) for r in blind) == multiset((r["doc_id"], r["lang_pred"], r["score"]) for r in found)
 
 
+def test_language_by_brute_force(case):
+    """Each row by compressing it after each language's dictionary, which is made anew from the rows."""
+    df, rows = case
+    learned, out = language.learn(df, docs_per_lang=30), []
+    hashes = df.filter("lang is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").collect()
+    plain = lambda t: regex.sub(r"[^\p{L}]+", " ", t.lower())
+    for lang in {r["lang"] for r in hashes}:
+        own = sorted((r["h"], r["text"][-2000:]) for r in hashes if r["lang"] == lang and regex.search(r"\p{L}", r["text"] or ""))[:30]
+        assert learned[lang] == b"\n".join(plain(t).encode() for _, t in reversed(own))[-language.DICT_BYTES :]
+    for r in rows:
+        data = plain(r["text"] or "").encode()
+        sizes = []
+        for lang in sorted(learned):
+            content = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data)
+            sizes.append((len(made), lang))
+        if not data.strip():
+            out.append((r["doc_id"], "und", 0.0, False))
+            continue
+        (least, lang), *others = sorted(sizes)
+        score = 1 / sum(2 ** (-8 * language.TEMPER * (n - least)) for n, _ in sizes)
+        out.append((r["doc_id"], lang, round(score, 9), not others or others[0][0] - least > language.MARGIN * least))
+    found = language.classify(df, learned, keep=("doc_id",)).collect()
+    assert multiset((a, b, round(c, 9), d) for a, b, c, d in found) == multiset(out)
+
+
+def test_many_languages_are_bounded(ready):
+    df = ready.createDataFrame([(i, f"text of number {i}", f"l{i % 40 if i < 400 else i}") for i in range(900)], "doc_id long, text string, lang string")
+    assert sorted(language.learn(df, most_langs=40)) == sorted(f"l{i}" for i in range(40))
+
+
 def test_language_of_odd_rows(odd):
     df, rows = odd
     found = language.classify(df, language.learn(df)).collect()

@@ -10,7 +10,9 @@ share of 2 ** (-temper * 8 * (c - least)). A text is rejected where the runner-u
 Learning: the dictionaries come from a bounded sample of labelled rows, which is all that is
 learned: of each language, the ``docs_per_lang`` documents with the smallest hash of id and text,
 of each at most the last ``chars_per_doc`` characters, ``dict_bytes`` in all. The choice is by hash, so it is
-the same on every run, and needs a few rows a language and task.
+the same on every run, and needs a few rows a language and task. At most MOST_LANGS languages are learned,
+those with most labelled rows (of equals the first by name), so the driver holds at most
+MOST_LANGS * DICT_BYTES whatever the labels are; texts of others are told from these only.
 
 Cases: null or letterless text is ``und`` with score 0 and rejected; texts of any length are
 compressed whole; ties of sizes go to the language first by name; without any labelled
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 DOCS_PER_LANG = 200
 CHARS_PER_DOC = 2000
 DICT_BYTES = 64 << 10
+MOST_LANGS = 256
 LEVEL = 9
 TEMPER = 0.02
 #: Rejected where (runner-up - winner) / winner is at most this. Of held-out texts of the 0.01 tables, right predictions have 0.060 or
@@ -45,11 +48,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, dict_bytes: int = DICT_BYTES, most_langs: int = MOST_LANGS) -> dict[str, bytes]:
     """Language -> dictionary content, at most ``dict_bytes`` for each language."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("lang is not null")
+    names = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select(F.col("lang").alias("_name"))
+    rows = labelled.filter(F.col("t").rlike(r"\p{L}")).join(F.broadcast(names), F.col("lang") == F.col("_name"), "left_semi")  # at most most_langs rows
     # tails, as heads that many documents share would fill the dictionaries
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.substring(F.col(text_col), -chars_per_doc, chars_per_doc).alias("t"))
+    rows = rows.select("lang", F.xxhash64("id", "t").alias("h"), F.substring("t", -chars_per_doc, chars_per_doc).alias("t"))
     best = Window.partitionBy("lang").orderBy("h", "t")
     sample = rows.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= docs_per_lang).select("lang", "n", "t").collect()
     out: dict[str, list[bytes]] = {}
