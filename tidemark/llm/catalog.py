@@ -69,17 +69,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BYTE_BPE)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+OPERATORS = (op1_token_counts, op2_secret_scan, op3_simhash, op4_media_columns, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_mixing, op9_language_id, op10_packing)
 
-    return corpus_pipeline.run(spark, sf_dir)
 
-
-OPERATORS = (op1_token_counts, op2_secret_scan, op3_simhash, op4_media_columns, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_mixing, op9_language_id, op10_packing, pipeline)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """All queries, each with Python workers made ready first."""
+def queries(*more: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries and those given (the pipeline), each with Python workers made ready first."""
 
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: ready(f) for f in OPERATORS}
+    return {f.__name__: ready(f) for f in (*OPERATORS, *more)}
 
 
 def oracle_sql() -> dict[str, str]:
