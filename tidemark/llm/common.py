@@ -96,14 +96,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def intermediates(spark: SparkSession) -> Iterator[None]:
-    """Deletes, on leaving, what operators have written for their own use inside: for callers that have stored the result by then."""
-    mark = len(_MADE)
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, on leaving, what operators have written for their own use inside, but for paths that the caller adds to the list given."""
+    mark, keep = len(_MADE), []
     try:
-        yield
+        yield keep
     finally:
         for path in _MADE[mark:]:
-            remove(spark, path)
+            if path not in keep:
+                remove(spark, path)
         del _MADE[mark:]
 
 
