@@ -1,6 +1,8 @@
 """The registered queries' columns and rows on the smallest table."""
 
 import pytest
+
+import __spark_entry__
 from llm_rows import SF
 
 from tidemark.llm import catalog
@@ -39,4 +41,4 @@ def test_contract(ready, name):
 
 
 def test_all_are_registered():
-    assert set(catalog.queries()) == {*COLUMNS, "pipeline"} and set(catalog.oracle_sql()) < set(COLUMNS)
+    assert set(catalog.queries()) == set(COLUMNS) and set(__spark_entry__.queries()) > {*COLUMNS, "pipeline"} and set(catalog.oracle_sql()) < set(COLUMNS)
