@@ -15,10 +15,10 @@ import struct
 from functools import lru_cache
 
 #: Pieces that a worker's table takes in before it drops those not used since it last did.
-MOST_PIECES = 600_000
+MOST_PIECES = 1_000_000
 #: Latin letters: their lower case goes letter by letter and they are in composed form.
 LATIN = "ɐ"
-PUNCTUATION = frozenset(".,;:!?")
+PUNCTUATION = ".,;:!?*%&$#|<>()=+@^~"
 
 
 #: A text with such white space is not cut before its spaces.
@@ -28,11 +28,18 @@ SIGNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c"
 
 
 def spaced_pieces(text: bytes) -> list[bytes] | None:
-    """The text cut before each space, where pre-tokens that hold the space before them never span a cut; else null."""
+    """A line break and the text, cut before each space and line break, which no pre-token spans; null where white space is odd.
+
+    A piece is named by what it holds but for the space that leads it, so one that a line break leads stands
+    for itself, and any other for a space and itself. The first piece has a line break too many.
+    """
     if any(sign in text for sign in SIGNS) and ODD.search(text.decode(errors="replace")):
         return None
-    first, *rest = text.split(b" ")
-    return [first] * bool(first) + [b" " + x for x in rest]
+    return (b"\n" + text).replace(b"\n", b" \n").split(b" ")[1:]
+
+
+def piece_text(piece: bytes) -> str:
+    return (piece if piece[:1] == b"\n" else b" " + piece).decode(errors="replace")
 
 
 @lru_cache(maxsize=1)
@@ -69,8 +76,8 @@ class _Pieces(dict):
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
-            ids = self.make(piece.decode(errors="replace"))
-            if len(piece) > 200 or b"\n" in piece:  # rarely seen again
+            ids = self.make(self.text_of(piece))
+            if len(piece) > 200:  # rarely seen again
                 return ids
         if len(self) >= MOST_PIECES:
             self.before = dict(self)
@@ -78,6 +85,10 @@ class _Pieces(dict):
         self[piece] = ids
         return ids
 
+    @staticmethod
+    def text_of(piece: bytes) -> str:
+        return piece.decode(errors="replace")
+
     def make(self, piece: str) -> bytes:
         raise NotImplementedError
 
@@ -101,8 +112,9 @@ class LowerWordPieces(_Pieces):
             if piece.isalpha():
                 low = piece.lower()
                 return self.one(low) if low == piece else self[low.encode()]
-            if piece[-1] in PUNCTUATION and piece[:-1].isalpha():  # the tokenizer cuts there
-                return self[piece[:-1].encode()] + self[piece[-1].encode()]
+            word = piece.rstrip(PUNCTUATION)
+            if len(word) < len(piece) and word.isalpha():  # the tokenizer cuts there
+                return self[word.encode()] + self[piece[len(word) :].encode()]
         return self.whole(piece)
 
     def encode(self, text: bytes) -> bytes:
@@ -110,24 +122,31 @@ class LowerWordPieces(_Pieces):
 
 
 class SpacedPieces(_Pieces):
-    """For a byte-level tokenizer that joins a single space to the word after it."""
+    """For a byte-level tokenizer that joins a single space to the word after it; pieces are those of ``spaced_pieces``."""
+
+    text_of = staticmethod(piece_text)
 
     def make(self, piece: str) -> bytes:
-        if "\n" in piece and len(piece) > 1:
-            head, line, tail = piece.partition("\n")
-            return b"".join(self[part.encode()] for part in (head, line, tail) if part)
+        if piece[0] == "\n":
+            return self.whole("\n") + (self.bare(piece[1:]) if len(piece) > 1 else b"")
+        return self.bare(piece)
+
+    def bare(self, piece: str) -> bytes:
+        """Of a piece with a space or nothing before it."""
         if max(piece) < LATIN:
             if piece.removeprefix(" ").isalpha():
                 return self.one(piece)
-            if piece[-1] in PUNCTUATION and piece[:-1].removeprefix(" ").isalpha():  # the tokenizer cuts there
-                return self[piece[:-1].encode()] + self[piece[-1].encode()]
+            word = piece.rstrip(PUNCTUATION)
+            if len(word) < len(piece) and word.removeprefix(" ").isalpha():  # the tokenizer cuts there
+                ids = self[word[1:].encode()] if word[0] == " " else self.one(word)
+                return ids + self[b"\n" + piece[len(word) :].encode()][len(self[b"\n"]) :]
         return self.whole(piece)
 
     def encode(self, text: bytes) -> bytes:
         if not text:
             return b""
         pieces = spaced_pieces(text)
-        return self.whole(text.decode(errors="replace")) if pieces is None else b"".join(map(self.__getitem__, pieces))
+        return self.whole(text.decode(errors="replace")) if pieces is None else b"".join(map(self.__getitem__, pieces))[len(self[b"\n"]) :]
 
 
 KINDS = {"lower_words": LowerWordPieces, "spaced_words": SpacedPieces}

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.encoders import spaced_pieces
+from tidemark.llm.encoders import piece_text, spaced_pieces
 
 #: Nodes that a trie holds before it starts anew.
 MOST_NODES = 1_000_000
@@ -133,7 +133,7 @@ class Trie:
 
 
 class Pieces(dict):
-    """A stretch of text from one space to the next -> its numbers of pre-tokens (high 32 bits) and of tokens (low 32 bits).
+    """A piece of ``spaced_pieces`` -> its numbers of pre-tokens (high 32 bits) and of tokens (low 32 bits).
 
     When full, stretches not used since it last was are dropped.
     """
@@ -146,7 +146,7 @@ class Pieces(dict):
     def __missing__(self, piece: bytes) -> int:
         n = self.before.get(piece)
         if n is None:
-            n = self.count(piece.decode(errors="replace"))
+            n = self.count(piece_text(piece))
             if len(piece) > LONG:
                 return n
         if len(self) >= MOST_PIECES:
@@ -155,6 +155,11 @@ class Pieces(dict):
         self[piece] = n
         return n
 
+    def whole(self, text: bytes) -> int:
+        """The numbers of a whole text."""
+        cut = spaced_pieces(text)
+        return self.count(text.decode(errors="replace")) if cut is None else sum(map(self.__getitem__, cut)) - self[b"\n"]
+
     def count(self, text: str) -> int:
         found = self.find(text)
         return len(found) << 32 | sum(self.trie.count(x.encode()) for x in found)
@@ -175,8 +180,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for b in batches:
             out = []
             for t in b.column("t").to_pylist():
-                cut = spaced_pieces(t or b"")
-                both = pieces.count(t.decode(errors="replace")) if cut is None else sum(map(pieces.__getitem__, cut))
+                both = pieces.whole(t or b"")
                 out.append((len(t or b""), both >> 32, both & 0xFFFFFFFF))
             columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens"])

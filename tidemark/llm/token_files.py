@@ -96,10 +96,11 @@ def read_documents(manifest: DataFrame, id_type: str = "long", end_id: int = END
                 data = matrix.all().astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 firsts = ends - np.array(lengths)
-                if (matrix.access_many(ends - 1) != end_id).any():
+                edges = matrix.access_many(np.stack((firsts, ends - 1), axis=1).ravel())
+                if (edges[1::2] != end_id).any():
                     raise ValueError(f"a document of {path} does not end with the end id")
                 crcs = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths, strict=True)]
-                columns = [pa.array(x, pa.int64()) for x in (start + firsts, lengths, crcs, matrix.access_many(firsts))]
+                columns = [pa.array(x, pa.int64()) for x in (start + firsts, lengths, crcs, edges[::2])]
                 yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id"])
 
     return files.repartition(n).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, first_id long")

@@ -22,7 +22,7 @@ BLOCK = 1 << 18
 #: Bits between the ranks inside a block.
 GROUP = 512
 WORDS = GROUP // 64
-LEVEL = 3
+LEVEL = 1
 
 
 def build(ids: np.ndarray, doc_ids: list, lengths: list[int], id_type: pa.DataType | None = None) -> bytes:
