@@ -51,7 +51,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int], id_type: pa.DataTy
             put(f"groups/{b}/{k // (BLOCK // 64)}", pack(groups[:-1].astype("<u4").tobytes()))
         put(f"ranks/{b}", pack(np.array(ranks, dtype="<u8").tobytes()))
         zeros.append(len(now) - ranks[-1])
-        now = np.concatenate((now[~one], now[one]))
+        now = np.concatenate((now.compress(~one), now.compress(one)))
     table = pa.record_batch([pa.array(doc_ids, type=id_type), pa.array(lengths, type=pa.int64())], names=["doc_id", "length"])
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema) as stream:
@@ -192,7 +192,7 @@ class WaveletMatrix:
             packed = b"".join(self._part(f"{b}/{k}") for k in range(blocks))
             one = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little", count=self.n).view(bool)
             was = np.empty_like(now)
-            was[~one] = now[:zeros]
-            was[one] = now[zeros:] | kind(1 << b)
+            was[np.flatnonzero(~one)] = now[:zeros]  # by places: several times faster than by a mask
+            was[np.flatnonzero(one)] = now[zeros:] | kind(1 << b)
             now = was
         return now
