@@ -16,12 +16,12 @@ GRAM-word grams (winnowing); phrases alike have one anchor, so a phrase whose an
 the corpus stands once itself. Anchors are one for about 14 words; the rest of the work is on phrases
 with repeated anchors.
 
-Equality is of 128-bit hashes of the phrases' text. Hot anchors and phrases: a task sends on the first
+Equality is of 96-bit hashes of the phrases' text. Hot anchors and phrases: a task sends on the first
 two occurrences that it meets (of an anchor, in each batch until it is known to be hot) and keeps the
 rest, which it knows to be repeats and of phrases also has a source for; so a phrase that a third
 of the documents share reaches the index twice a task, and no pairs are made. The texts are
 shuffled once, by a 64-bit key of id and text, for both the lookup and the removal; what is found
-carries 32 more bits of key, so documents whose keys collide do not take each other's factors.
+carries 16 more bits of key, so documents whose keys collide do not take each other's factors.
 
 Cases: a null text has no words; with fewer than 35 words nothing is removed; windows are judged on the
 input; repeated rows are copies of each other and lose all windows; texts of any length are read
@@ -46,8 +46,9 @@ WINDOW = 35
 GRAM = 8
 #: Phrases that a task remembers having sent on; beyond, it forgets them and sends more. Likewise anchors known to be hot.
 MOST_SEEN, MOST_HOT = 500_000, 200_000
-#: Something found: the document's second key, the first of ``n`` windows, the source's place (its first key and word).
-FOUND = np.dtype([("k2", "<i4"), ("at", "<u4"), ("n", "<u4"), ("source_at", "<u4"), ("source", "<i8")])
+#: Something found: 16 more bits of the document's key, the first of ``n`` windows, the source's place (32 bits of its key, and its word).
+FOUND = np.dtype([("k2", "<i2"), ("n", "<u2"), ("at", "<u4"), ("source_at", "<u4"), ("source", "<i4")])
+MOST_IN_ROW = 60_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,6 +73,11 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
     return least, grams
 
 
+def low(k1):
+    """The lowest 32 bits of a key, signed: names a source."""
+    return (k1 + (1 << 31) & 0xFFFFFFFF) - (1 << 31)
+
+
 def _split(text: bytes | None) -> list[bytes]:
     return (text or b"").split()  # bytes: only ASCII white space splits
 
@@ -152,7 +158,7 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the least place is the source of all others, and the second least its own
         place = np.where(first, np.minimum(least + 1, len(of) - 1), least)
         out = np.zeros(len(of) + int(known.sum()), dtype=FOUND)
-        for name, own, source in (("k2", c["k2"], columns["k2"]), ("at", c["at"], columns["at"]), ("n", np.ones(len(of)), columns["n"]), ("source", c["k1"][place], columns["source"]), ("source_at", c["at"][place], columns["source_at"])):
+        for name, own, source in (("k2", c["k2"], columns["k2"]), ("at", c["at"], columns["at"]), ("n", np.ones(len(of)), columns["n"]), ("source", low(c["k1"][place]), columns["source"]), ("source_at", c["at"][place], columns["source_at"])):
             out[name] = np.concatenate((own, source[known]))
         k1 = np.concatenate((c["k1"], columns["k1"][known]))
         yield pa.RecordBatch.from_arrays([pa.array(k1), pa.Array.from_buffers(pa.binary(FOUND.itemsize), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())], names=["k1", "found"])
@@ -178,7 +184,7 @@ def _emit_phrases(window: int, gram: int, most_seen: int):
                     place = seen.get(phrase)
                     if place is not None and place & 1:
                         source, source_at = met[place >> 33], place >> 1 & 0xFFFFFFFF
-                        if known and known[-1][0] + known[-1][1] == i and known[-1][2:] == [source, source_at - known[-1][1]]:
+                        if known and known[-1][0] + known[-1][1] == i and known[-1][2:] == [source, source_at - known[-1][1]] and known[-1][1] < MOST_IN_ROW:
                             known[-1][1] += 1
                         else:
                             known.append([i, 1, source, source_at])
@@ -187,8 +193,8 @@ def _emit_phrases(window: int, gram: int, most_seen: int):
                         seen.clear()
                         met.clear()
                     if place is None:
-                        if not met or met[-1] != k1:
-                            met.append(k1)
+                        if not met or met[-1] != low(k1):
+                            met.append(low(k1))
                         seen[phrase] = (len(met) - 1) << 33 | i << 1
                     else:
                         seen[phrase] = place | 1
@@ -199,8 +205,8 @@ def _emit_phrases(window: int, gram: int, most_seen: int):
                     rows.append((k1, k2, start, n, source, source_at))
             if rows:
                 p = np.frombuffer(b"".join(phrases), dtype=np.int64).reshape(-1, 2)
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), *columns], names=["p1", "p2", "k1", "k2", "at", "n", "source", "source_at"])
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array((p[:, 1] >> 32).astype(np.int32)), *columns], names=["p1", "p2", "k1", "k2", "at", "n", "source", "source_at"])
 
     return run
 
@@ -224,14 +230,14 @@ def factors(found: list[tuple[int, int, int, int]], window: int = WINDOW) -> lis
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most_seen: int = MOST_SEEN) -> DataFrame:
     """doc_id, k1, t (the text as binary) and found: what its factors are made of, null if none."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), F.col(text_col).cast("binary").alias("t"), F.shiftright(k2, 32).cast("int").alias("k2"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), F.col(text_col).cast("binary").alias("t"), F.shiftright(k2, 48).cast("short").alias("k2"))
     keys = texts.select("k1", "t").mapInArrow(_emit_anchors(window, gram), "key long, k1 long, real long")
     again = keys.repartition("key").sortWithinPartitions("key").withColumn("known", F.col("real").isNotNull().cast("int")).mapInArrow(_again, "k1 long, key long")
     wanted = again.groupBy("k1").agg(F.collect_set("key").alias("keys")).withColumnRenamed("k1", "_k1")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(n, "k1")
-    ask = dealt.join(wanted.hint("merge"), F.col("k1") == F.col("_k1")).select("k1", "k2", "t", "keys")
-    phrases = ask.mapInArrow(_emit_phrases(window, gram, most_seen), "p1 long, p2 long, k1 long, k2 int, at int, n int, source long, source_at int")
+    ask = dealt.join(wanted.hint("merge"), F.col("k1") == F.col("_k1")).select("doc_id", "k1", "k2", "t", "keys")  # all of the columns that the removal reads, so that the texts are shuffled once
+    phrases = ask.mapInArrow(_emit_phrases(window, gram, most_seen), "p1 long, p2 int, k1 long, k2 short, at int, n int, source int, source_at int")
     met = phrases.repartition("p1").sortWithinPartitions("p1", "p2").mapInArrow(_sources, "k1 long, found binary")
     found = met.groupBy(F.col("k1").alias("_k1")).agg(F.collect_list("found").alias("found"))
     return dealt.join(found.hint("merge"), F.col("k1") == F.col("_k1"), "left").select("doc_id", "k1", "k2", "t", "found")
@@ -240,7 +246,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """doc_id, k1, n_words, n_removed, kept_sha256, spans and, if asked for, kept: the words left, joined by single spaces.
 
-    spans are the factors: start and end (words, end exclusive), source (k1 of a row with the same words) and source_start.
+    spans are the factors: start and end (words, end exclusive), source (``low`` of the k1 of a row with the same words) and source_start.
     """
     found = parsed(docs, id_col, text_col, window, gram)
     id_type = dict(found.dtypes)["doc_id"]
