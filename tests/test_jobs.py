@@ -54,7 +54,7 @@ def test_documents(spark):
     rows = spark.createDataFrame(list(enumerate(["rule: always test", "we decided on X"])), "ord long, line string")
     text = jobs.proposal(sessions.promotion_candidates(rows), "s.md", "now").first()["text"]
     assert text.index("decision:we-decided-on-x") < text.index("rule:rule-always-test")
-    assert "No candidates" in jobs.proposal(sessions.promotion_candidates(rows.limit(0)), "s.md", "now").first()["text"]
+    assert "Nothing to promote" in jobs.proposal(sessions.promotion_candidates(rows.limit(0)), "s.md", "now").first()["text"]
     doc = jobs.working_set_document(rows_of(spark, ["- Hard rule: be brief"]), rows_of(spark, ["- (rule:a) x"]), rows_of(spark, ["x" * 300]), {"blockers": [{"type": "ci", "detail": "red"}, "plain"]}, "now").first()["text"]
     assert "- be brief" in doc and "- (rule:a) x" in doc and "- (ci) red" in doc and "- plain" in doc and "x" * 200 + "…" in doc
     snippets = spark.createDataFrame([("s", "ops", 2, "b"), ("s", "ops", 1, "a")], "session string, topic string, n long, snippet string")

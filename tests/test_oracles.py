@@ -32,6 +32,6 @@ def test_every_twin_has_its_query_and_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["ann_ivf_topk", "chunk_paragraphs", "excerpt_window_adaptive"])
+@pytest.mark.parametrize("name", ["ann_ivf_topk"])
 def test_queries_without_twin_run(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0

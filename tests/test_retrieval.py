@@ -1,5 +1,6 @@
 """Behaviour of retrieval: the labelled fixture, scope boundaries, budgets, vectors."""
 
+import hashlib
 import math
 import random
 
@@ -51,8 +52,9 @@ def test_labelled_queries_rank_first(spark, facts):
 
 def test_percentile_rounds_halves_to_even(spark):
     df = spark.createDataFrame([(float(x),) for x in range(12)], "x double")
-    assert df.agg(evaluate.nearest_rank(F.col("x"), 0.95)).first()[0] == 10.0
-    assert df.agg(evaluate.nearest_rank(F.col("x"), 0.5)).first()[0] == float(round(5.5))
+    assert evaluate.nearest_rank(df, "x", 0.95).first()[0] == 10.0
+    assert evaluate.nearest_rank(df, "x", 0.5).first()[0] == float(round(5.5))
+    assert evaluate.nearest_rank(df.limit(0), "x", 0.5).count() == 0
 
 
 HITS = [("foreign", "beta", None), ("unknown", None, None), ("local", "alpha", "fixture.jsonl"), ("unattributed", "beta", None), ("sourced", None, "fixture.jsonl")]
@@ -76,7 +78,7 @@ def test_first_route_with_hits_wins(spark):
     nodes = ledger(spark, [{"id": "note:b", "type": "note", "scope": "alpha", "text": "MARKER"}])
     hits = recall.hits_of(lexical.heuristic_scan(nodes, "marker", None), "scan")
     stale = recall.filtered(hits, "alpha", session_id="s1")
-    assert [r["method"] for r in recall.first_route([stale, hits.withColumn("method", F.lit("second")), hits]).collect()] == ["second"]
+    assert [r["method"] for r in recall.cascade([lambda: stale, lambda: hits.withColumn("method", F.lit("second")), lambda: 1 / 0]).collect()] == ["second"]
     assert recall.external(spark).count() == 0
     assert [r["node_id"] for r in recall.external(spark, lambda q, k: [{"node_id": "x", "score": 0.5, "text": "t"}, {"node_id": "y", "score": 0.1}]).collect()] == ["x"]
 
@@ -190,7 +192,41 @@ def test_store(spark, tmp_path):
     assert [r["node_id"] for r in store.recall("parquet")][0] == "decision:x"
     assert store.query(scope="alpha", node_type="decision").count() == 1
     assert [r["id"] for r in store.context("2026-02-02")] == ["decision:x"]
-    assert "extra" in store.add_tag("extra")
+    assert "extra" in store.add_tag("extra") and "extra" in MemoryStore(spark, str(tmp_path / "alpha"), "alpha").tags
+
+
+def test_store_ids_feed_and_indexes(spark, tmp_path):
+    at = "2026-02-01T00:00:00+00:00"
+    store = MemoryStore(spark, str(tmp_path / "beta"), "beta", clock=lambda: at)
+    digest = lambda s: "jot:beta-" + hashlib.sha256(s.encode()).hexdigest()[:8]
+    assert store.jot("a note alone")["id"] == digest(f"{at}:a note alone")
+    assert store.jot_batch(["in a batch"])[0]["id"] == digest(f"{at}:0:in a batch")
+    store.add_node(node_id="decision:p", node_type="decision", text="use parquet for tables", tags=["decision"])
+    assert [(r["op"], r["node_id"]) for r in store.feed().collect()] == [("add", "decision:p")]
+    store.index()
+    store.add_node(node_id="decision:q", node_type="decision", text="use parquet for logs", tags=["decision"])
+    again = MemoryStore(spark, str(tmp_path / "beta"), "beta", clock=lambda: at)
+    assert sorted(again.lookup("parquet")) == ["use parquet for logs", "use parquet for tables"]
+    hit = again.recall("parquet tables")[0]
+    assert (hit["node_id"], hit["method"]) == ("decision:p", "hybrid")
+    # nothing of the scope in the chunks: the scan answers
+    assert again.recall("parquet", scope="gamma") == [] and again.recall("logs")[0]["method"] == "ledger_scan"
+    found = again.recall("x", scope=None, search=lambda q, n: [{"file": "out/rule_no_pushing.md", "score": 0.9, "text": "---\nid: x\n---\nbody"}, {"node_id": "low", "score": 0.1}])
+    assert [(r["node_id"], r["preview"], r["method"]) for r in found] == [("rule:no-pushing", "body", "external")]
+    assert again.recall("parquet", scope=None, search=lambda q, n: 1 / 0)[0]["method"] != "external"
+    assert again.routing().filter("kind = 'node'").count() == 4
+
+
+def test_output_of_a_program_is_read_leniently():
+    assert recall.json_after_noise('warn {x\n{"results": [{"score": 1}, 3]} tail') == [{"score": 1}]
+    assert recall.json_after_noise("[]") == [] and recall.json_after_noise("nothing") == [] and recall.json_after_noise('x [{"a": 1}]') == [{"a": 1}]
+    assert recall.command(["sh", "-c", "echo noise; echo '[{\"node_id\": \"a\", \"score\": 1}]'"])("q", 3) == [{"node_id": "a", "score": 1}]
+
+
+def test_filter_precedes_the_cut(spark):
+    """A hit of the asked scope is found however many of other scopes score higher."""
+    rows = [{"id": f"rule:{i}", "type": "rule", "scope": "other", "text": "needle needle"} for i in range(30)] + [{"id": "note:mine", "type": "note", "scope": "mine", "text": "a needle"}]
+    assert [r["node_id"] for r in recall.heuristic(ledger(spark, rows), "needle", "mine", 3).collect()] == ["note:mine"]
 
 
 def test_text_functions(spark):

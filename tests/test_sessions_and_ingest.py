@@ -104,19 +104,51 @@ def test_stream_folds_in_any_batches_and_replays(spark, tmp_path):
     assert {r["node_id"] for r in fold.live(spark).collect()} == {"b", "c"}
 
 
-def test_excerpt_windows():
-    fit = sessions.fit_window
-    assert fit([10] * 9, [True] * 9, 4, 3, 10, 1000) == (0, 8)
-    assert fit([10] * 9, [False] * 9, 4, 1, 4, 1000) == (3, 5)
-    assert fit([10] * 9, [True] * 9, 4, 3, 10, 35) == (3, 5)
-    assert fit([10] * 5, [True] * 5, 0, 3, 10, 25) == (0, 1)
-    assert fit([500], [True], 0, 3, 10, 10) == (0, 0)
+def widest(lengths, signal, at, start, most, chars):
+    """The excerpt by its definition: widen while it pays, drop the longer end while it is too long."""
+
+    def shrunk(width):
+        left, right = width, width
+        while True:
+            inside = range(max(0, at - left), min(len(lengths), at + right + 1))
+            if left + right == 0 or sum(lengths[i] for i in inside) <= chars:
+                return (left, right), inside
+            left, right = (left - 1, right) if left >= right else (left, right - 1)
+
+    chosen, failed = shrunk(start), 0
+    for w in range(start + 1, most + 1):
+        other = shrunk(w)
+        if other[0] == chosen[0] or failed > 1:
+            break
+        pays = any(signal[i] for i in other[1]) and (not any(signal[i] for i in chosen[1]) or sum(lengths[i] for i in other[1]) >= sum(lengths[i] for i in chosen[1]))
+        chosen, failed = (other, 0) if pays else (chosen, failed + 1)
+    return chosen[1][0], chosen[1][-1], len(chosen[1])
+
+
+def test_excerpt_windows(spark):
+    rng, rows, expected = random.Random(6), [], {}
+    for s in range(120):
+        n = rng.randrange(1, 26)
+        texts = ["x" * rng.choice([0, 5, 30, 200]) + (" zeta" if rng.random() < 0.2 else "") for _ in range(n)]
+        at = rng.randrange(n)
+        texts[at] = "ab zz. " * 3 + "x" * rng.choice([0, 400])  # the phrase stands here only, and no word of it is a token
+        rows += [(f"s{s}", i, "user", t, "") for i, t in enumerate(texts)]
+        expected[f"s{s}"] = (texts, at)
+    df = spark.createDataFrame(rows, "session string, ord long, role string, text string, ts string")
+    for query, start, most, chars in (("ab zz.", 1, 4, 300), ("ab zz.", 3, 10, 900), ("zeta", 2, 6, 500), ("ab zz.", 3, 10, 10), ("zeta", 0, 3, 10_000)):
+        anchors = {r["session"]: r["anchor_ord"] for r in sessions.anchors(df, query).collect()}
+        found = {r["session"]: (r["first_ord"], r["last_ord"], r["n"]) for r in sessions.excerpt_adaptive(df, query, start, most, chars).collect()}
+        assert set(found) == set(anchors)
+        for s, at in anchors.items():
+            texts = expected[s][0]
+            signal = ["zeta" in t for t in texts] if query == "zeta" else [False] * len(texts)
+            assert found[s] == widest(list(map(len, texts)), signal, at, start, most, chars), (query, start, s)
 
 
 def test_excerpt_text_is_cut_and_stops(spark):
     rows = spark.createDataFrame([("s", i, "x" * 10) for i in range(4)], "session string, ord long, text string")
     got = [r["text"] for r in sessions.excerpt_text(rows, 25).orderBy("ord").collect()]
-    assert len(got) == 3 and got[2].startswith("xxxxx\n\n[TRUNCATED")
+    assert len(got) == 3 and got[2] == "xxxxx" + sessions.CUT_MARK
 
 
 def test_promotion(spark):

@@ -29,8 +29,12 @@ def _text(x: Column | str) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
 
+#: What a strip takes off.
+SPACE = " \t\n\x0b\f\r"
+
+
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(_text(x), r"^\s+|\s+$", "")
+    return F.btrim(_text(x), F.lit(SPACE))
 
 
 def tokens(x: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,13 @@ def retrieval_metrics(hits: DataFrame, truth: DataFrame) -> DataFrame:
     return rr.agg(F.count("*").cast("long").alias("queries"), F.avg("rr").alias("mrr"), F.avg((F.col("rr") > 0).cast("double")).alias("recall"))
 
 
-def nearest_rank(value: Column, fraction: float) -> Column:
-    """The value at the rounded place (halves to even) of all in order."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.rint((F.size(ordered) - 1) * fraction).cast("int"))
+def nearest_rank(df: DataFrame, column: str, fraction: float) -> DataFrame:
+    """One row ``value``: of all values in order, the one at the rounded place (halves to even); no row if there is none.
+
+    Values are counted first, so only distinct ones stand in one order.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
+    placed = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("value")))
+    place = F.rint((F.col("_all") - 1) * fraction)
+    ranked = placed.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))  # one row
+    return ranked.filter((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select("value")

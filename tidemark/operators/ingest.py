@@ -29,14 +29,17 @@ def jot_id(project: str, ts: Column, text: Column, position: Column | None = Non
     return F.concat(F.lit(f"jot:{project}-"), F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 8))
 
 
-def jot_batch(texts: DataFrame, jots: DataFrame, project: str, ts: str) -> DataFrame:
-    """One row for each of ``texts`` (i, text): id, status. Known texts, or known earlier in the batch, are skipped."""
+def jot_batch(texts: DataFrame, jots: DataFrame, project: str, ts: str, placed: bool = True) -> DataFrame:
+    """One row for each of ``texts`` (i, text): id, status. Known texts, or known earlier in the batch, are skipped.
+
+    placed: the place in the batch is part of an id; a note on its own has none.
+    """
     key = F.sha2(X.strip("text"), 256)
     known = jots.select(key.alias("_known")).distinct()
     rows = texts.withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("i")))
     rows = rows.join(known, F.col("_k") == F.col("_known"), "left")
     dup = F.col("_known").isNotNull() | (F.col("_n") > 1)
-    new_id = jot_id(project, F.lit(ts), F.col("text"), F.col("i"))
+    new_id = jot_id(project, F.lit(ts), F.col("text"), F.col("i") if placed else None)
     return rows.select("i", F.when(dup, F.lit(f"jot:{project}-dup")).otherwise(new_id).alias("id"), F.when(dup, "SKIP_DUPLICATE_FACT").otherwise("write").alias("status"), "text")
 
 
@@ -60,6 +63,11 @@ def upsert_chunks(current: DataFrame, new: DataFrame) -> DataFrame:
     return current.join(new.select("node_id").distinct(), "node_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def count_chunks(chunks: DataFrame) -> DataFrame:
+    """(project_id, n_nodes, n_chunks)."""
+    return chunks.groupBy("project_id").agg(F.count_distinct("node_id").alias("n_nodes"), F.count("*").alias("n_chunks"))
+
+
 def delete_chunks(current: DataFrame, gone: DataFrame) -> DataFrame:
     return current.join(gone.select("node_id").distinct(), "node_id", "left_anti")
 
@@ -142,20 +150,33 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
     return split.join(missing, F.col("text_sha256") == F.col("_sha"), "left").withColumn("vector", F.coalesce("vector", "_new")).drop("_sha", "_new")
 
 
-def node_markdown() -> Column:
-    """A node as a document of its own."""
+#: Keys of a node's meta that its document's head has already, or that say how to treat it.
+HEAD_KEYS = ("priority", "supersedes", "pinned", "expiresAt", "source_path", "path", "artifact_id")
+
+
+def extra_meta(meta_json: Column) -> Column:
+    """The other keys of a meta as ``- key: value`` lines by key, an array; values that are no text or number are left out."""
+    known = F.map_filter(F.from_json(meta_json, "map<string,string>"), lambda k, v: ~k.isin(*HEAD_KEYS) & v.isNotNull())
+    return F.transform(F.array_sort(F.map_entries(known)), lambda x: F.concat(F.lit("- "), x["key"], F.lit(": "), x["value"]))
+
+
+def node_markdown(meta_json: Column | None = None) -> Column:
+    """A node as a document of its own, with a section for what else its meta holds."""
     line = lambda label, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), c.cast("string")))
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")))
     title = F.initcap(F.replace(F.replace("id", F.lit(":"), F.lit(": ")), F.lit("-"), F.lit(" ")))
     head = F.array_compact(F.array(F.lit("---"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("type: "), "type"), F.concat(F.lit("scope: "), F.coalesce("scope", F.lit("global"))), line("ts", F.col("ts")), tags, F.when(F.col("priority") != 0, line("priority", F.col("priority"))), line("source", F.col("source_path")), F.lit("---"), F.lit(""), F.concat(F.lit("# "), title), F.lit("")))
     body = F.when(F.coalesce("text", F.lit("")) != "", F.array(F.col("text"), F.lit(""))).otherwise(F.expr("cast(array() as array<string>)"))
+    if meta_json is not None:
+        lines = F.coalesce(extra_meta(meta_json), F.expr("cast(array() as array<string>)"))
+        body = F.concat(body, F.when(F.size(lines) > 0, F.concat(F.array(F.lit("## Metadata")), lines, F.array(F.lit("")))).otherwise(F.expr("cast(array() as array<string>)")))
     return F.array_join(F.concat(head, body), "\n")
 
 
 def rendered(nodes: DataFrame) -> DataFrame:
     """(filename, markdown): the last of nodes with one file name wins."""
     rows = nodes.filter(F.col("id").isNotNull()).withColumn("filename", F.concat(X.safe_filename("id"), F.lit(".md")))
-    return rows.withColumn("markdown", node_markdown()).groupBy("filename").agg(F.max_by("markdown", "ord").alias("markdown"))
+    return rows.withColumn("markdown", node_markdown(F.col("meta_json") if "meta_json" in nodes.columns else None)).groupBy("filename").agg(F.max_by("markdown", "ord").alias("markdown"))
 
 
 def ledger_view(nodes: DataFrame) -> DataFrame:

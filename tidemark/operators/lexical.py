@@ -15,15 +15,19 @@ from tidemark.functions import text as X
 BONUS_TYPES = ("rule", "decision", "incident")
 
 
-def node_text(node: str = "") -> Column:
+def meta_of(nodes: DataFrame) -> Column:
+    """A node's meta as JSON text, empty where the table has none."""
+    return F.coalesce(F.col("meta_json"), F.lit("")) if "meta_json" in nodes.columns else F.lit("")
+
+
+def node_text(nodes: DataFrame) -> Column:
     """What the keyword index covers of a node."""
-    c = lambda name: F.col(f"{node}{name}")
-    return F.concat_ws(" ", c("id"), c("type"), c("scope"), c("text"), F.concat_ws(" ", c("tags")))
+    return F.concat_ws(" ", "id", "type", "scope", "text", F.concat_ws(" ", "tags"), meta_of(nodes))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
     """(token, node_id), distinct."""
-    return nodes.filter(F.col("id").isNotNull()).select(F.explode(X.token_set(node_text())).alias("token"), F.col("id").alias("node_id")).distinct()
+    return nodes.filter(F.col("id").isNotNull()).select(F.explode(X.token_set(node_text(nodes))).alias("token"), F.col("id").alias("node_id")).distinct()
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def lookup_scan(nodes: DataFrame, query: str, k: int = 10) -> DataFrame:
 
 def heuristic_scan(nodes: DataFrame, query: str, k: int | None = 8) -> DataFrame:
     """Hits by substring over all of a node: two points a token, two for a bonus type even without a hit."""
-    found = scan_scores(nodes.withColumn("_tags", F.concat_ws(" ", "tags")), query, X.QUERY_TOKENS, 2, 2, "id", "type", "scope", "text", "_tags")
+    found = scan_scores(nodes.withColumns({"_tags": F.concat_ws(" ", "tags"), "_meta": meta_of(nodes)}), query, X.QUERY_TOKENS, 2, 2, "id", "type", "scope", "text", "_meta", "_tags")
     return found if k is None else found.orderBy(F.desc("score"), F.coalesce("ts", F.lit("")).desc(), "ord").limit(k)
 
 

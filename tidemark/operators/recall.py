@@ -5,7 +5,9 @@ Hits are node_id, node_type, project_id, score, ts, source_path, session_id, ent
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import subprocess
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ def structured(nodes: DataFrame, scope: str | None = None, node_type: str | None
     if tags:
         out = out.filter(F.size(F.array_except(F.array(*map(F.lit, tags)), F.coalesce("tags", F.array().cast("array<string>")))) == 0)
     if contains:
-        out = out.filter(F.contains(F.lower(F.concat_ws("\n", "id", "type", "scope", "text")), F.lit(contains.lower())))
+        out = out.filter(F.contains(F.lower(F.concat_ws("\n", "id", "type", "scope", "text", lexical.meta_of(nodes))), F.lit(contains.lower())))
     return out if limit is None else out.orderBy(F.coalesce("ts", F.lit("")).desc(), "ord").limit(limit)
 
 
@@ -75,22 +77,36 @@ def vector_topk_of_each(chunks: DataFrame, queries: DataFrame, k: int = 20, scop
     return lexical.top(scored, k, F.desc("score"), F.asc("node_id"), F.asc("chunk_id"))
 
 
-def reranked(lexical_hits: DataFrame, vector_hits: DataFrame, chunks: DataFrame, scope: str | None, k: int = 8, missing_penalty: float = 0.20) -> DataFrame:
-    """Full outer of lexical keys and vector hits, fetched from the chunks and scored.
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, lexical_n: int = 50, vector_n: int = 20, scope: str | None = None, missing_penalty: float = 0.20) -> DataFrame:
+    """For each of ``queries`` (query_id, query, q): full-text and vector hits among the chunks of the scope, together and ranked anew.
 
-    Cosine (0 if not among the vector hits), 0.05 for a lexical hit, 0.10 in the asked scope, less
-    ``missing_penalty`` without provenance.
+    Full-text hits are the ``lexical_n`` chunks by BM25 that hold all tokens of ``query``, vector hits the ``vector_n``
+    closest to ``q``; both are chosen within the scope. A chunk scores its cosine (0 if not among the
+    vector hits), 0.05 as a full-text hit, 0.10 if a scope was asked for, less ``missing_penalty`` without provenance.
     """
     keys = ["node_id", "chunk_id"]
-    both = lexical_hits.select(*keys, F.lit(True).alias("_lex")).distinct().join(vector_hits.select(*keys, F.col("score").alias("_vec")), keys, "full_outer")
-    rows = both.join(chunks, keys)
-    rows = rows if scope is None else rows.filter(F.col("project_id") == scope)
+    within = chunks if scope is None else chunks.filter(F.col("project_id") == scope)
+    texts = within.filter(F.col("text").isNotNull()).select(F.struct(*keys).alias("id"), "text")
+    found = lexical.bm25(texts, queries.select("query_id", "query"), lexical_n, all_terms=True).select("query_id", "node_id.*", F.lit(True).alias("_lex"))
+    near = vector_topk_of_each(within.select(*keys, "project_id", "embedding"), queries.select("query_id", "q"), vector_n).select("query_id", *keys, F.col("score").alias("_vec"))
+    both = found.join(near, ["query_id", *keys], "full_outer")
     known = F.lit(False)
     for c in ("source_path", "session_id", "entity_id"):
         if c in chunks.columns:
             known = known | (F.coalesce(F.col(c), F.lit("")) != "")
     score = F.coalesce("_vec", F.lit(0.0)) + F.when(F.col("_lex"), 0.05).otherwise(0.0) + F.lit(0.10 if scope is not None else 0.0) - F.when(known, 0.0).otherwise(missing_penalty)
-    return rows.withColumn("score", score).orderBy(F.desc("score"), F.desc("project_id"), F.desc("node_id"), F.desc("chunk_id")).limit(k)
+    rows = both.join(within.drop("embedding"), keys).withColumn("score", score).drop("_lex", "_vec")
+    return lexical.top(rows, k, F.desc("score"), F.desc("project_id"), F.desc("node_id"), F.desc("chunk_id"))
+
+
+def is_summary() -> Column:
+    """Hits that stand for a whole: of that type, or from a folder of summaries."""
+    return (F.col("node_type") == "summary") | F.contains(F.coalesce("source_path", F.lit("")), F.lit("summaries"))
+
+
+def hierarchical_search(hits: DataFrame, k: int = 8, summary_k: int = 5, now: Column | None = None, half_life_days: float = C.HALF_LIFE_DAYS) -> DataFrame:
+    """``hierarchical`` with the summaries among ``hits``."""
+    return hierarchical(hits.filter(is_summary()), hits, k, summary_k, now, half_life_days)
 
 
 def decayed(hits: DataFrame, now: Column, half_life_days: float = C.HALF_LIFE_DAYS) -> DataFrame:
@@ -114,30 +130,63 @@ def hierarchical(summaries: DataFrame, chunks: DataFrame, k: int = 8, summary_k:
     return once.orderBy(F.desc("score"), F.when(F.col("stage") == "summary", 0).otherwise(1), "node_id").limit(k)
 
 
-def first_route(routes: list[DataFrame], k: int = 8) -> DataFrame:
-    """Of already filtered routes, the hits of the first that has any; one plan, no look at the rows by the driver."""
-    cuts = [r.orderBy(F.desc("score"), F.coalesce("ts", F.lit("")).desc(), "node_id").limit(k).withColumn("_route", F.lit(i)) for i, r in enumerate(routes)]
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cuts)  # at most k rows a route
-    least = F.min("_route").over(Window.partitionBy(F.lit(0)))
-    return both.withColumn("_least", least).filter("_route = _least").drop("_route", "_least")
+def cascade(routes: list[Callable[[], DataFrame]], k: int = 8) -> DataFrame:
+    """The hits of the first route that has any, already filtered; later routes are neither planned nor run.
+
+    Each route is a function that makes its hits. At most ``k`` of them are looked at by the driver.
+    """
+    for route in routes:
+        cut = route().orderBy(F.desc("score"), F.coalesce("ts", F.lit("")).desc(), "node_id").limit(k)
+        rows = cut.collect()
+        if rows:
+            break
+    return cut.sparkSession.createDataFrame(rows, cut.schema)
+
+
+def json_after_noise(text: str) -> list[dict]:
+    """The results in what a program printed: the first JSON list, or the ``results`` of the first JSON object, whatever stands before it."""
+    decode = json.JSONDecoder().raw_decode
+    for at, letter in enumerate(text):
+        if letter in "[{":
+            try:
+                found, _ = decode(text[at:])
+            except ValueError:
+                continue
+            rows = found.get("results") if isinstance(found, dict) else found
+            if isinstance(rows, list):
+                return [r for r in rows if isinstance(r, dict)]
+    return []
+
+
+def command(argv: list[str], timeout: float = 30.0) -> Callable[[str, int], list[dict]]:
+    """A search by a program of the driver's host: called with the query and how many hits, its output read leniently."""
+
+    def search(query: str, n: int) -> list[dict]:
+        done = subprocess.run([*argv, query, str(n)], capture_output=True, text=True, timeout=timeout, check=True)
+        return json_after_noise(done.stdout)
+
+    return search
 
 
 def external(spark, search=None, query: str = "", k: int = 8, min_score: float = 0.35) -> DataFrame:
-    """Hits of an external search, a callable giving rows of (node_id, score, text); none if absent or failing."""
-    schema = "node_id string, score double, text string"
+    """Hits of an external search, a callable giving rows with score, text and node_id, or a file name that stands for it; none if absent or failing."""
+    schema = "node_id string, file string, score double, text string"
     try:
-        rows = [(r["node_id"], float(r["score"]), r.get("text")) for r in (search(query, 2 * k) if search else [])]
+        rows = [(r.get("node_id"), r.get("file") or r.get("path"), float(r["score"]), r.get("text")) for r in (search(query, 2 * k) if search else [])]
     except Exception:  # an external index is best effort by contract
         rows = []
     found = spark.createDataFrame(rows, schema).filter(F.col("score") >= min_score)
-    return found.select("node_id", F.lit(None).cast("string").alias("node_type"), F.lit("").alias("project_id"), "score", F.lit("").alias("ts"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("entity_id"), F.substring(X.without_front_matter("text"), 1, 180).alias("preview"), F.lit("external").alias("method"))
+    name = F.element_at(F.split(F.coalesce("file", F.lit("")), "/"), -1)
+    node_id = F.coalesce("node_id", F.when(name != "", X.id_of_filename(name)))
+    return found.select(node_id.alias("node_id"), F.lit(None).cast("string").alias("node_type"), F.lit("").alias("project_id"), "score", F.lit("").alias("ts"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("entity_id"), F.substring(X.without_front_matter("text"), 1, 180).alias("preview"), F.lit("external").alias("method"))
 
 
 class IvfIndex:
-    """Approximate vector search: k-means cells as partitions, the nearest cells probed.
+    """Approximate vector search: k-means cells, the nearest of which are probed.
 
-    Fitted on at most ``sample`` vectors; every vector is assigned and stored. Under 100 vectors there is
-    one cell and the search is exact.
+    Fitted on at most ``sample`` vectors; every vector is assigned to a cell. ``stored`` writes them, a
+    folder for each cell, so a search reads its cells only and assigns nothing; ``read`` finds them again.
+    Under 100 vectors there is one cell and the search is exact.
     """
 
     def __init__(self, chunks: DataFrame, sample: int = 20_000, seed: int = 1):
@@ -156,6 +205,23 @@ class IvfIndex:
         self.centres = [list(map(float, c)) for c in model.clusterCenters()]
         self.rows = model.transform(rows).drop("_v")
 
+    def stored(self, path: str) -> IvfIndex:
+        """This index with its vectors in the table ``path``/rows, by cell, and its centres beside them."""
+        spark = self.rows.sparkSession
+        centres = [(i, c, self.probes) for i, c in enumerate(self.centres or [None])]
+        spark.createDataFrame(centres, "cell int, centre array<double>, probes int").coalesce(1).write.parquet(f"{path}/centres")
+        self.rows.repartition("cell", F.pmod(F.xxhash64("node_id"), F.lit(8))).write.partitionBy("cell").parquet(f"{path}/rows")
+        return self.read(spark, path)
+
+    @classmethod
+    def read(cls, spark, path: str) -> IvfIndex:
+        index = cls.__new__(cls)
+        centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # at most 100
+        index.cells, index.probes = len(centres), centres[0]["probes"]
+        index.centres = [list(r["centre"]) for r in centres] if centres[0]["centre"] is not None else None
+        index.rows = spark.read.parquet(f"{path}/rows")
+        return index
+
     def nearest_cells(self, query: list[float]) -> list[int]:
         def cos(a, b):
             na, nb = sum(x * x for x in a) ** 0.5 or 1.0, sum(x * x for x in b) ** 0.5 or 1.0

@@ -13,14 +13,48 @@ from tidemark.sources import files
 TTL_DAYS = 30
 
 
+#: Ranges that stored postings are dealt into by a hash of their token, so a lookup reads those of its tokens only.
+TOKEN_PARTS = 64
+
+
+def token_part(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(TOKEN_PARTS)).cast("int")
+
+
+def dealt_postings(nodes: DataFrame) -> DataFrame:
+    """Postings with their range, each range in one place and by token."""
+    posted = lexical.postings(nodes).withColumn("part", token_part(F.col("token")))
+    return posted.repartition("part", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("part", "token")
+
+
 def index_full(nodes: DataFrame, root: str, embed: str = "hash", int8: bool = True) -> dict[str, str]:
     """Chunks with vectors, postings, node metadata and the routing index, each a new snapshot; its paths by name."""
     chunks = ingest.chunk_rows(nodes).withColumn("embedding", V.embedder(embed)(F.col("text")).cast("array<float>")).withColumn("embedding_backend", F.lit(embed))
     chunks = chunks.withColumn("embedding_int8", V.to_int8_blob("embedding")) if int8 else chunks
-    parts = {"chunks": (chunks, ("project_id",)), "postings": (lexical.postings(nodes), ()), "node_meta": (lexical.node_meta(nodes), ()), "routing": (ingest.routing_index(nodes), ("kind",))}
+    parts = {"chunks": (chunks, ("project_id",)), "postings": (dealt_postings(nodes), ("part",)), "node_meta": (lexical.node_meta(nodes), ()), "routing": (ingest.routing_index(nodes), ("kind",))}
     return {name: files.write_snapshot(df, f"{root.rstrip('/')}/{name}", by) for name, (df, by) in parts.items()}
 
 
+def stored_lookup(spark: SparkSession, paths: dict[str, str], queries: DataFrame, k: int = 10, newer: DataFrame | None = None) -> DataFrame:
+    """``lexical.lookup_indexed`` over what ``index_full`` has written, and over nodes that are ``newer``; ranges without a token asked for are not read.
+
+    At most TOKEN_PARTS numbers are collected; the join that follows is by token.
+    """
+    asked = lexical.query_terms(queries, None).select(token_part(F.col("token")).alias("part")).distinct().collect()
+    posted = spark.read.parquet(paths["postings"]).filter(F.col("part").isin([r["part"] for r in asked])).drop("part")
+    meta = spark.read.parquet(paths["node_meta"])
+    if newer is not None:
+        fresh = lexical.node_meta(newer)
+        posted = posted.unionByName(lexical.postings(newer)).distinct()
+        meta = meta.join(fresh.select("node_id"), "node_id", "left_anti").unionByName(fresh)
+    return lexical.lookup_indexed(posted, meta, queries, k)
+
+
+def report(spark: SparkSession, path: str, job: str, counts: dict[str, int], now: str) -> None:
+    """Append what a job did as one JSON line."""
+    spark.createDataFrame([(now, job, counts)], "ts string, job string, counts map<string,bigint>").coalesce(1).write.mode("append").json(path)
+
+
 def index_fast(wal: DataFrame, ledger: DataFrame, chunks: DataFrame, embed: str = "hash", prefer_wal_text: bool = False) -> DataFrame:
     """The chunk table after the feed: touched nodes are chunked anew, deleted ones dropped; others stay as they are.
 
@@ -89,8 +123,8 @@ def proposal(candidates: DataFrame, source: str, now: str) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, sessions.TYPE_ORDER)), F.col("type"))
     line = F.concat(F.lit("- **"), "type", F.lit("** `"), "id", F.lit("` scope=`"), "scope", F.lit("`\n  - "), "text")
     rows = candidates.agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.length("text").alias("l"), "ord", line.alias("line")))).alias("c"))
-    body = F.when(F.size("c") == 0, F.lit("No candidates detected.")).otherwise(F.concat(F.lit("## Candidate nodes\n"), F.array_join(F.transform("c", lambda x: x["line"]), "\n")))
-    return rows.select(F.concat(F.lit(f"# Promotion Proposal ({now})\n\nSource summary: `{source}`\n\n"), body, F.lit("\n")).alias("text"))
+    body = F.when(F.size("c") == 0, F.lit("Nothing to promote.")).otherwise(F.concat(F.lit("## Facts\n"), F.array_join(F.transform("c", lambda x: x["line"]), "\n")))
+    return rows.select(F.concat(F.lit(f"# To be promoted, as of {now}\n\nFrom: `{source}`\n\n"), body, F.lit("\n")).alias("text"))
 
 
 def working_set_document(memory: DataFrame, core: DataFrame, events: DataFrame, state: dict, now: str) -> DataFrame:
@@ -101,11 +135,11 @@ def working_set_document(memory: DataFrame, core: DataFrame, events: DataFrame,
         return rows.agg(F.concat(F.lit(f"## {title}\n"), F.when(F.count("*") == 0, F.lit("- (none)")).otherwise(text), F.lit("\n")).alias("t"))
 
     blockers = [f"- ({b.get('type', 'blocker')}) {b.get('detail', '')}".rstrip() if isinstance(b, dict) else f"- {b}" for b in (state.get("blockers") or [])[:5]]
-    head = f"<!-- GENERATED. DO NOT EDIT. -->\n# WORKING_SET (Global)\n\nUpdated: {now}\nMode: {state.get('mode', 'build')}\n"
+    head = f"<!-- made by a job; changes are lost -->\n# Working set\n\nas of {now}, mode {state.get('mode', 'build')}\n"
     middle = "## Blockers\n" + "\n".join(blockers or ["- (none)"]) + "\n"
-    rules = part("Active hard rules", files.hard_rules(memory), "rule", "- ").withColumnRenamed("t", "a")
-    policy = part("Always-on policy", files.bullets(core), "line", "").withColumnRenamed("t", "b")
-    recent = part("Recent events", events.select("ord", files.tail_text().alias("line")), "line", "- ").withColumnRenamed("t", "c")
+    rules = part("Hard rules", files.hard_rules(memory), "rule", "- ").withColumnRenamed("t", "a")
+    policy = part("Policy", files.bullets(core), "line", "").withColumnRenamed("t", "b")
+    recent = part("Last events", events.select("ord", files.tail_text().alias("line")), "line", "- ").withColumnRenamed("t", "c")
     one = rules.join(F.broadcast(policy), F.lit(True)).join(F.broadcast(recent), F.lit(True))  # one row each
     return one.select(F.concat_ws("\n", F.lit(head), "a", "b", F.lit(middle), "c").alias("text"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tidemark.functions import classify as C
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import context, evaluate, ingest, lexical, recall, sessions
+from tidemark.plans import jobs
 from tidemark.sources import adapters, files
 from tidemark.streaming import wal as wal_stream
 
@@ -63,7 +65,7 @@ def node_query_tags_all(spark, sf):
 
 @query
 def node_query_substring(spark, sf):
-    return recall.structured(adapters.nodes(spark, sf), contains="Password").select("id", "ts")
+    return recall.structured(adapters.nodes(spark, sf), contains="Token").select("id", "ts")
 
 
 @query
@@ -114,44 +116,34 @@ def recall_strict_provenance(spark, sf):
     return recall.heuristic(adapters.nodes(spark, sf), QUERY, None, strict_provenance=True).select("node_id", "node_type", "project_id", "score", "source_path")
 
 
-def query_vector(spark, sf) -> list[float]:
-    """The vector of one row, as the query's literal."""
-    return adapters.table(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
-
-
-@query
-def vector_topk_exact(spark, sf):
-    return recall.vector_topk(adapters.chunk_vectors(spark, sf), query_vector(spark, sf)).select("node_id", "project_id", F.round("score", 9).alias("score"))
-
-
-@query
-def vector_topk_scoped(spark, sf):
-    return recall.vector_topk(adapters.chunk_vectors(spark, sf), query_vector(spark, sf), scope="p3").select("node_id", "project_id", F.round("score", 9).alias("score"))
+def every_20th(spark, sf):
+    """The vectors that are searched for: query_id, q and the words asked for beside them."""
+    return adapters.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(HYBRID_QUERY).alias("query"))
 
 
-def every_20th(spark, sf):
-    """The vectors that are searched for: query_id, q."""
-    return adapters.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _nearest(spark, sf, scope):
+    found = recall.vector_topk_of_each(adapters.chunk_vectors(spark, sf), every_20th(spark, sf).drop("query"), scope=scope)
+    return found.select("query_id", "node_id", "project_id", F.round("score", 9).alias("score"))
 
 
 @query
-def vector_search_exact(spark, sf):
-    """As vector_topk_exact, for every row whose id is divisible by 20."""
-    found = recall.vector_topk_of_each(adapters.chunk_vectors(spark, sf), every_20th(spark, sf))
-    return found.select("query_id", "node_id", "project_id", F.round("score", 9).alias("score"))
+def vector_topk_exact(spark, sf):
+    """For every row whose id is divisible by 20, against all rows."""
+    return _nearest(spark, sf, None)
 
 
 @query
-def vector_search_scoped(spark, sf):
-    found = recall.vector_topk_of_each(adapters.chunk_vectors(spark, sf), every_20th(spark, sf), scope="p3")
-    return found.select("query_id", "node_id", "project_id", F.round("score", 9).alias("score"))
+def vector_topk_scoped(spark, sf):
+    return _nearest(spark, sf, "p3")
 
 
 @query
 def hash_embed(spark, sf):
     rows = adapters.table(spark, sf, "documents").select("doc_id", V.hash_embedding("text").alias("e"))
-    at = lambda i: F.round(F.get("e", i), 9).alias(f"e{i}")
-    return rows.select("doc_id", F.size("e").cast("long").alias("dim"), at(0), at(31), at(32), at(95))
+    # every element takes part: their sum, and their sum weighted by place
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("e").cast("long").alias("dim"), F.round(total, 6).alias("total"), F.round(weighted, 6).alias("weighted"))
 
 
 @query
@@ -168,49 +160,52 @@ def int8_quantize_error(spark, sf):
     return rows.select("vec_id", total.alias("q_sum"), F.round(V.mean_squared_error(F.col("embedding"), F.col("d")), 12).alias("mse"), F.round(V.guarded_cosine(F.col("embedding"), F.col("d")), 9).alias("cosine"))
 
 
-def _chunks_with_source(spark, sf):
+def chunk_texts(spark, sf):
+    """The chunk table: vectors with the texts of the documents of the same number, three of four with a source."""
     i = F.substring_index("node_id", ":", -1).cast("long")
-    return adapters.chunk_vectors(spark, sf).withColumn("source_path", F.when(i % 4 != 0, F.concat(F.lit("doc://"), i.cast("string")))), i
+    texts = adapters.table(spark, sf, "documents").select(F.concat(F.lit("vec:"), F.col("doc_id").cast("string")).alias("node_id"), "text")
+    chunks = adapters.chunk_vectors(spark, sf).withColumn("source_path", F.when(i % 4 != 0, F.concat(F.lit("doc://"), i.cast("string"))))
+    return chunks.join(texts, "node_id", "left")
 
 
-def _hybrid(spark, sf, scope):
-    chunks, i = _chunks_with_source(spark, sf)
-    lex = chunks.filter(i % 7 == 0)
-    lex = lex if scope is None else lex.filter(F.col("project_id") == scope)
-    vec = recall.vector_topk(chunks, query_vector(spark, sf), 20, scope)
-    return recall.reranked(lex, vec, chunks.drop("embedding"), scope, 12).select("node_id", "project_id", F.round("score", 9).alias("score"))
+def _hybrid(spark, sf, **options):
+    return recall.hybrid(chunk_texts(spark, sf), every_20th(spark, sf), **options).select("query_id", "rank", "node_id", "project_id", F.round("score", 9).alias("score"))
 
 
 @query
 def hybrid_rerank(spark, sf):
-    return _hybrid(spark, sf, "p3")
+    return _hybrid(spark, sf, scope="p3", k=12)
 
 
 @query
 def hybrid_rerank_global(spark, sf):
-    return _hybrid(spark, sf, None)
+    return _hybrid(spark, sf, k=12)
 
 
-def _hybrid_search(spark, sf, scope):
-    """The hybrid search with its lexical half: texts of the vectors (documents of the same id) that hold all query tokens, by BM25."""
-    chunks, i = _chunks_with_source(spark, sf)
-    within = chunks if scope is None else chunks.filter(F.col("project_id") == scope)
-    texts = adapters.table(spark, sf, "documents").select(F.concat(F.lit("vec:"), F.col("doc_id").cast("string")).alias("node_id"), "text")
-    named = within.select("node_id", "chunk_id").join(texts, "node_id")
-    found = lexical.bm25(named.select(F.col("node_id").alias("id"), "text"), spark.range(1).select(F.col("id").alias("query_id"), F.lit(HYBRID_QUERY).alias("query")), 50, all_terms=True)
-    lex = named.join(found.select("node_id"), "node_id", "left_semi")
-    vec = recall.vector_topk(chunks, query_vector(spark, sf), 20, scope)
-    return recall.reranked(lex, vec, chunks.drop("embedding"), scope, 12).select("node_id", "project_id", F.round("score", 9).alias("score"))
+@query
+def hybrid_low_level(spark, sf):
+    """The low-level search: its numbers of candidates are given, and nothing is taken off for missing provenance."""
+    return _hybrid(spark, sf, scope="p3", k=20, lexical_n=30, vector_n=10, missing_penalty=0.0)
 
 
 @query
-def hybrid_search(spark, sf):
-    return _hybrid_search(spark, sf, "p3")
+def fts_candidates(spark, sf):
+    """Full-text candidates: nodes of the scope that hold all tokens of a query."""
+    mine = adapters.nodes(spark, sf).filter(F.col("scope") == SCOPE)
+    return lexical.bm25(mine, adapters.probes(spark, sf), 50, all_terms=True)
 
 
 @query
-def hybrid_search_global(spark, sf):
-    return _hybrid_search(spark, sf, None)
+def recall_cascade(spark, sf):
+    """An external search (absent), then the hybrid one (no chunk of the scope), then the scan of the ledger."""
+
+    def hybrid():
+        asked = every_20th(spark, sf).filter("query_id = 0")
+        found = recall.hybrid(chunk_texts(spark, sf), asked, scope=SCOPE)
+        return recall.hits_of(found.select(F.col("node_id").alias("id"), F.lit("note").alias("type"), F.col("project_id").alias("scope"), "score", F.lit("").alias("ts"), "text", "source_path"), "hybrid")
+
+    scan = lambda: recall.heuristic(adapters.nodes(spark, sf), QUERY, SCOPE)
+    return recall.cascade([lambda: recall.external(spark), hybrid, scan]).select("node_id", "score", "method")
 
 
 @query
@@ -236,12 +231,19 @@ def hierarchical_merge(spark, sf):
     return out.select("node_id", "stage", F.round("score", 9).alias("score"))
 
 
+@query
+def hierarchical_summaries(spark, sf):
+    """Summaries found by their type or folder."""
+    path = F.when(F.col("ord") % 10 == 3, F.concat(F.lit("mem/summaries/"), F.col("ord").cast("string"))).otherwise(F.col("source_path"))
+    hits = recall.hits_of(adapters.nodes(spark, sf).withColumn("score", F.col("priority") / F.lit(100.0)).withColumn("source_path", path), "scored")
+    return recall.hierarchical_search(hits, now=now()).select("node_id", "stage", F.round("score", 9).alias("score"))
+
+
 @query
 def cascade_first_nonempty(spark, sf):
     n = adapters.nodes(spark, sf)
     hits = lambda method: recall.filtered(recall.hits_of(lexical.heuristic_scan(n, QUERY, None), method), SCOPE)
-    nothing = hits("index").filter("node_type = 'summary'")
-    return recall.first_route([nothing, hits("scan"), hits("late")]).select("node_id", "score", "method")
+    return recall.cascade([lambda: hits("index").filter("node_type = 'summary'"), lambda: hits("scan"), lambda: hits("late")]).select("node_id", "score", "method")
 
 
 @query
@@ -256,26 +258,13 @@ def active_nodes_supersession(spark, sf):
 
 @query
 def policy_core_budget(spark, sf):
-    short = adapters.nodes(spark, sf).withColumn("text", F.substring("text", 1, 60))
-    return context.core_policy(short)
+    return context.core_policy(adapters.rules(spark, sf))
 
 
 @query
 def triggered_rules_budget(spark, sf):
-    short = adapters.nodes(spark, sf).withColumn("text", F.substring("text", 1, 300))
-    return context.triggered_rules(short, TRIGGER, context.core_policy(short), 5, 1200)
-
-
-@query
-def policy_core_whole(spark, sf):
-    """As policy_core_budget, over whole texts."""
-    return context.core_policy(adapters.nodes(spark, sf))
-
-
-@query
-def triggered_rules_whole(spark, sf):
-    n = adapters.nodes(spark, sf)
-    return context.triggered_rules(n, TRIGGER, context.core_policy(n), 5, 1200)
+    rules = adapters.rules(spark, sf)
+    return context.triggered_rules(rules, TRIGGER, context.core_policy(rules), 5, 1200)
 
 
 @query
@@ -403,8 +392,9 @@ def chunk_paragraphs(spark, sf):
 
 @query
 def chunk_provenance(spark, sf):
-    first = ingest.chunk_rows(adapters.nodes(spark, sf)).filter("chunk_id = 'c000'")
-    return first.select("node_id", "chunk_id", "project_id", "node_type", "source_path", "ts")
+    """Where each chunk comes from, all chunks of the other chunker."""
+    made = ingest.chunk_rows(adapters.nodes(spark, sf), separator="\n", cutting=True)
+    return made.select("node_id", "chunk_id", "project_id", "node_type", "source_path", "ts", "text_sha256")
 
 
 @query
@@ -429,6 +419,8 @@ def shared(spark) -> str:
 
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -478,30 +470,30 @@ def tag_validation(spark, sf):
     return context.tag_violations(adapters.nodes(spark, sf), ["decision", "risk"], ["en", "de", "style"]).withColumn("unknown", joined("unknown"))
 
 
-def _metrics(spark, sf, text):
+@query
+def retrieval_metrics(spark, sf):
+    """Whole texts as queries, every one whose id is divisible by 20."""
     n = adapters.nodes(spark, sf)
-    asked = n.filter("ord % 20 = 0").select(F.col("ord").alias("query_id"), text.alias("query"), F.col("id").alias("expected_text"))
+    asked = n.filter("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.col("text").alias("query"), F.col("id").alias("expected_text"))
     hits = lexical.lookup_indexed(lexical.postings(n), lexical.node_meta(n), asked.select("query_id", "query"), 3)
     out = evaluate.retrieval_metrics(hits.select("query_id", "rank", F.col("node_id").alias("text")), asked.select("query_id", "expected_text"))
     return out.select("queries", F.round("mrr", 9).alias("mrr"), F.round("recall", 9).alias("recall"))
 
 
 @query
-def retrieval_metrics(spark, sf):
-    return _metrics(spark, sf, F.substring("text", 1, 200))
-
-
-@query
-def retrieval_metrics_whole(spark, sf):
-    """As retrieval_metrics, with whole texts as queries."""
-    return _metrics(spark, sf, F.col("text"))
+def latency_percentiles(spark, sf):
+    """Median and 95th percentile by nearest rank, of prices in place of latencies."""
+    prices = adapters.table(spark, sf, "orders").select("o_totalprice")
+    of = lambda name, f: evaluate.nearest_rank(prices, "o_totalprice", f).select(F.lit(name).alias("name"), F.col("value").cast("double").alias("value"))
+    return of("median", 0.5).union(of("p95", 0.95))
 
 
 @query
 def ann_ivf_topk(spark, sf):
     """For every row whose id is divisible by 20; as many cells are probed as reach the recall on a sample of these."""
-    asked = every_20th(spark, sf)
-    found = recall.IvfIndex(adapters.chunk_vectors(spark, sf)).tuned(asked, 20).search_each(asked, 20)
+    asked = every_20th(spark, sf).drop("query")
+    index = recall.IvfIndex(adapters.chunk_vectors(spark, sf)).stored(f"{shared(spark)}/ivf-{uuid.uuid4().hex}").tuned(asked, 20)
+    found = index.search_each(asked, 20)
     return found.select("query_id", "node_id", "project_id", "cell", F.round("score", 9).alias("score"))
 
 
@@ -511,5 +503,160 @@ def working_set(spark, sf):
     return ingest.working_set(tagged).select("id", "ts", X.preview("text", 40).alias("text"))
 
 
+def written_lines(spark, rows, name):
+    """``rows`` (ord, line) as text files in the shared folder, in order within each."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.repartitionByRange(3, "ord").sortWithinPartitions("ord").select("line").write.text(path)
+    return path
+
+
+def as_json(*columns):
+    return F.to_json(F.struct(*columns))
+
+
+@query
+def source_wal_lines(spark, sf):
+    """The change feed written as JSON lines and read back."""
+    feed = adapters.wal(spark, sf)
+    path = written_lines(spark, feed.select("ord", as_json("op", "node_id", "text", "ts").alias("line")), "feed")
+    return files.parse_wal(files.lines(spark, path)).select("op", "node_id", "text", "ts")
+
+
+@query
+def source_nested_sessions(spark, sf):
+    m = adapters.messages(spark, sf)
+    part = F.struct(F.lit("text").alias("type"), F.col("text"))
+    said = F.struct(F.col("role"), F.array(part, F.struct(F.lit("image").alias("type"), F.lit("x").alias("text"))).alias("content"))
+    kind = F.when(F.col("ord") % 5 == 4, "event").otherwise("message")
+    line = as_json(kind.alias("type"), F.concat("session", F.lit("-"), "ord").alias("id"), F.col("ts").alias("timestamp"), said.alias("message"))
+    path = written_lines(spark, m.select((F.col("session").cast("long") * 1000 + F.col("ord")).alias("ord"), line.alias("line")), "nested")
+    return files.parse_nested_sessions(files.lines(spark, path)).select("id", "ts", "role", "text")
+
+
+@query
+def source_flat_sessions(spark, sf):
+    m = adapters.messages(spark, sf)
+    kind = F.when(F.col("ord") % 4 == 3, "tool_call")
+    line = as_json(F.when(kind.isNull(), F.col("role")).alias("role"), kind.alias("type"), F.col("text").alias("message"), F.concat("session", F.lit("-"), "ord").alias("id"), F.col("ts").alias("time"))
+    path = written_lines(spark, m.filter("role <> 'system'").select((F.col("session").cast("long") * 1000 + F.col("ord")).alias("ord"), line.alias("line")), "flat")
+    return files.parse_flat_sessions(files.lines(spark, path)).select("ts", "kind", "role", "text")
+
+
+@query
+def source_newest_log(spark, sf):
+    """The newest log of the first root that has any."""
+    root = f"{shared(spark)}/logs-{uuid.uuid4().hex}"
+    one = adapters.messages(spark, sf).limit(1).select(F.lit("{}").alias("value"))
+    for name in ("old.jsonl", "new.jsonl"):
+        one.write.text(f"{root}/{name}-folder")
+        files.rename_only(spark, f"{root}/{name}-folder", f"{root}/{name}")
+    found = files.newest_session(spark, [f"{root}/nothing", root])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+@query
+def source_tail(spark, sf):
+    rows = adapters.messages(spark, sf).select((F.col("session").cast("long") * 1000 + F.col("ord")).alias("ord"), F.translate("text", "\n", " ").alias("line"))
+    path = f"{shared(spark)}/tail-{uuid.uuid4().hex}"
+    rows.repartitionByRange(1, "ord").sortWithinPartitions("ord").select("line").write.text(path)
+    return files.tail(files.lines(spark, path), 10).select("line")
+
+
+@query
+def source_markdown(spark, sf):
+    """Hard rules, bullets and rule ids among Markdown lines."""
+    o = F.col("doc_id")
+    lead = F.when(o % 4 == 0, F.concat(F.lit("- Hard rule: r"), o.cast("string"))).when(o % 4 == 1, F.concat(F.lit("- (rule:x"), o.cast("string"), F.lit(") text"))).when(o % 4 == 2, F.lit("  - item")).otherwise("text")
+    rows = adapters.table(spark, sf, "documents").select(o.alias("ord"), lead.alias("line"))
+    kinds = [files.hard_rules(rows).select(F.lit("hard").alias("kind"), F.col("rule").alias("value")), files.bullets(rows).select(F.lit("bullet").alias("kind"), F.col("line").alias("value")), files.rule_ids(rows).select(F.lit("id").alias("kind"), F.col("id").alias("value"))]
+    return kinds[0].union(kinds[1]).union(kinds[2])
+
+
+@query
+def wal_state_with_ledger(spark, sf):
+    """The feed's state, texts from the ledger where it has one."""
+    users = adapters.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("user:"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("text"))
+    return ingest.wal_state(adapters.wal(spark, sf), users)
+
+
+@query
+def routing_index_dossiers(spark, sf):
+    kept = spark.createDataFrame([("src1", "notes/one.md"), ("src9", "notes/nine.md")], "scope string, dossier string")
+    return ingest.routing_summary(adapters.nodes(spark, sf), kept)
+
+
+@query
+def excerpt_text_budget(spark, sf):
+    """Excerpts cut off where their characters are used up."""
+    window = sessions.excerpt_fixed(adapters.messages(spark, sf), EXCERPT_QUERY, 2)
+    return sessions.excerpt_text(window, 900).select("session", "ord", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def session_summary_text(spark, sf):
+    return sessions.summary_markdown(_events(spark, sf), 3, 80)
+
+
+@query
+def ledger_markdown(spark, sf):
+    return ingest.ledger_view(adapters.nodes(spark, sf)).select("ord", "section")
+
+
+def _chunk_keys(spark, sf, where, text):
+    return adapters.nodes(spark, sf).filter(where).select(F.col("id").alias("node_id"), F.explode(F.array(F.lit("c000"), F.lit("c001"))).alias("chunk_id"), F.lit(text).alias("text"))
+
+
+@query
+def chunk_upsert(spark, sf):
+    return ingest.upsert_chunks(_chunk_keys(spark, sf, "ord % 3 <> 0", "old"), _chunk_keys(spark, sf, "ord % 4 = 0", "new").filter("chunk_id = 'c000'"))
+
+
+@query
+def chunk_counts(spark, sf):
+    return ingest.count_chunks(_chunk_keys(spark, sf, "ord % 3 <> 0", "old").join(adapters.nodes(spark, sf).select(F.col("id").alias("node_id"), F.col("scope").alias("project_id")), "node_id"))
+
+
+@query
+def chunk_delete(spark, sf):
+    return ingest.delete_chunks(_chunk_keys(spark, sf, "ord % 3 <> 0", "old"), _chunk_keys(spark, sf, "ord % 4 = 0", "new"))
+
+
+@query
+def index_full_counts(spark, sf):
+    """The indexes written as a snapshot and read back: rows and distinct keys of each part but the chunks."""
+    paths = jobs.index_full(adapters.nodes(spark, sf), f"{shared(spark)}/index-{uuid.uuid4().hex}")
+    one = lambda part, *keys: spark.read.parquet(paths[part]).agg(F.lit(part).alias("part"), F.count("*").alias("n_rows"), F.count_distinct(*keys).alias("n_keys"))
+    return one("postings", "token").union(one("node_meta", "type")).union(one("routing", "kind", "value"))
+
+
+@query
+def lookup_stored(spark, sf):
+    """The batch lookup by postings and metadata that were written once and are read back."""
+    paths = jobs.index_full(adapters.nodes(spark, sf), f"{shared(spark)}/lookup-{uuid.uuid4().hex}")
+    return jobs.stored_lookup(spark, paths, adapters.probes(spark, sf)).select("query_id", "rank", "node_id", "score", "ts")
+
+
+@query
+def index_fast_counts(spark, sf):
+    """The chunk table after the feed: nodes touched or gone."""
+    n = adapters.nodes(spark, sf)
+    feed = n.select("ord", F.when(F.col("ord") % 10 == 0, "delete").otherwise("update").alias("op"), F.col("id").alias("node_id"), F.lit("a fresh text").alias("text"), F.lit("2025-01-01").alias("ts")).filter("ord % 5 = 0")
+    ledger = n.withColumn("text", F.when(F.col("ord") % 3 == 0, F.col("type")))
+    chunks = n.select(F.col("id").alias("node_id"), F.lit("c000").alias("chunk_id"), F.lit("old").alias("text"))
+    return jobs.index_fast(feed, ledger, chunks).select("node_id", "chunk_id", "text")
+
+
+@query
+def filename_ids(spark, sf):
+    name = F.concat(X.safe_filename("id"), F.lit(".md"))
+    return adapters.nodes(spark, sf).select("ord", name.alias("filename"), X.id_of_filename(name).alias("id"))
+
+
+@query
+def front_matter_stripped(spark, sf):
+    head = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("---\nid: "), "id", F.lit("\n---\n\n"))).otherwise("")
+    return adapters.nodes(spark, sf).select("ord", F.sha2(X.without_front_matter(F.concat(head, "type", F.lit("\n"), "scope")), 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import time
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
+from tidemark.functions import vectors as V
 from tidemark.operators import context, ingest, lexical, recall
+from tidemark.plans import jobs
 
 LEDGER = "ord long, id string, type string, ts string, scope string, text string, tags array<string>, links array<string>, source_path string, session_id string, entity_id string, priority int, supersedes array<string>"
 #: The tags that a project starts with.
@@ -15,34 +20,63 @@ BASE_TAGS = ("decision", "constraint", "source", "insight", "risk", "next-step",
 OPTIONAL_TAGS = ("metric", "deadline", "process", "tool", "assumption")
 
 
+FEED = "ord long, op string, node_id string, text string, ts string"
+
+
 class MemoryStore:
-    """Appends are new Parquet files under ``root/ledger``; rows are ordered by ``ord``."""
+    """Appends are new Parquet files under ``root/ledger``; rows are ordered by ``ord``.
+
+    ``ord`` is the time of writing in nanoseconds, and more than that of any row seen, so writers on several
+    hosts need no common counter. Small things (tags, where the indexes are, other settings) are one JSON
+    document, written anew beside the old one; the newest counts.
+    """
 
     def __init__(self, spark: SparkSession, root: str, project: str | None = None, clock=None):
         self.spark, self.root, self.project = spark, root.rstrip("/"), project
         self.clock = clock or (lambda: datetime.now(UTC).isoformat(timespec="seconds"))
-        self.tags = {*BASE_TAGS, *OPTIONAL_TAGS}
+        self.settings = self._settings()
+        self.tags = {*BASE_TAGS, *OPTIONAL_TAGS, *self.settings.get("tags", [])}
 
-    def nodes(self) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], LEDGER)
+            return self.spark.createDataFrame([], schema)
+
+    def _settings(self) -> dict:
+        newest = self._read("settings", "ord long, value string").orderBy(F.desc("ord")).first()
+        return json.loads(newest["value"]) if newest else {}
+
+    def set(self, key: str, value) -> None:
+        """Keep a setting."""
+        self.settings = {**self._settings(), key: value}
+        self.spark.createDataFrame([(time.time_ns(), json.dumps(self.settings))], "ord long, value string").coalesce(1).write.mode("append").parquet(f"{self.root}/settings")
+
+    def nodes(self) -> DataFrame:
+        return self._read("ledger", LEDGER)
+
+    def feed(self) -> DataFrame:
+        """The change feed that ``add_node`` writes."""
+        return self._read("feed", FEED)
+
+    def routing(self) -> DataFrame:
+        return ingest.routing_index(self.nodes())
 
     def _append(self, rows: list[dict]) -> None:
-        start = (self.nodes().agg(F.max("ord")).first()[0] or 0) + 1
+        start = max((self.nodes().agg(F.max("ord")).first()[0] or 0) + 1, time.time_ns())
         names = self.spark.createDataFrame([], LEDGER).columns
         filled = [tuple({**r, "ord": start + i, "scope": self.project or "global"}.get(c) for c in names) for i, r in enumerate(rows)]
         self.spark.createDataFrame(filled, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
 
     def add_tag(self, *tags: str) -> list[str]:
         self.tags |= set(tags)
+        self.set("tags", sorted(self.tags - {*BASE_TAGS, *OPTIONAL_TAGS}))
         return sorted(self.tags)
 
     def add_node(self, *, node_id: str, node_type: str, text: str = "", tags=None, links=None, supersedes=None, source_path=None, priority=0, ts=None) -> dict:
-        """Write a node unless its id or its fact (type, scope, text) is known; tags must be registered, one of them a base tag."""
+        """Write a node and tell the feed, unless its id or its fact (type, scope, text) is known; tags must be registered, one of them a base tag."""
         tags = list(tags or [])
         if self.project is not None and (not tags or set(tags) - self.tags or not set(tags) & set(BASE_TAGS)):
             raise ValueError(f"tags must be registered and hold a base tag: {tags}")
@@ -51,32 +85,72 @@ class MemoryStore:
         status = ingest.dedupe_on_write(new, self.nodes()).first()["status"]
         if status == "write":
             self._append([row])
+            self.spark.createDataFrame([(time.time_ns(), "add", node_id, text, row["ts"])], FEED).coalesce(1).write.mode("append").parquet(f"{self.root}/feed")
         return {**row, "status": status}
 
     def jot(self, text: str, *, tags=None) -> dict:
-        return self.jot_batch([text], tags=tags)[0]
+        """Write a quick note on its own; the feed is not told."""
+        return self._jot([text], tags, False)[0]
 
     def jot_batch(self, texts: list[str], *, tags=None) -> list[dict]:
         """Write quick notes; one result for each text, a known one is skipped."""
+        return self._jot(texts, tags, True)
+
+    def _jot(self, texts: list[str], tags, placed: bool) -> list[dict]:
         batch = self.spark.createDataFrame(list(enumerate(texts)), "i long, text string")
         jots = self.nodes().filter(F.array_contains("tags", "jot"))
         ts = self.clock()
-        out = [r.asDict() for r in ingest.jot_batch(batch, jots, self.project or "global", ts).orderBy("i").collect()]  # a row for each text given
+        out = [r.asDict() for r in ingest.jot_batch(batch, jots, self.project or "global", ts, placed).orderBy("i").collect()]  # a row for each text given
         new = [{"id": r["id"], "type": "note", "ts": ts, "text": r["text"], "tags": ["jot", *(tags or [])]} for r in out if r["status"] == "write"]
         if new:
             self._append(new)
         return out
 
+    def index(self) -> dict:
+        """Write all indexes of the ledger as it is; lookups and recalls read them, and the nodes written since."""
+        nodes = self.nodes()
+        upto = nodes.agg(F.max("ord")).first()[0] or 0
+        self.set("index", {"ord": upto, "paths": jobs.index_full(nodes.filter(F.col("ord") <= upto), f"{self.root}/indexes")})
+        return self.settings["index"]
+
+    def _newer(self) -> DataFrame:
+        return self.nodes().filter(F.col("ord") > self.settings["index"]["ord"])
+
     def lookup(self, query: str, *, limit: int = 10, index: bool = True) -> list[str]:
         if not index:
             return [r["text"] for r in lexical.lookup_scan(self.nodes(), query, limit).collect()]
         queries = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        found = lexical.lookup_indexed(lexical.postings(self.nodes()), lexical.node_meta(self.nodes()), queries, limit)
+        if "index" in self.settings:
+            found = jobs.stored_lookup(self.spark, self.settings["index"]["paths"], queries, limit, self._newer())
+        else:
+            found = lexical.lookup_indexed(lexical.postings(self.nodes()), lexical.node_meta(self.nodes()), queries, limit)
         return [r["text"] for r in found.orderBy("rank").collect()]
 
-    def recall(self, query: str, topk: int = 8, **filters) -> list[dict]:
+    def recall(self, query: str, topk: int = 8, *, search=None, min_score: float = 0.35, hierarchical: bool = False, now: str | None = None, **filters) -> list[dict]:
+        """The cascade: hierarchical if asked for, an external search if given, hybrid where chunks are indexed, then the ledger's scan.
+
+        Each route's hits are filtered before they are cut; an external search knows no scope and
+        serves recalls over all scopes only.
+        """
         scope = filters.pop("scope", self.project)
-        return [r.asDict() for r in recall.heuristic(self.nodes(), query, scope, topk, **filters).collect()]
+        scan = lambda: recall.filtered(recall.hits_of(lexical.heuristic_scan(self.nodes(), query, None), "ledger_scan"), scope, **filters)
+        routes = []
+        if hierarchical:
+            at = F.to_timestamp(F.lit(now or self.clock()))
+            # without a summary to lead it, the next route is to answer
+            routes.append(lambda: recall.hierarchical_search(scan(), topk, now=at).withColumn("_any", F.max((F.col("stage") == "summary").cast("int")).over(Window.partitionBy(F.lit(0)))).filter("_any = 1").drop("_any", "stage"))
+        if search is not None:
+            routes.append(lambda: recall.filtered(recall.external(self.spark, search, query, topk, min_score), scope, **filters))
+        if "index" in self.settings:
+            routes.append(lambda: recall.filtered(self._hybrid(query, scope), scope, **filters))
+        return [r.asDict() for r in recall.cascade([*routes, scan], topk).collect()]
+
+    def _hybrid(self, query: str, scope: str | None) -> DataFrame:
+        chunks = self.spark.read.parquet(self.settings["index"]["paths"]["chunks"])
+        asked = self.spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"), V.hash_embedding(F.lit(query)).alias("q"))
+        # only with a full-text hit, as the nearest of hashed vectors says little
+        found = recall.hybrid(chunks, asked, 200, 50, 20, scope).filter(F.forall(X.query_tokens(F.lit(query)), lambda t: F.contains(F.lower("text"), t)))
+        return recall.hits_of(found.select(F.col("node_id").alias("id"), F.col("node_type").alias("type"), F.col("project_id").alias("scope"), "score", "ts", "text", "source_path"), "hybrid")
 
     def query(self, **filters) -> DataFrame:
         return recall.structured(self.nodes(), **filters)

@@ -36,9 +36,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d * 7 % 100).alias("priority"),
         F.when(d % 5 != 0, F.concat(F.lit("doc://"), d.cast("string"))).alias("source_path"),
         F.transform(F.filter(targets, lambda x: x >= 0), id_of).alias("supersedes"),
+        F.format_string('{"note": "m%d"}', d % 13).alias("meta_json"),
     )
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as rules, the shortest with the highest priority: ord, id, type, scope, text, tags, priority."""
+    text = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    signals = F.array(*map(F.lit, ["security", "ops", "core", "risk"]))
+    return text.select("ord", F.concat(F.lit("rule:"), F.col("ord").cast("string")).alias("id"), F.lit("rule").alias("type"), F.lit("global").alias("scope"), "text", F.array(F.element_at(signals, (F.col("ord") % 4 + 1).cast("int"))).alias("tags"), (F.lit(2000) - F.length("text")).cast("long").alias("priority"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session logs: session, ord, role, text, ts (the turn as minutes of a day)."""
     return table(spark, sf_dir, "conversations").select(

@@ -150,6 +150,18 @@ def write_snapshot(df: DataFrame, root: str, partition_by: tuple[str, ...] = ())
     return path
 
 
+def rename_only(spark: SparkSession, folder: str, path: str) -> None:
+    """Give the one part file of a written folder a name of its own."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = [f.getPath() for f in system.listStatus(source) if f.getPath().getName().startswith("part-")]
+    if len(part) != 1:
+        raise ValueError(f"{folder} has {len(part)} part files, not one")
+    system.rename(part[0], target)
+    system.delete(source, True)
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
     """Append nodes as JSON lines; null keys are left out."""
     df.write.mode("append").json(path)
