@@ -151,6 +151,35 @@ def test_excerpt_text_is_cut_and_stops(spark):
     assert len(got) == 3 and got[2] == "xxxxx" + sessions.CUT_MARK
 
 
+def test_lines_of_a_file_cut_into_blocks(spark, tmp_path):
+    rng = random.Random(2)
+    expected = [f"{i} " + "x" * rng.randrange(300) for i in range(6000)]
+    (tmp_path / "log.txt").write_bytes("\n".join(expected).encode() + b"\nbad \xff byte\r")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(100_000))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 16))
+    try:
+        rows = files.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = [r["line"] for r in rows.orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [*expected, "bad \ufffd byte\r"]
+
+
+def test_documents_are_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"rule_{i}.md", f"# {i}\n") for i in range(20)], "filename string, markdown string")
+    files.write_documents(df, str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {f"rule_{i}.md": f"# {i}\n" for i in range(20)}
+
+
+def test_scopes_of_many_tags_are_counted_only(spark):
+    rows = spark.createDataFrame([("a", "big", [f"t{i}" for i in range(30)]), ("b", "small", ["y", "x"]), ("c", "none", [])], "id string, scope string, tags array<string>")
+    got = {r["scope"]: (r["n_nodes"], r["tags"]) for r in ingest.routing_summary(rows, most_tags=20).collect()}
+    assert got == {"big": (1, None), "small": (1, "x,y"), "none": (1, "")}
+
+
 def test_promotion(spark):
     rows = spark.createDataFrame(list(enumerate(["# Session Summary x", "You've hit your limit", "rule: always test", "we decided on X", "must do", "never do", "plain", "{json: must}", "must do", "ralph: new rule"])), "ord long, line string")
     got = [(r["type"], r["text"], r["scope"]) for r in sessions.promotion_candidates(rows).collect()]

@@ -102,10 +102,17 @@ def routing_index(nodes: DataFrame) -> DataFrame:
     return ids.union(tags).distinct()
 
 
-def routing_summary(nodes: DataFrame, dossiers: DataFrame | None = None) -> DataFrame:
-    """A row a scope: numbers of ids and tags, its tags, and its dossier, kept from (scope, dossier) or the default."""
+def routing_summary(nodes: DataFrame, dossiers: DataFrame | None = None, most_tags: int = 1000) -> DataFrame:
+    """A row a scope: numbers of ids and tags, its tags, and its dossier, kept from (scope, dossier) or the default.
+
+    Tags are listed for scopes with up to ``most_tags`` of them (null beyond; ``routing_index`` has them all as rows).
+    """
     index = routing_index(nodes)
-    out = index.groupBy("scope").agg(F.count_if(F.col("kind") == "node").cast("long").alias("n_nodes"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "tag", F.col("value")))), ",").alias("tags"))
+    n = lambda kind: F.count_if(F.col("kind") == kind).cast("long")
+    counts = index.groupBy("scope").agg(n("node").alias("n_nodes"), n("tag").alias("_tags"))
+    few = counts.filter(F.col("_tags") <= most_tags).select(F.col("scope").alias("_s"))
+    listed = index.filter("kind = 'tag'").join(few, F.col("scope") == F.col("_s"), "left_semi").groupBy(F.col("scope").alias("_s")).agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("tags"))
+    out = counts.join(listed, F.col("scope") == F.col("_s"), "left").select("scope", "n_nodes", F.when(F.col("_tags") == 0, F.lit("")).otherwise(F.col("tags")).alias("tags"))
     default = F.concat(F.lit("projects/"), "scope", F.lit(".md"))
     if dossiers is None:
         return out.withColumn("dossier", default)

@@ -1,14 +1,17 @@
 """Readers of ledgers, change feeds, session logs, registries and Markdown, and writers of tables and texts.
 
-Lines keep their order: ``ord`` is a line's place in its file, from the reader's own row index where
-the source has one, so no ordering depends on how Spark deals the rows.
+Lines keep their order: ``ord`` grows along a file, from where the line's block begins and its place in
+what a task reads, so no ordering depends on how Spark deals the blocks.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +21,20 @@ NODE_KEYS = ("id", "type", "ts", "scope", "text")
 ALIASES = {"session_id": ("session_id", "session"), "entity_id": ("entity_id", "desk_id", "agent_id"), "source_path": ("source_path", "path", "artifact_id")}
 
 
+#: Blocks that Spark cuts files into begin at least so many bytes apart.
+LEAST_BLOCK_BITS = 16
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, line): every line of the files, in file order; bytes that are no UTF-8 become U+FFFD.
+    """(file, ord, line): every line of the files; bytes that are no UTF-8 become U+FFFD.
 
-    A file is one row here, as line numbers need it whole; ledgers larger than a task can hold belong in
-    Parquet with an ``ord`` column of their own.
+    Files are cut into blocks and read side by side. ``ord`` grows along a file: the number of the
+    block's place, then the line's place in its task; a small file read alone has its lines counted from 0.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line")).withColumn("ord", F.col("ord").cast("long"))
+    rows = spark.read.option("lineSep", "\n").text(path)
+    block = F.shiftright(F.col("_metadata.file_block_start"), LEAST_BLOCK_BITS)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # without the task's number
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.shiftleft(block, 33).bitwiseOR(place).alias("ord"), F.make_valid_utf8("value").alias("line"))
 
 
 def objects(rows: DataFrame) -> DataFrame:
@@ -168,8 +177,19 @@ def append_ledger(df: DataFrame, path: str) -> None:
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """(filename, markdown) as text files in a folder for each name."""
-    df.select("filename", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("filename").text(path)
+    """(filename, markdown) as files ``path``/filename, each written by the task that has its row."""
+    folder = path.rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    df.select("filename", "markdown").mapInArrow(put, "n long").agg(F.sum("n")).collect()
 
 
 MESSAGES = T.StructType([T.StructField(c, T.StringType()) for c in ("session", "id", "ts", "role", "text")])

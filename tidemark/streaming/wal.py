@@ -1,53 +1,71 @@
-"""The change feed as a stream: last operation of each node, kept in snapshots.
+"""The change feed as a stream: last operation of each node, kept in buckets.
 
-Each micro-batch is folded with the snapshot before it by (node_id, ord), so a batch that runs again
-gives the same snapshot. Batches are bounded by the trigger; the stream's own checkpoint holds what
-was read, which replaces truncating the feed.
+Nodes are dealt into BUCKETS by a hash of their id. Each micro-batch is folded by (node_id, ord) with
+the buckets that it touches, which are written anew; a pointer then names the folder of each bucket. So a
+batch costs what its buckets hold, and one that runs again gives the same state. Folders that no pointer
+names any more are deleted one batch later, when readers have moved on. Batches are bounded by the
+trigger; the stream's own checkpoint holds what was read, which replaces truncating the feed.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEED = "ord long, op string, node_id string, text string, ts string"
 STATE = "node_id string, ord long, op string, text string, ts string"
+BUCKETS = 64
 
 
 class WalFold:
-    """Folds batches into snapshots under ``root``; deletes stay as marks, so late replays do not bring a node back."""
+    """Folds batches into the state under ``root``; deletes stay as marks, so late replays do not bring a node back."""
 
-    def __init__(self, root: str):
-        self.root = root.rstrip("/")
+    def __init__(self, root: str, buckets: int = BUCKETS):
+        self.root, self.buckets = root.rstrip("/"), buckets
 
     def _last(self, spark: SparkSession) -> dict:
+        """The pointer: buckets (number -> folder) and folders to be deleted."""
         try:
-            return json.loads(spark.read.text(f"{self.root}/current", wholetext=True).first()[0])
+            newest = spark.read.schema("number long, value string").json(f"{self.root}/current").orderBy(F.desc("number")).first()
         except Exception as e:  # before the first batch there is no pointer
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return {}
+            newest = None
+        return {"number": newest["number"], **json.loads(newest["value"])} if newest else {"number": 0, "buckets": {}, "stale": []}
+
+    def _read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        return spark.read.schema(STATE).parquet(*folders) if folders else spark.createDataFrame([], STATE)
 
     def snapshot(self, spark: SparkSession) -> DataFrame:
         """All nodes with their last operation."""
-        last = self._last(spark)
-        return spark.read.schema(STATE).parquet(last["path"]) if last else spark.createDataFrame([], STATE)
+        return self._read(spark, sorted(self._last(spark)["buckets"].values()))
 
     def live(self, spark: SparkSession) -> DataFrame:
         return self.snapshot(spark).filter("op <> 'delete'").select("node_id", "text", "ts", "op")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("node_id"), F.lit(self.buckets))
         rows = batch.filter(F.col("op").isNotNull() & F.col("node_id").isNotNull()).select("node_id", "ord", "op", "text", "ts")
-        both = self.snapshot(spark).unionByName(rows)
+        touched = [str(r[0]) for r in rows.select(bucket).distinct().collect()]  # at most BUCKETS
+        if not touched:
+            return
+        last = self._last(spark)
+        old = [last["buckets"][b] for b in touched if b in last["buckets"]]
+        both = self._read(spark, old).unionByName(rows)
         state = both.groupBy("node_id").agg(F.max_by(F.struct("ord", "op", "text", "ts"), "ord").alias("l")).select("node_id", "l.*")
-        path = f"{self.root}/batch-{batch_id:012d}"
-        state.write.mode("overwrite").parquet(path)
-        # the pointer moves after the snapshot is whole
-        spark.createDataFrame([(json.dumps({"path": path, "batch": batch_id}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        path = f"{self.root}/batch-{batch_id:012d}-{uuid.uuid4().hex}"
+        state.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        # the pointer moves after the buckets are whole
+        now = {"buckets": last["buckets"] | {b: f"{path}/bucket={b}" for b in touched}, "stale": old}
+        spark.createDataFrame([(last["number"] + 1, json.dumps(now))], "number long, value string").coalesce(1).write.mode("append").json(f"{self.root}/current")
+        for folder in last["stale"]:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def merge_stream(spark: SparkSession, feed: str, root: str, files_per_batch: int = 100) -> WalFold:
