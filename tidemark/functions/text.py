@@ -133,44 +133,44 @@ def substring_hits(haystack: Column, needles: Column) -> Column:
     return F.size(F.filter(needles, lambda t: F.contains(haystack, t))).cast("long")
 
 
-def chunks(x: Column | str, most: int = 800, separator: str = "\n\n") -> Column:
-    """Paragraphs packed up to ``most`` characters; a piece that is still longer is packed by words; a longer word stays whole."""
-    paragraphs = F.filter(F.transform(F.split(strip(x), separator), strip), lambda p: p != "")
-    empty = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.lit("").alias("buf"), empty.alias("out"))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often lambdas inside read it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def pack(joint: str):
-        def step(acc: Column, piece: Column) -> Column:
-            longer = F.concat(acc["buf"], F.lit(joint), piece)
-            fits = F.length(longer) <= most
-            return (
-                F.when(acc["buf"] == "", F.struct(piece.alias("buf"), acc["out"].alias("out")))
-                .when(fits, F.struct(longer.alias("buf"), acc["out"].alias("out")))
-                .otherwise(F.struct(piece.alias("buf"), F.concat(acc["out"], F.array(acc["buf"])).alias("out")))
-            )
 
-        return step
+def packed(pieces: Column, joint: str, most: int) -> Column:
+    """Pieces, none empty, joined in order for as long as they have up to ``most`` characters; lengths decide, then each chunk is joined once."""
 
-    def end(acc: Column) -> Column:
-        return F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"])))
+    def of(p: Column, lengths: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            longer = acc["used"] + len(joint) + F.get(lengths, i)
+            fits = (acc["used"] > 0) & (longer <= most)
+            return F.struct(F.when(fits, longer).otherwise(F.get(lengths, i)).alias("used"), F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(i))).alias("starts"))
+
+        none = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("starts"))
+        starts = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), none, step)["starts"]
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.array_join(F.slice(p, s + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - s), joint)))
+
+    empty = F.expr("cast(array() as array<string>)")
+    return let(pieces, lambda p: F.when(F.size(p) == 0, empty).otherwise(let(F.transform(p, lambda x: F.length(x)), lambda lengths: of(p, lengths))))
+
+
+def chunks(x: Column | str, most: int = 800, separator: str = "\n\n") -> Column:
+    """Paragraphs packed up to ``most`` characters; a piece that is still longer is packed by words; a longer word stays whole."""
+    paragraphs = F.filter(F.transform(F.split(strip(x), separator), strip), lambda p: p != "")
 
     def by_words(piece: Column) -> Column:
         words = F.filter(F.split(F.replace(piece, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
-        return F.when(F.length(piece) <= most, F.array(piece)).otherwise(F.aggregate(words, start, pack(" "), end))
+        return F.when(F.length(piece) <= most, F.array(piece)).otherwise(packed(words, " ", most))
 
-    packed = F.aggregate(paragraphs, start, pack(separator), end)
-    return F.flatten(F.transform(packed, by_words))
+    return F.flatten(F.transform(packed(paragraphs, separator, most), by_words))
 
 
 def chunks_cutting(x: Column | str, most: int = 800, separator: str = "\n\n") -> Column:
     """The other chunker: a text that fits stays as it is; a paragraph over ``most`` is cut off there."""
-    t = strip(x)
-    cut = F.transform(F.filter(F.transform(F.split(t, separator), strip), lambda p: p != ""), lambda p: F.substring(p, 1, most))
-    empty = F.expr("cast(array() as array<string>)")
 
-    def step(acc: Column, p: Column) -> Column:
-        longer = F.concat(acc["buf"], F.lit(separator), p)
-        return F.when(acc["buf"] == "", F.struct(p.alias("buf"), acc["out"].alias("out"))).when(F.length(longer) <= most, F.struct(longer.alias("buf"), acc["out"].alias("out"))).otherwise(F.struct(p.alias("buf"), F.concat(acc["out"], F.array(acc["buf"])).alias("out")))
+    def of(t: Column) -> Column:
+        cut = F.transform(F.filter(F.transform(F.split(t, separator), strip), lambda p: p != ""), lambda p: F.substring(p, 1, most))
+        return F.when(t == "", F.expr("cast(array() as array<string>)")).when(F.length(t) <= most, F.array(t)).otherwise(packed(cut, separator, most))
 
-    packed = F.aggregate(cut, F.struct(F.lit("").alias("buf"), empty.alias("out")), step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"]))))
-    return F.when(t == "", empty).when(F.length(t) <= most, F.array(t)).otherwise(packed)
+    return let(strip(x), of)
