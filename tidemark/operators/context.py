@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify as C
 from tidemark.functions import text as X
+from tidemark.operators.graph import cyclic
 
 #: Fixed values.
 SIGNAL_TAGS = ("constraint", "risk", "decision", "rule", "next-step")
@@ -24,17 +23,6 @@ POLICY_HEADER = (
 )
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """As a table in the folder that all executors share, which cuts the lineage of a loop."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def supersessions(nodes: DataFrame) -> DataFrame:
     """(scope, src, dst): the last row of each (scope, id) retires nodes of its scope that exist."""
     last = nodes.filter(F.col("id").isNotNull()).groupBy("scope", "id").agg(F.max_by(F.struct("supersedes"), "ord").alias("m"))
@@ -43,39 +31,6 @@ def supersessions(nodes: DataFrame) -> DataFrame:
     return edges.join(there, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("dst") == F.col("_d")), "left_semi")
 
 
-def cyclic(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(scope, id) of nodes on a directed cycle.
-
-    Edges that lead nowhere or come from nowhere are on no cycle and are peeled off first; what is left
-    is closed transitively by doubling paths, so the rounds are logarithmic in the longest one.
-    """
-    core = _written(edges, "edges")
-    size = core.count()
-    for _ in range(most_rounds):
-        starts, ends = core.select("scope", F.col("src").alias("dst")).distinct(), core.select("scope", F.col("dst").alias("src")).distinct()
-        core = _written(_semi(_semi(core, starts, "dst"), ends, "src"), "edges")
-        left = core.count()
-        if left == size:
-            break
-        size = left
-    paths, size = core, size
-    for _ in range(most_rounds):
-        if not size:
-            break
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.scope").eqNullSafe(F.col("b.scope")) & (F.col("a.dst") == F.col("b.src"))).select("a.scope", "a.src", "b.dst")
-        paths = _written(paths.union(longer).distinct(), "paths")
-        now = paths.count()
-        if now == size:
-            break
-        size = now
-    return paths.filter("src = dst").select("scope", F.col("src").alias("id")).distinct()
-
-
-def _semi(edges: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    other = keys.select(F.col("scope").alias("_s"), F.col(column).alias("_k"))
-    return edges.join(other, F.col("scope").eqNullSafe(F.col("_s")) & (F.col(column) == F.col("_k")), "left_semi")
-
-
 def active(nodes: DataFrame) -> DataFrame:
     """Nodes that no other of their scope supersedes; members of cycles stay, for people to resolve."""
     edges = supersessions(nodes)

@@ -12,6 +12,7 @@ from tidemark.functions import classify as C
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import context, evaluate, ingest, lexical, recall, sessions
+from tidemark.operators.tables import shared_folder as shared
 from tidemark.plans import jobs
 from tidemark.sources import adapters, files
 from tidemark.streaming import wal as wal_stream
@@ -413,19 +414,6 @@ def wal_streaming_merge(spark, sf):
     return wal_stream.merge_stream(spark, root, f"{root}-state").live(spark)
 
 
-def shared(spark) -> str:
-    """The folder that driver and executors share."""
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
 @query
 def routing_entries(spark, sf):
     return ingest.routing_index(adapters.nodes(spark, sf))
