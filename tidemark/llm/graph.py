@@ -1,35 +1,13 @@
-"""Connected components of a graph of any shape, by alternating stars, all in tables."""
+"""Connected components, their tables among those that the operators delete when done."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import remove, written_at
+from tidemark.operators import graph
 
 
 def component_roots(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable from each node that ``edges`` (a, b: longs) name, itself excepted.
-
-    Large and small stars (Kiveris et al., "Connected Components in MapReduce and Beyond"): each round
-    links every neighbour of a node to the least of them. A node's neighbours are only aggregated to
-    a minimum and joined, never gathered, so a hub's rows can be split over tasks. Rounds end when the
-    edges no longer change, which they must come to; only their count and a checksum reach the driver. A
-    round's table is deleted when the next one is written.
-    """
-    stars, path = written_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars")
-    seen = None
-    while True:
-        both = stars.union(stars.select("u", "v")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u")).filter("v <> u").distinct()
-        low = large.select(F.col("v").alias("n"), F.col("u").alias("w"))
-        floor = low.groupBy("n").agg(F.min("w").alias("m"))
-        small = low.join(floor, "n").select(F.col("w").alias("v"), F.col("m").alias("u")).union(floor.select("n", "m")).filter("v <> u").distinct()
-        old = path
-        stars, path = written_at(small, "stars")
-        remove(edges.sparkSession, old)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return stars.toDF("node", "root")
-        seen = now
+    """As ``tidemark.operators.graph.component_roots``."""
+    return graph.component_roots(edges, written_at, remove)
