@@ -115,4 +115,7 @@ def recency(ts: Column, today: Column) -> Column:
 
 
 def iso_of_millis(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms.cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
+    """Milliseconds since 1970 as ISO-8601 text in UTC, whatever the session's time zone."""
+    seconds = F.floor(ms.cast("long") / 1000)
+    days = F.floor(seconds / 86_400)
+    return F.date_format(F.to_timestamp_ntz(F.lit("1970-01-01T00:00:00")) + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), (seconds - days * 86_400).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss")

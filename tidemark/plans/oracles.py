@@ -309,6 +309,20 @@ SELECT c.session, concat('# Session Summary: ', c.session, chr(10), chr(10), '##
     "index_fast_counts": f"WITH {NODES} SELECT id AS node_id, 'c000' AS chunk_id, CASE WHEN ord % 5 <> 0 THEN 'old' WHEN ord % 3 = 0 THEN type ELSE 'a fresh text' END AS text FROM nodes WHERE ord % 10 <> 0",
     "filename_ids": f"WITH {NODES} SELECT ord, type || '_' || ord || '.md' AS filename, id FROM nodes",
     "front_matter_stripped": f"WITH {NODES} SELECT ord, sha256(type || chr(10) || scope) AS text_sha256 FROM nodes",
+    "excerpt_nodes": f"""WITH {ANCHORS}, {PLACED}, w AS (SELECT m.session, m.ord, m.role, {redacted('m.text')} AS t FROM anchors a JOIN placed c ON c.session = a.session AND c.ord = anchor_ord JOIN placed m ON m.session = c.session AND abs(m.p - c.p) <= 1), b AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+c AS (SELECT session, ord, role, CASE WHEN length(t) > 600 - before THEN rtrim(substring(t, 1, CAST(600 - before AS BIGINT))) || {lit(sessions.CUT_MARK)} ELSE t END AS t FROM b WHERE before < 600)
+SELECT 'excerpt:' || session AS id, 'excerpt' AS type, 'alpha' AS scope, sha256(string_agg('### ' || role || chr(10) || chr(10) || t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord)) AS text_sha256, '2025-01-31' AS expires_on FROM c WHERE CAST(session AS BIGINT) % 3 <> 0 GROUP BY session""",
+    "topic_nodes": f"WITH {TOPICAL}, s AS (SELECT session, topic, n, '[' || role || ' @ ' || ts || '] ' || {clip('text', 160)} AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY session, topic ORDER BY ord) AS n FROM (SELECT *, unnest({TOPIC_LIST}) AS topic FROM topical)) WHERE n <= 2) SELECT 'excerpt:alpha-' || topic || '-' || session || '-20250101' AS id, 'alpha' AS scope, 'session,' || topic AS tags, sha256(string_agg(snippet, chr(10) ORDER BY n)) AS text_sha256 FROM s GROUP BY session, topic",
+    "merged_buckets": f"WITH {TOPICAL}, {UNKNOWN_TOKENS}, {UNKNOWN_PAIRS}, a AS (SELECT 0 AS r, term, n FROM pairs WHERE n >= 2 ORDER BY n DESC, term LIMIT 5), b AS (SELECT 1 AS r, term, n FROM tokens1 WHERE n >= 2 ORDER BY n DESC, term LIMIT 5), c AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT 'auto_' || replace(term, ' ', '_') AS bucket, term AS keyword, CASE WHEN n % 2 = 0 THEN 0 ELSE n END AS hits FROM c WHERE r = (SELECT min(r) FROM c)",
+    "promotion_proposal": f"WITH found AS ({PROMOTION.replace('LIMIT 40', 'LIMIT 12')}) SELECT '# To be promoted, as of 2025-01-01T00:00:00Z' || chr(10) || chr(10) || 'From: `summary.md`' || chr(10) || chr(10) || '## Facts' || chr(10) || string_agg('- **' || type || '** `' || id || '` scope=`' || scope || '`' || chr(10) || '  - ' || text, chr(10) ORDER BY list_position({items(sessions.TYPE_ORDER)}, type), length(text), ord) || chr(10) AS text FROM found",
+    "policy_document": f"WITH short AS ({RULES}), rules AS ({CORE_RULES}), kept AS ({budget(900, HEADER, None)}) SELECT {' || chr(10) || '.join(lit(x) for x in context.policy_header(900))} || chr(10) || string_agg(bullet, chr(10) ORDER BY rank) AS text FROM kept",
+    "working_set_document": "WITH l AS (SELECT doc_id AS o FROM documents), a AS (SELECT string_agg('- r' || o, chr(10) ORDER BY o) AS t FROM (SELECT o FROM l WHERE o % 5 = 2 ORDER BY o LIMIT 8)), b AS (SELECT string_agg('- (rule:c' || o || ') text', chr(10) ORDER BY o) AS t FROM (SELECT o FROM l WHERE o % 7 = 1 ORDER BY o LIMIT 8)), c AS (SELECT string_agg('- event ' || o, chr(10) ORDER BY o) AS t FROM (SELECT o FROM l ORDER BY o DESC LIMIT 10)) SELECT concat('<!-- made by a job; changes are lost -->', chr(10), '# Working set', chr(10), chr(10), 'as of 2025-01-01T00:00:00Z, mode build', chr(10), chr(10), '## Hard rules', chr(10), a.t, chr(10), chr(10), '## Policy', chr(10), b.t, chr(10), chr(10), '## Blockers', chr(10), '- (ci) red', chr(10), '- plain', chr(10), chr(10), '## Last events', chr(10), c.t, chr(10)) AS text FROM a, b, c",
+    "epoch_millis_iso": "SELECT event_id, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds(event_id * 100003017), '%Y-%m-%dT%H:%M:%S') AS iso FROM events",
+    "unit_vectors": "SELECT vec_id, round(list_inner_product(u, u), 9) AS norm2, round(list_sum(u), 9) AS total FROM (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings))",
+    "stream_distinct": f"WITH {WAL} SELECT DISTINCT op, node_id FROM wal",
+    "changed_logs": "SELECT 'log-' || doc_id AS path, CAST(n_chars AS BIGINT) AS size FROM documents WHERE n_chars % 3 = 0 OR n_chars % 5 = 0",
+    "cached_embeddings": f"SELECT doc_id AS key, text IN (SELECT text FROM documents WHERE doc_id % 4 = 0) AS hit, round(list_sum({hash_vector('text')}), 6) AS total FROM documents",
+    "external_min_score": "SELECT 'rule:no-' || i AS node_id, i / 40::DOUBLE AS score, 'body ' || i AS preview, 'external' AS method FROM range(40) t(i) WHERE i / 40::DOUBLE >= 0.35",
     "working_set": f"WITH {NODES} SELECT id, ts, {preview('text', 40)} AS text FROM nodes WHERE ord % 9 = 0 ORDER BY ord DESC LIMIT 20",
 }
 ORACLES["lookup_stored"] = ORACLES["lookup_indexed"]

@@ -646,5 +646,93 @@ def front_matter_stripped(spark, sf):
     return adapters.nodes(spark, sf).select("ord", F.sha2(X.without_front_matter(F.concat(head, "type", F.lit("\n"), "scope")), 256).alias("text_sha256"))
 
 
+@query
+def excerpt_nodes(spark, sf):
+    """A node for each session's excerpt that is not known by its digest yet."""
+    window = sessions.excerpt_fixed(adapters.messages(spark, sf), EXCERPT_QUERY, 1)
+    none = spark.createDataFrame([], "hash string")
+    known = jobs.excerpt_nodes(window.filter("cast(session as long) % 3 = 0"), none, "alpha", now(), chars=600)
+    made = jobs.excerpt_nodes(window, known.select("hash"), "alpha", now(), chars=600)
+    return made.select("id", "type", "scope", F.sha2("text", 256).alias("text_sha256"), F.substring("expires_at", 1, 10).alias("expires_on"))
+
+
+@query
+def topic_nodes(spark, sf):
+    made = jobs.topic_nodes(sessions.topic_snippets(_topical(spark, sf), n=2), "alpha", "20250101")
+    return made.select("id", "scope", joined("tags").alias("tags"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def merged_buckets(spark, sf):
+    new = sessions.auto_buckets(_topical(spark, sf), least=2)
+    return jobs.merged_buckets(new.filter("hits % 2 = 0").withColumn("hits", F.lit(0).cast("long")), new)
+
+
+@query
+def promotion_proposal(spark, sf):
+    found = sessions.promotion_candidates(summary_lines(spark, sf), most=12)
+    return jobs.proposal(found, "summary.md", NOW)
+
+
+@query
+def policy_document(spark, sf):
+    return context.policy_document(adapters.rules(spark, sf))
+
+
+@query
+def working_set_document(spark, sf):
+    d = adapters.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"))
+    o = F.col("ord").cast("string")
+    memory = d.select("ord", F.when(F.col("ord") % 5 == 2, F.concat(F.lit("- Hard rule: r"), o)).otherwise("x").alias("line"))
+    core = d.select("ord", F.when(F.col("ord") % 7 == 1, F.concat(F.lit("- (rule:c"), o, F.lit(") text"))).otherwise("x").alias("line"))
+    events = files.tail(d.select("ord", F.concat(F.lit("event "), o).alias("line")), 10)
+    return jobs.working_set_document(memory, core, events, {"mode": "build", "blockers": [{"type": "ci", "detail": "red"}, "plain"]}, NOW)
+
+
+@query
+def epoch_millis_iso(spark, sf):
+    return adapters.table(spark, sf, "events").select("event_id", C.iso_of_millis(F.col("event_id") * 100_003_017).alias("iso"))
+
+
+@query
+def unit_vectors(spark, sf):
+    u = V.unit(F.col("embedding"))
+    rows = adapters.table(spark, sf, "embeddings").select("vec_id", u.alias("u"))
+    return rows.select("vec_id", F.round(V.dot(F.col("u"), F.col("u")), 9).alias("norm2"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+
+
+@query
+def stream_distinct(spark, sf):
+    """The feed's first rows of each node and operation, as a stream."""
+    root = files.write_snapshot(adapters.wal(spark, sf).select("op", "node_id").repartition(4), f"{shared(spark)}/distinct-feed")
+    rows = spark.readStream.schema("op string, node_id string").option("maxFilesPerTrigger", 2).parquet(root)
+    out = f"{root}-out"
+    wal_stream.distinct_stream(rows, ["op", "node_id"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}-offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("op string, node_id string").parquet(out)
+
+
+@query
+def changed_logs(spark, sf):
+    logs = adapters.table(spark, sf, "documents").select(F.concat(F.lit("log-"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("long").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modified"))
+    status = logs.filter("size % 3 <> 0").withColumn("size", F.when(F.col("size") % 5 == 0, F.lit(-1)).otherwise(F.col("size")))
+    return jobs.changed_logs(logs, status).select("path", "size")
+
+
+@query
+def cached_embeddings(spark, sf):
+    """Vectors of all texts, from the cache or computed, each distinct missing text once."""
+    d = adapters.table(spark, sf, "documents")
+    cache = d.filter("doc_id % 4 = 0").select(F.sha2("text", 256).alias("text_sha256"), V.hash_embedding("text").alias("vector"))
+    found = ingest.cached_embeddings(d.select(F.col("doc_id").alias("key"), "text"), cache, lambda t: V.hash_embedding(t))
+    return found.select("key", "hit", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query
+def external_min_score(spark, sf):
+    """An external search's hits of the least score, named by the files it gives."""
+    rows = [{"file": f"out/rule_no_{i}.md", "score": i / 40, "text": f"---\nid: {i}\n---\nbody {i}"} for i in range(40)]
+    return recall.external(spark, lambda query, n: rows, "any").select("node_id", "score", "preview", "method")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

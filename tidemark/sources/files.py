@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.classify import iso_of_millis
+
 NODE_KEYS = ("id", "type", "ts", "scope", "text")
 #: The names under which provenance is found in a node's meta.
 ALIASES = {"session_id": ("session_id", "session"), "entity_id": ("entity_id", "desk_id", "agent_id"), "source_path": ("source_path", "path", "artifact_id")}
@@ -92,7 +94,7 @@ def parse_flat_sessions(rows: DataFrame) -> DataFrame:
     A numeric time is milliseconds since 1970. A line is of the first kind that fits.
     """
     number = F.coalesce(*[F.nullif(get(f"$.{k}", "double"), F.lit(0.0)) for k in ("time", "ts", "createdAt")])
-    ts = F.coalesce(*[F.when(F.startswith(F.schema_of_variant(F.variant_get("v", f"$.{k}", "variant")), F.lit("STRING")), F.nullif(get(f"$.{k}"), F.lit(""))) for k in ("time", "ts", "createdAt")], F.date_format(F.timestamp_millis(number.cast("long")), "yyyy-MM-dd'T'HH:mm:ss"))
+    ts = F.coalesce(*[F.when(F.startswith(F.schema_of_variant(F.variant_get("v", f"$.{k}", "variant")), F.lit("STRING")), F.nullif(get(f"$.{k}"), F.lit(""))) for k in ("time", "ts", "createdAt")], iso_of_millis(number))
     kind, role = get("$.type"), get("$.role")
     body = F.coalesce(*[F.coalesce(F.array_join(get(f"$.{k}", "array<string>"), " "), F.nullif(get(f"$.{k}"), F.lit(""))) for k in ("message", "text", "content")])
     error = F.nullif(get("$.error"), F.lit(""))
