@@ -10,6 +10,7 @@ from test_sessions_and_ingest import rows_of
 from tidemark.functions import vectors as V
 from tidemark.operators import sessions
 from tidemark.plans import jobs
+from tidemark.plans.store import MemoryStore
 
 NODES = [{"id": "rule:a", "type": "rule", "scope": "alpha", "text": "alpha marker", "tags": ["ops"]}, {"id": "note:b", "type": "note", "scope": "beta", "text": "beta marker"}]
 
@@ -39,6 +40,30 @@ def test_checkpoint_skips_unchanged_logs(spark, tmp_path):
     assert jobs.checkpoint(spark, str(tmp_path), kept)[0].count() == 1
 
 
+def test_checkpoints_keep_their_status(spark, tmp_path):
+    roots = [str(tmp_path / "a"), str(tmp_path / "b")]
+    for r in roots:
+        os.mkdir(r)
+    (tmp_path / "a/one.jsonl").write_text('{"role":"user","text":"hello"}\n')
+    (tmp_path / "b/two.jsonl").write_text('{"role":"user","text":"there"}\n')
+    store = str(tmp_path / "store")
+    assert spark.read.parquet(jobs.checkpoint_to(spark, roots, store, "2026-01-01")).count() == 2
+    assert spark.read.parquet(jobs.checkpoint_to(spark, roots, store, "2026-01-02")).count() == 0
+    (tmp_path / "b/two.jsonl").write_text('{"role":"user","text":"there again"}\n')
+    assert spark.read.parquet(jobs.checkpoint_to(spark, roots, store, "2026-01-03")).count() == 1
+
+
+def test_candidates_are_promoted_once(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "p"), "p", clock=lambda: "2026-01-01T00:00:00+00:00")
+    rows = spark.createDataFrame(list(enumerate(["rule: always test", "we decided on X"])), "ord long, line string")
+    found = sessions.promotion_candidates(rows, "p")
+    assert [r["status"] for r in jobs.promote(store, found)] == ["write", "write"]
+    assert [r["status"] for r in jobs.promote(store, found)] == ["SKIP_DUPLICATE_ID"] * 2
+    jobs.report(spark, str(tmp_path / "reports"), "promote", {"written": 2}, "now")
+    jobs.report(spark, str(tmp_path / "reports"), "promote", {"written": 0}, "later")
+    assert spark.read.json(str(tmp_path / "reports")).count() == 2
+
+
 def test_excerpts_are_written_once(spark):
     window = spark.createDataFrame([("s1", 0, "user", "one"), ("s1", 1, "assistant", "two")], "session string, ord long, role string, text string")
     none = spark.createDataFrame([], "hash string")

@@ -74,21 +74,46 @@ def changed_logs(found: DataFrame, status: DataFrame) -> DataFrame:
     return found.join(status.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")
 
 
-def list_logs(spark: SparkSession, root: str, most: int | None = 50) -> DataFrame:
-    """(path, size, modified) of a root's logs, newest first."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+def list_logs(spark: SparkSession, roots: str | list[str], most: int | None = 50) -> DataFrame:
+    """(path, size, modified) of the logs of one or several roots, newest first."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(roots).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     ordered = found.orderBy(F.desc("modified"), "path")
     return ordered if most is None else ordered.limit(most)
 
 
-def checkpoint(spark: SparkSession, root: str, status: DataFrame, limit_messages: int = 160, most_text: int = 280) -> tuple[DataFrame, DataFrame]:
+def checkpoint(spark: SparkSession, roots: str | list[str], status: DataFrame, limit_messages: int = 160, most_text: int = 280) -> tuple[DataFrame, DataFrame]:
     """Summaries (session, text) of the logs that changed, and the status to keep."""
-    found = list_logs(spark, root)
+    found = list_logs(spark, roots)
     changed = changed_logs(found, status)
-    events = files.parse_flat_sessions(files.lines(spark, f"{root.rstrip('/')}/*.jsonl")).join(changed.select(F.col("path").alias("session")), "session", "left_semi")
+    paths = [f"{r.rstrip('/')}/*.jsonl" for r in ([roots] if isinstance(roots, str) else roots)]
+    events = files.parse_flat_sessions(files.lines(spark, paths)).join(changed.select(F.col("path").alias("session")), "session", "left_semi")
     return sessions.summary_markdown(events, limit_messages, most_text), found
 
 
+STATUS = "path string, size long, modified timestamp, at string"
+
+
+def checkpoint_to(spark: SparkSession, roots: str | list[str], store: str, now: str) -> str:
+    """``checkpoint`` with its status kept under ``store``: returns where the summaries of what changed are."""
+    try:
+        kept = spark.read.schema(STATUS).parquet(f"{store}/status")
+    except Exception as e:  # the first time there is none
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        kept = spark.createDataFrame([], STATUS)
+    last = kept.filter(F.col("at") == (kept.agg(F.max("at")).first()[0] or ""))
+    made, found = checkpoint(spark, roots, last)
+    path = files.write_snapshot(made, f"{store.rstrip('/')}/summaries")
+    # the status moves after the summaries are whole
+    found.withColumn("at", F.lit(now)).write.mode("append").parquet(f"{store}/status")
+    return path
+
+
+def promote(store, candidates: DataFrame, tag: str = "decision") -> list[dict]:
+    """Write promotion candidates, few by their limit, through the store; known ones are skipped."""
+    return [store.add_node(node_id=c["id"], node_type=c["type"], text=c["text"], tags=[tag]) for c in candidates.orderBy("ord").collect()]
+
+
 def excerpt_hash() -> Column:
     """A digest of an excerpt's session and messages, in this engine's own canonical form."""
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct("session", "messages")), 256))

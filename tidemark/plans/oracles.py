@@ -323,6 +323,9 @@ SELECT 'excerpt:' || session AS id, 'excerpt' AS type, 'alpha' AS scope, sha256(
     "changed_logs": "SELECT 'log-' || doc_id AS path, CAST(n_chars AS BIGINT) AS size FROM documents WHERE n_chars % 3 = 0 OR n_chars % 5 = 0",
     "cached_embeddings": f"SELECT doc_id AS key, text IN (SELECT text FROM documents WHERE doc_id % 4 = 0) AS hit, round(list_sum({hash_vector('text')}), 6) AS total FROM documents",
     "external_min_score": "SELECT 'rule:no-' || i AS node_id, i / 40::DOUBLE AS score, 'body ' || i AS preview, 'external' AS method FROM range(40) t(i) WHERE i / 40::DOUBLE >= 0.35",
+    "node_previews": f"WITH {NODES} SELECT ord, {preview('text', 140)} AS short, {preview('text', 160)} AS middle FROM nodes",
+    "ann_ivf_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
+    "maintenance_report": f"WITH {NODES} SELECT 'rendered' AS part, count(DISTINCT id) AS n FROM nodes UNION ALL SELECT 'policy', 1 UNION ALL SELECT 'expired', count(*) FILTER (ord % 3 <> 0 AND ord % 11 <> 0 AND ts < '2024-07-01T00:00:00Z' AND source_path IS NOT NULL) FROM nodes WHERE type = 'excerpt' UNION ALL SELECT 'audit', count(*) FROM (SELECT * FROM nodes ORDER BY ts DESC, id LIMIT 50) WHERE source_path IS NULL",
     "working_set": f"WITH {NODES} SELECT id, ts, {preview('text', 40)} AS text FROM nodes WHERE ord % 9 = 0 ORDER BY ord DESC LIMIT 20",
 }
 ORACLES["lookup_stored"] = ORACLES["lookup_indexed"]

@@ -734,5 +734,33 @@ def external_min_score(spark, sf):
     return recall.external(spark, lambda query, n: rows, "any").select("node_id", "score", "preview", "method")
 
 
+@query
+def node_previews(spark, sf):
+    return adapters.nodes(spark, sf).select("ord", X.preview("text", 140).alias("short"), X.preview("text", 160).alias("middle"))
+
+
+@query
+def ann_ivf_recall(spark, sf):
+    """Of the ten true neighbours of every row whose id is divisible by 20, whether the stored index finds nine in ten."""
+    asked = every_20th(spark, sf).drop("query")
+    chunks = adapters.chunk_vectors(spark, sf)
+    index = recall.IvfIndex(chunks).stored(f"{shared(spark)}/ivf-{uuid.uuid4().hex}").tuned(asked, 10)
+    pairs = lambda df: df.select("query_id", "node_id")
+    true, found = pairs(recall.vector_topk_of_each(chunks, asked, 10)), pairs(index.search_each(asked, 10))
+    both = true.join(found.withColumn("hit", F.lit(1)), ["query_id", "node_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query
+def maintenance_report(spark, sf):
+    """What regular maintenance does, as numbers."""
+    n = adapters.nodes(spark, sf)
+    chunks = n.select(F.col("id").alias("node_id"), F.lit("c000").alias("chunk_id"), F.col("scope").alias("project_id"), "source_path", F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("entity_id"), F.col("ts").alias("created_at"))
+    done = jobs.maintain(n, chunks, _excerpts(spark, sf), F.to_timestamp(F.lit("2024-07-01T00:00:00+00:00")), ("doc://",))
+    counts = lambda name, c: done[name].select(F.lit(name).alias("part"), c.cast("long").alias("n"))
+    rows = lambda name: done[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return rows("rendered").union(rows("policy")).union(counts("expired", F.col("deleted"))).union(rows("audit"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

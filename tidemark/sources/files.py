@@ -27,7 +27,7 @@ ALIASES = {"session_id": ("session_id", "session"), "entity_id": ("entity_id", "
 LEAST_BLOCK_BITS = 16
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, ord, line): every line of the files; bytes that are no UTF-8 become U+FFFD.
 
     Files are cut into blocks and read side by side. ``ord`` grows along a file: the number of the
