@@ -147,6 +147,8 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of phrases sorted by p1 and p2: (k1, found) of those that stand twice or have a source already."""
     for columns, _, sizes in _whole_runs(batches, ["p1", "p2"]):
+        w, s = columns.pop("w"), columns.pop("s")
+        columns |= {"k2": w >> 48, "n": w >> 32 & 0xFFFF, "at": w & 0xFFFFFFFF, "source": s >> 32, "source_at": s & 0xFFFFFFFF}
         run = np.repeat(np.arange(len(sizes)), sizes)
         known = columns["n"] > 0
         asked = np.repeat(sizes > 1, sizes) & ~known
@@ -165,7 +167,10 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit_phrases(window: int, gram: int, most_seen: int):
-    """(p1, p2, k1, k2, at, n, source, source_at): phrases with repeated anchors, n = 0; stretches of n windows whose source is known."""
+    """(p1, p2, k1, w, s): phrases with repeated anchors, n = 0; stretches of n windows whose source is known.
+
+    w holds k2 (16 bits), n (16) and the first window (32), s the source (32) and its word (32): shuffled rows are to be small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}  # phrase -> where it was met first (document, word) and whether a second time
@@ -199,14 +204,14 @@ def _emit_phrases(window: int, gram: int, most_seen: int):
                     else:
                         seen[phrase] = place | 1
                     phrases.append(phrase)
-                    rows.append((k1, k2, i, 0, 0, 0))
+                    rows.append((k1, (k2 << 48) + i, 0))
                 for start, n, source, source_at in known:
                     phrases.append(xxhash.xxh3_128_digest(b"%d %d" % (k1, start)))  # any task will do
-                    rows.append((k1, k2, start, n, source, source_at))
+                    rows.append((k1, (k2 << 48) + (n << 32) + start, (source << 32) + source_at))
             if rows:
                 p = np.frombuffer(b"".join(phrases), dtype=np.int64).reshape(-1, 2)
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array((p[:, 1] >> 32).astype(np.int32)), *columns], names=["p1", "p2", "k1", "k2", "at", "n", "source", "source_at"])
+                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array((p[:, 1] >> 32).astype(np.int32)), *columns], names=["p1", "p2", "k1", "w", "s"])
 
     return run
 
@@ -237,7 +242,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(n, "k1")
     ask = dealt.join(wanted.hint("merge"), F.col("k1") == F.col("_k1")).select("doc_id", "k1", "k2", "t", "keys")  # all of the columns that the removal reads, so that the texts are shuffled once
-    phrases = ask.mapInArrow(_emit_phrases(window, gram, most_seen), "p1 long, p2 int, k1 long, k2 short, at int, n int, source int, source_at int")
+    phrases = ask.mapInArrow(_emit_phrases(window, gram, most_seen), "p1 long, p2 int, k1 long, w long, s long")
     met = phrases.repartition("p1").sortWithinPartitions("p1", "p2").mapInArrow(_sources, "k1 long, found binary")
     found = met.groupBy(F.col("k1").alias("_k1")).agg(F.collect_list("found").alias("found"))
     return dealt.join(found.hint("merge"), F.col("k1") == F.col("_k1"), "left").select("doc_id", "k1", "k2", "t", "found")
