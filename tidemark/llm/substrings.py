@@ -49,6 +49,8 @@ MOST_SEEN, MOST_HOT = 500_000, 200_000
 #: Something found: 16 more bits of the document's key, the first of ``n`` windows, the source's place (32 bits of its key, and its word).
 FOUND = np.dtype([("k2", "<i2"), ("n", "<u2"), ("at", "<u4"), ("source_at", "<u4"), ("source", "<i4")])
 MOST_IN_ROW = 60_000
+#: Phrases of whole documents that a task gathers before it sends them on.
+MOST_ROWS = 20_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -172,6 +174,11 @@ def _emit_phrases(window: int, gram: int, most_seen: int):
     w holds k2 (16 bits), n (16) and the first window (32), s the source (32) and its word (32): shuffled rows are to be small.
     """
 
+    def batch_of(phrases: list[bytes], rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        p = np.frombuffer(b"".join(phrases), dtype=np.int64).reshape(-1, 2)
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array((p[:, 1] >> 32).astype(np.int32)), *columns], names=["p1", "p2", "k1", "w", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}  # phrase -> where it was met first (document, word) and whether a second time
         met: list[int] = []  # the documents that places in ``seen`` count from
@@ -208,10 +215,11 @@ def _emit_phrases(window: int, gram: int, most_seen: int):
                 for start, n, source, source_at in known:
                     phrases.append(xxhash.xxh3_128_digest(b"%d %d" % (k1, start)))  # any task will do
                     rows.append((k1, (k2 << 48) + (n << 32) + start, (source << 32) + source_at))
+                if len(rows) >= MOST_ROWS:
+                    yield batch_of(phrases, rows)
+                    phrases, rows = [], []
             if rows:
-                p = np.frombuffer(b"".join(phrases), dtype=np.int64).reshape(-1, 2)
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array((p[:, 1] >> 32).astype(np.int32)), *columns], names=["p1", "p2", "k1", "w", "s"])
+                yield batch_of(phrases, rows)
 
     return run
 
