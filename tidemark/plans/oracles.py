@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.functions import classify as C
 from tidemark.functions import text as X
 from tidemark.operators import context, sessions
-from tidemark.plans.queries import EXCERPT_QUERY, HYBRID_QUERY, JOT_TS, QUERY, SCOPE
+from tidemark.plans.queries import EXCERPT_QUERY, FTS_QUERIES, HYBRID_QUERY, JOT_TS, QUERY, SCOPE
 
 
 def lit(s: str) -> str:
@@ -200,6 +200,7 @@ PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY
 LATEST = "latest AS (SELECT node_id, text, ts, op FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ord DESC) AS n FROM wal) WHERE n = 1 AND op <> 'delete')"
 HITS = f"{NODES}, hits AS (SELECT id AS node_id, type AS node_type, scope AS project_id, priority / 100.0 AS score, ts FROM nodes)"
 
+FTS = " UNION ALL ".join(f"SELECT {i} AS query_id, {lit(q)} AS query" for i, q in enumerate(FTS_QUERIES))
 ORACLES = {
     "ledger_scan_valid": "SELECT event_id AS ord, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_type(props) = 'OBJECT'",
     "node_query_structured": f"WITH {NODES} SELECT id, ts, scope, {preview('text')} AS preview FROM nodes WHERE scope = '{SCOPE}' AND type = 'decision' ORDER BY ts DESC, ord LIMIT 20",
@@ -224,7 +225,7 @@ SELECT vec_id, CAST(list_sum(qv) AS BIGINT) AS q_sum, round(list_sum(list_transf
     "hybrid_rerank": hybrid("p3"),
     "hybrid_rerank_global": hybrid(None),
     "hybrid_low_level": hybrid("p3", 20, 30, 10, 0.0),
-    "fts_candidates": f"""WITH {NODES}, mine AS (SELECT id AS node_id, {tokens('text')} AS ts FROM nodes WHERE scope = '{SCOPE}'), terms AS (SELECT DISTINCT query_id, unnest({tokens('query')}) AS token FROM ({PROBES})), asked AS (SELECT query_id, count(*) AS n_asked FROM terms GROUP BY query_id),
+    "fts_candidates": f"""WITH {NODES}, mine AS (SELECT id AS node_id, {tokens('text')} AS ts FROM nodes WHERE scope = '{SCOPE}'), terms AS (SELECT DISTINCT query_id, unnest({tokens('query')}) AS token FROM ({FTS})), asked AS (SELECT query_id, count(*) AS n_asked FROM terms GROUP BY query_id),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM mine), tf AS (SELECT node_id, dl, token, count(*) AS tf FROM (SELECT node_id, len(ts) AS dl, unnest(ts) AS token FROM mine) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 s AS (SELECT query_id, node_id, count(*) AS n_found, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN tf USING (token) JOIN df USING (token), stats GROUP BY query_id, node_id)
 SELECT query_id, rank, node_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s JOIN asked USING (query_id) WHERE n_found = n_asked) WHERE rank <= 50""",
