@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op11_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op13_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
 
 
@@ -29,6 +32,9 @@ def test_contract(ready, name):
         column, kind = column.split()
         assert types[column] == kind
     rows = df.collect()
+    if name == "op13_vector_codes":
+        assert {r["vec_id"] for r in rows} == set(range(500)) and len({r["codebooks_sha256"] for r in rows}) == 1
+        return
     ids = {r["doc_id"] for r in rows}
     assert ids == set(range(200)) and (len(rows) == 200) == (name != "op10_packing")
     if name == "op3_simhash":

@@ -1,4 +1,4 @@
-"""The operators' queries over ``documents`` and, where SQL can express them, the same in DuckDB's SQL."""
+"""The operators' queries over the given tables and, where SQL can express them, the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, media, mixing, oracles, packing, quality, secrets, simhash, substrings, token_counts, token_files
+from tidemark.llm import jaccard, language, media, mixing, oracles, packing, quality, resampling, secrets, simhash, substrings, token_counts, token_files, vector_codes
 from tidemark.llm.common import documents, prepare
 
 #: The vocabulary files that the queries use.
@@ -69,7 +69,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BYTE_BPE)
 
 
-OPERATORS = (op1_token_counts, op2_secret_scan, op3_simhash, op4_media_columns, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_mixing, op9_language_id, op10_packing)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's texts."""
+    found = resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_documents(documents(spark, sf_dir))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+OPERATORS = (op1_token_counts, op2_secret_scan, op3_simhash, op4_media_columns, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_mixing, op9_language_id, op10_packing, op11_importance_resampling, op12_jaccard_join, op13_vector_codes)
 
 
 def queries(*more: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
