@@ -12,13 +12,14 @@ share is among those of both. A set whose partners may lie in the next band ente
 with too few slices that are not empty enters anew by another cut of the space, and again until it has enough, so one of two
 linked sets always has. Fuller slices come first as they are rarer: a passage that many texts share fills few slices alone.
 
-Within a tile. Up to SMALL sets: all pairs. More: each with the LEADERS smallest; then components are taken,
-and only tiles that hold several components are looked at again, in squares of up to SQUARE by SQUARE sets, each a group of its own,
-so that neither a square nor its pairs grow with the tile. There bitmaps (one hashed bit a shingle, as many bits
-as shingles or more) bound the overlap from above: each bit that only one of two sets has is a shingle that
+Within a tile. Up to SMALL sets meet in all pairs, more with the smallest of them. Each set is compared with the smallest
+that it meets at all; then components are taken, and only what may join two of them is looked at: pairs of small tiles,
+and large tiles that hold several components, in squares of up to SQUARE by SQUARE sets, each a group of its own,
+so that neither a square nor its pairs grow with the tile. There bitmaps (one hashed bit a shingle, in WIDE bits
+a shingle or more, folded for a first look) bound the overlap from above: each bit that only one of two sets has is a shingle that
 the other lacks. Pairs of different components that pass are intersected exactly: first only the likeliest partner of
-each set in each other component, and after taking components anew all pairs that are left. So a large group of near copies
-costs links in proportion to its size, and none is missed that would join two components.
+each set in each other component, and after taking components anew, in tiles where that left some out, all pairs. So a large group of near
+copies costs links in proportion to its size, and none is missed that would join two components.
 
 Verification compares bit counts, then sorted arrays of 40-bit hashes (a pair of texts of 500 words has equal
 hashes of different shingles with a chance of 1e-8; sizes are counted on 64 bits).
@@ -48,13 +49,15 @@ SHINGLE = 5
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 80
 SEED = 44
-#: Tiles of up to so many sets yield all pairs; larger ones pairs with so many leaders.
-SMALL, LEADERS = 8, 2
+#: Tiles of up to so many sets yield all pairs; larger ones pairs with their smallest set.
+SMALL = 8
 #: Sets of one side of a square.
 SQUARE = 512
 #: Sets whose copies are left out within a task.
 MOST_SEEN = 100_000
 KEPT_BITS = 40
+#: Bits of a bitmap for each hash, at least, and of the narrow form that is looked at first.
+WIDE = 4
 #: Between the cuts of the space of hashes.
 STEP = 0x9E3779B97F4A7C15
 
@@ -84,8 +87,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """One bit a hash, by its lowest bits, in the power of two of bits that is not below their number."""
-    bits = max(64, 1 << (max(1, len(grams)) - 1).bit_length())
+    """One bit a hash, by its lowest bits, in a power of two of bits, WIDE times their number or more."""
+    bits = max(64, 1 << (WIDE * max(1, len(grams)) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(grams & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -198,7 +201,7 @@ def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, fp) sorted by both: pairs (a, b), and (a, null, key) for each set of a tile of over SMALL."""
+    """Over rows (key, fp) sorted by both: pairs (a, b, null), and (smallest set, set, key) for each set of a tile of over SMALL."""
 
     def of(keys, fps, cut):
         once = np.append(True, (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1]))[: len(keys)]
@@ -212,16 +215,12 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[p
             at = np.flatnonzero(~large & (place + d < last - first))
             a.append(fps[at])
             b.append(fps[at + d])
-        for d in range(LEADERS):
-            at = np.flatnonzero(large & (place > d))
-            a.append(fps[first[at] + d])
-            b.append(fps[at])
         a, b = np.concatenate(a), np.concatenate(b)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
-        yield pa.RecordBatch.from_arrays([pa.array(fps[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(keys[large])], names=["a", "b", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(fps[first[large]]), pa.array(fps[large]), pa.array(keys[large])], names=["a", "b", "key"])
 
     def held_in_pieces():
-        """Rows of whole tiles, and whether the first tile among them is but a piece: one of over ``most`` rows is taken in pieces, each led by its first sets."""
+        """Rows of whole tiles, and whether the first tile among them is but a piece: one of over ``most`` rows is taken in pieces, each led by its smallest set."""
         keys, fps, cut = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
         for batch in batches:
             keys, fps = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False)]) for c, old in (("key", keys), ("fp", fps)))
@@ -231,8 +230,7 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[p
                 keys, fps, cut = keys[tail:], fps[tail:], False
             if len(keys) > most:
                 yield keys, fps, True
-                lead = np.unique(fps)[:LEADERS]
-                keys, fps, cut = keys[: len(lead)], lead, True
+                keys, fps, cut = keys[:1], fps[:1], True
         yield keys, fps, cut
 
     for piece in held_in_pieces():
@@ -245,34 +243,53 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sides, strict=True)], pa.bool_()))
 
 
+def _square(rows: list[tuple], likeliest: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """Of rows (side, fp, root, n, bits) the pairs of side 0 and 1, or of side 0 alone, of different roots whose bitmaps may link; whether some were left out.
+
+    likeliest: only the likeliest partner of each set in each other component.
+    """
+    width = min(len(r[4]) for r in rows)
+    side, fp, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in range(4))
+    wide = np.stack([folded(r[4], width) for r in rows])
+    narrow = np.bitwise_or.reduce(wide.reshape(len(rows), -1, max(1, wide.shape[1] // WIDE)), axis=1)
+    held = np.bitwise_count(narrow).sum(axis=1, dtype=np.int64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    out, left_out = [], False
+    for place, x in enumerate(left):
+        others = left[place + 1 :] if alone else right
+        others = others[root[others] != root[x]]
+        if not len(others):
+            continue
+        # bits in common, and so those that only one of two has
+        both = np.bitwise_count(narrow[others] & narrow[x]).sum(axis=1, dtype=np.int64)
+        bound = np.minimum(n[x] - held[x], n[others] - held[others]) + both
+        others = others[linked(bound, n[x], n[others])]
+        bound = overlap_bound(wide[x], wide[others], n[x], n[others])
+        may = linked(bound, n[x], n[others])
+        found = others[may]
+        if likeliest and len(found):
+            order = np.lexsort((-(bound[may] / np.maximum(n[x], n[found])), root[found]))
+            best = found[order][np.append(True, np.diff(root[found][order]) != 0)]
+            left_out |= len(best) < len(found)
+            found = best
+        out.append((np.minimum(fp[x], fp[found]), np.maximum(fp[x], fp[found])))
+    return out, left_out
+
+
 def _squares(likeliest: bool):
-    """Over rows (key, i, j, side, fp, root, n, bits) sorted by the first three: pairs of different roots whose bitmaps may link."""
-
-    def of(rows: list[tuple]):
-        """side 0 is compared with side 1, or in a square of the diagonal with itself."""
-        if len(rows) < 2:
-            return
-        width = min(len(r[4]) for r in rows)
-        side, fp, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in range(4))
-        words = np.stack([folded(r[4], width) for r in rows])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        for x in left:
-            bound = overlap_bound(words[x], words[right], n[x], n[right])
-            may = linked(bound, n[x], n[right]) & (root[right] != root[x]) & ((fp[right] > fp[x]) | (side[right] != side[x]))
-            found = right[may]
-            if likeliest and len(found):
-                # the likeliest of each root
-                order = np.lexsort((-(bound[may] / np.maximum(n[x], n[found])), root[found]))
-                found = found[order][np.append(True, np.diff(root[found][order]) != 0)]
-            yield np.full(len(found), fp[x]), fp[found]
+    """Over rows (key, i, j, side, fp, root, n, bits) sorted by the first three: pairs (a, b), and (null, null, key) of tiles that left some out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square, held = None, []
 
         def done():
-            for a, b in of(held):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found, left_out = _square(held, likeliest) if len(held) > 1 else ([], False)
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
+            if left_out:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([square[0]])], names=["a", "b", "key"])
 
         for batch in batches:
             for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "fp", "root", "n", "bits")), strict=True):
@@ -300,26 +317,38 @@ def links(sets: DataFrame) -> DataFrame:
     once = sets.filter("grams is not null")
     keyed = once.select("fp", "n", "grams").mapInArrow(_entered, "key long, fp long")
     found = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_met, "a long, b long, key long"), "met")
-    pairs = written(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    members = found.filter("b is null").select("key", F.col("a").alias("fp"))
+    pairs = written(found.filter("a <> b").groupBy("a", "b").agg(F.max(F.isnull("key")).alias("small")), "pairs")
+    members = found.filter("key is not null").select("key", F.col("b").alias("fp"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()  # a member of a large tile is in a pair
     kept = written(once.select("fp", "n", "bits", "grams").join(named, "fp", "left_semi").dropDuplicates(["fp"]), "kept")
     of = lambda c: kept.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bits", "grams")])
-    verified = lambda some: written(some.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verified, "a long, b long"), "links")
-    out, tried = verified(pairs), pairs
-    if members.isEmpty():
-        return out
+    verified = lambda some: written(some.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(_verified, "a long, b long"), "links")
+    # first each set with the smallest that it meets, which joins most; then what may join components
+    tried = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    out = verified(tried)
+    more = pairs.filter("small").select("a", "b")
     for likeliest in (True, False):
-        squares = _mixed_tiles(members, component_roots(out), kept)
+        roots = component_roots(out)
+        squares = _mixed_tiles(members, roots, kept)
         dealt = squares.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = written(dealt.mapInArrow(_squares(likeliest), "a long, b long").distinct(), "more")
-        if more.isEmpty():
+        met = written(dealt.mapInArrow(_squares(likeliest), "a long, b long, key long"), "squares")
+        more = met.filter("a is not null").select("a", "b").union(_apart(more, roots)).distinct()
+        more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
+        out = out.union(verified(more))
+        left_out = met.filter("key is not null").select("key").distinct()
+        if left_out.isEmpty():
             break
-        out = out.union(verified(more.join(tried, ["a", "b"], "left_anti")))
-        tried = tried.union(more)
+        tried, members, more = tried.union(more), members.join(left_out, "key", "left_semi"), more.limit(0)
     return out
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets are of different components so far."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    placed = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, k1, k2, fp, n, component_id and first_k1, first_k2: the smallest id of the component and the keys of a row that has it."""
     sets = written(_sets(docs, id_col, text_col, shingle), "sets")
