@@ -56,6 +56,8 @@ SQUARE = 512
 #: Sets whose copies are left out within a task.
 MOST_SEEN = 100_000
 KEPT_BITS = 40
+#: Sets whose tiles are sent on together.
+SETS_AT_A_TIME = 100
 #: Bits of a bitmap for each hash, at least, and of the narrow form that is looked at first.
 WIDE = 4
 #: Between the cuts of the space of hashes.
@@ -193,11 +195,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
 def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [tiles(n, unpacked(g)) for n, g in zip(b.column("n").to_pylist(), b.column("grams").to_pylist(), strict=True)]
-        fps = np.repeat(b.column("fp").to_numpy(), [len(x) for x in found])
-        keys = np.concatenate(found) if found else fps
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(fps[at : at + 100_000])], names=["key", "fp"])
+        for at in range(0, b.num_rows, SETS_AT_A_TIME):
+            some = b.slice(at, SETS_AT_A_TIME)
+            found = [tiles(n, unpacked(g)) for n, g in zip(some.column("n").to_pylist(), some.column("grams").to_pylist(), strict=True)]
+            fps = np.repeat(some.column("fp").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(fps)], names=["key", "fp"])
 
 
 def _met(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
