@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,8 +122,28 @@ def hierarchical(summaries: DataFrame, chunks: DataFrame, k: int = 8, summary_k:
     coarse = summaries.orderBy(F.desc("score"), "node_id").limit(2 * summary_k)
     prefixes = coarse.filter(F.col("node_id") != "").select(F.substring_index("node_id", ":", 1).alias("_ref")).distinct()
     refs = prefixes.agg(F.collect_list("_ref").alias("_refs"))  # at most 2 * summary_k
-    near = F.exists("_refs", lambda r: F.contains(F.col("node_id"), r) | F.contains(r, F.col("node_id")))
-    fine = chunks.crossJoin(F.broadcast(refs)).filter((F.size("_refs") == 0) | near).drop("_refs").orderBy(F.desc("score"), "node_id").limit(2 * k)
+    fine = chunks.crossJoin(F.broadcast(refs)).filter((F.size("_refs") == 0) | _of_sources()).drop("_refs").orderBy(F.desc("score"), "node_id").limit(2 * k)
+    return _merged(coarse, fine, k, now, half_life_days)
+
+
+def hierarchical_searches(coarse: Callable[[int], DataFrame], fine: Callable[[int], DataFrame], k: int = 8, summary_k: int = 5, now: Column | None = None, half_life_days: float = C.HALF_LIFE_DAYS) -> DataFrame:
+    """Two searches, each called with how many hits it is to give: summaries first, then chunks of the sources of the best ``summary_k`` of these.
+
+    Both are asked for more than is needed, as what is no summary, or of another source, is left out after their cut.
+    """
+    summaries = coarse(4 * summary_k).filter(is_summary()).orderBy(F.desc("score"), "node_id").limit(2 * summary_k)
+    leading = summaries.orderBy(F.desc("score"), "node_id").limit(summary_k).filter(F.col("node_id") != "")
+    refs = leading.agg(F.collect_set(F.substring_index("node_id", ":", 1)).alias("_refs"))  # at most summary_k
+    chunks = fine(6 * k).crossJoin(F.broadcast(refs)).filter((F.size("_refs") == 0) | _of_sources()).drop("_refs")
+    return _merged(summaries, chunks.orderBy(F.desc("score"), "node_id").limit(2 * k), k, now, half_life_days)
+
+
+def _of_sources() -> Column:
+    return F.exists("_refs", lambda r: F.contains(F.col("node_id"), r) | F.contains(r, F.col("node_id")))
+
+
+def _merged(coarse: DataFrame, fine: DataFrame, k: int, now: Column | None, half_life_days: float) -> DataFrame:
+    """Both stages' hits, each node once, a summary before a chunk; the ``k`` best."""
     merged = coarse.withColumn("stage", F.lit("summary")).unionByName(fine.withColumn("stage", F.lit("chunk")), allowMissingColumns=True)
     first = Window.partitionBy("node_id").orderBy(F.when(F.col("stage") == "summary", 0).otherwise(1), F.desc("score"))
     once = merged.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
@@ -173,7 +194,8 @@ def external(spark, search=None, query: str = "", k: int = 8, min_score: float =
     schema = "node_id string, file string, score double, text string"
     try:
         rows = [(r.get("node_id"), r.get("file") or r.get("path"), float(r["score"]), r.get("text")) for r in (search(query, 2 * k) if search else [])]
-    except Exception:  # an external index is best effort by contract
+    except Exception as e:  # an external index is best effort by contract, but its failures are told
+        warnings.warn(f"external search failed: {e!r}", stacklevel=2)
         rows = []
     found = spark.createDataFrame(rows, schema).filter(F.col("score") >= min_score)
     name = F.element_at(F.split(F.coalesce("file", F.lit("")), "/"), -1)

@@ -217,7 +217,7 @@ ORACLES = {
     "recall_strict_provenance": f"WITH {SCAN} SELECT id AS node_id, type AS node_type, scope AS project_id, CAST(score AS DOUBLE) AS score, source_path FROM found WHERE score > 0 AND source_path IS NOT NULL ORDER BY found.score DESC, ts DESC, id LIMIT 8",
     "vector_topk_exact": vector_search(None),
     "vector_topk_scoped": vector_search("p3"),
-    "hash_embed": f"SELECT doc_id, CAST(96 AS BIGINT) AS dim, round(list_sum(e), 6) AS total, round(list_sum(list_transform(range(1, 97), lambda i: e[i] * i)), 6) AS weighted FROM (SELECT doc_id, {hash_vector('text')} AS e FROM documents)",
+    "hash_embed": f"SELECT doc_id, CAST(96 AS BIGINT) AS dim, round(list_sum(e), 6) + 0.0 AS total, round(list_sum(list_transform(range(1, 97), lambda i: e[i] * i)), 6) + 0.0 AS weighted FROM (SELECT doc_id, {hash_vector('text')} AS e FROM documents)",
     "hash_embed_cosine": f"SELECT item_id AS query_id, round({COSINE}, 9) AS score FROM (SELECT item_id, {hash_vector('text')} AS e, {hash_vector(lit(QUERY))} AS qe FROM benchmark)",
     "int8_quantize_error": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, 127.0::DOUBLE / CASE WHEN list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) < 1e-8 THEN 1.0 ELSE list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) END AS s FROM embeddings),
 w AS (SELECT vec_id, e, s, list_transform(e, lambda x: greatest(-127, least(127, CAST(round_even(x * s, 0) AS INTEGER)))) AS qv FROM v), d AS (SELECT vec_id, e, qv, list_transform(qv, lambda x: CAST(x AS DOUBLE) / s) AS d FROM w)
@@ -229,10 +229,17 @@ SELECT vec_id, CAST(list_sum(qv) AS BIGINT) AS q_sum, round(list_sum(list_transf
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM mine), tf AS (SELECT node_id, dl, token, count(*) AS tf FROM (SELECT node_id, len(ts) AS dl, unnest(ts) AS token FROM mine) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 s AS (SELECT query_id, node_id, count(*) AS n_found, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN tf USING (token) JOIN df USING (token), stats GROUP BY query_id, node_id)
 SELECT query_id, rank, node_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s JOIN asked USING (query_id) WHERE n_found = n_asked) WHERE rank <= 50""",
-    "recall_cascade": f"WITH {SCAN} SELECT id AS node_id, CAST(score AS DOUBLE) AS score, 'ledger_scan' AS method FROM found WHERE score > 0 AND scope = '{SCOPE}' ORDER BY found.score DESC, ts DESC, id LIMIT 8",
+    "recall_cascade": f"""SELECT 'a' AS recall, node_id, round(score, 9) AS score, 'external' AS method FROM (SELECT id AS node_id, score / 100 AS score FROM (WITH {SCAN} SELECT id, score, ts, ord FROM found WHERE score > 0 ORDER BY found.score DESC, ts DESC, ord LIMIT 8))
+UNION ALL SELECT 'b', node_id, round(score, 9), 'hybrid' FROM (SELECT * FROM ({hybrid('p3')}) WHERE query_id = 0 ORDER BY score DESC, node_id LIMIT 8)
+UNION ALL SELECT 'c', node_id, score, 'ledger_scan' FROM (WITH {SCAN} SELECT id AS node_id, CAST(score AS DOUBLE) AS score FROM found WHERE score > 0 AND scope = '{SCOPE}' ORDER BY found.score DESC, ts DESC, id LIMIT 8)""",
     "hierarchical_summaries": f"""WITH {NODES}, hits AS (SELECT id AS node_id, type AS node_type, priority / 100.0 AS score, ts, CASE WHEN ord % 10 = 3 THEN 'mem/summaries/' || ord ELSE source_path END AS path FROM nodes), coarse AS (SELECT *, 'summary' AS stage FROM hits WHERE node_type = 'summary' OR contains(path, 'summaries') ORDER BY score DESC, node_id LIMIT 10),
 refs AS (SELECT DISTINCT split_part(node_id, ':', 1) AS r FROM coarse), fine AS (SELECT *, 'chunk' AS stage FROM hits WHERE EXISTS (SELECT 1 FROM refs WHERE contains(node_id, r) OR contains(r, node_id)) ORDER BY score DESC, node_id LIMIT 16),
 merged AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY CASE stage WHEN 'summary' THEN 0 ELSE 1 END, score DESC) AS n FROM (SELECT * FROM coarse UNION ALL SELECT * FROM fine))
+SELECT node_id, stage, round(s, 9) AS score FROM (SELECT node_id, stage, {decay('score')} AS s FROM merged WHERE n = 1 ORDER BY s DESC, CASE stage WHEN 'summary' THEN 0 ELSE 1 END, node_id LIMIT 8)""",
+    "hierarchical_two_searches": f"""WITH {SCAN}, hits AS (SELECT id AS node_id, type AS node_type, CAST(score AS DOUBLE) AS score, ts, CASE WHEN ord % 10 = 3 THEN 'mem/summaries/' || ord ELSE source_path END AS path FROM found WHERE score > 0),
+coarse AS (SELECT *, 'summary' AS stage FROM (SELECT * FROM hits ORDER BY score DESC, ts DESC, node_id LIMIT 20) WHERE contains(path, 'summaries') ORDER BY score DESC, node_id LIMIT 10), refs AS (SELECT DISTINCT split_part(node_id, ':', 1) AS r FROM (SELECT node_id FROM coarse ORDER BY score DESC, node_id LIMIT 5)),
+fine AS (SELECT *, 'chunk' AS stage FROM (SELECT * FROM hits ORDER BY score DESC, ts DESC, node_id LIMIT 48) WHERE (SELECT count(*) FROM refs) = 0 OR EXISTS (SELECT 1 FROM refs WHERE contains(node_id, r) OR contains(r, node_id)) ORDER BY score DESC, node_id LIMIT 16),
+merged AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY CASE stage WHEN 'summary' THEN 0 ELSE 1 END, score DESC) AS n FROM (SELECT * FROM coarse UNION ALL SELECT * FROM fine))
 SELECT node_id, stage, round(s, 9) AS score FROM (SELECT node_id, stage, {decay('score')} AS s FROM merged WHERE n = 1 ORDER BY s DESC, CASE stage WHEN 'summary' THEN 0 ELSE 1 END, node_id LIMIT 8)""",
     "bm25_topk": f"""WITH {NODES}, queries AS ({PROBES}), terms AS (SELECT DISTINCT query_id, unnest({tokens('query')}) AS token FROM queries),
 docs AS (SELECT id AS node_id, {tokens('text')} AS ts FROM nodes), stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
@@ -293,9 +300,9 @@ r AS (SELECT q.ord, coalesce(1.0::DOUBLE / min(rank), 0.0::DOUBLE) AS rr FROM (S
     "source_wal_lines": f"WITH {WAL} SELECT op, node_id, text, ts FROM wal",
     "source_nested_sessions": f"WITH {MESSAGES} SELECT session || '-' || ord AS id, ts, role, trim(text) AS text FROM messages WHERE ord % 5 <> 4 AND trim(text) <> ''",
     "source_flat_sessions": f"WITH {MESSAGES} SELECT ts, CASE WHEN ord % 4 = 3 THEN 'tool' ELSE 'message' END AS kind, CASE WHEN ord % 4 = 3 THEN 'tool_call' ELSE role END AS role, text FROM messages WHERE role <> 'system'",
-    "source_newest_log": "SELECT 'new.jsonl' AS name",
+    "source_newest_log": f"WITH {MESSAGES} SELECT ts, role, text FROM messages WHERE CAST(session AS BIGINT) = (SELECT max(conv_id) FROM conversations)",
     "source_tail": f"WITH {MESSAGES} SELECT CASE WHEN length(line) > 200 THEN substring(line, 1, 200) || '…' ELSE line END AS line FROM (SELECT CAST(session AS BIGINT) * 1000 + ord AS o, replace(text, chr(10), ' ') AS line FROM messages WHERE trim(text) <> '' ORDER BY o DESC LIMIT 10)",
-    "source_markdown": "WITH l AS (SELECT doc_id AS o, doc_id % 4 AS m FROM documents) SELECT 'hard' AS kind, value FROM (SELECT 'r' || o AS value FROM l WHERE m = 0 ORDER BY o LIMIT 8) UNION ALL SELECT 'bullet', value FROM (SELECT CASE m WHEN 0 THEN '- Hard rule: r' || o WHEN 1 THEN '- (rule:x' || o || ') text' ELSE '- item' END AS value FROM l WHERE m <> 3 ORDER BY o LIMIT 8) UNION ALL SELECT 'id', 'rule:x' || o FROM l WHERE m = 1",
+    "source_markdown": "WITH l AS (SELECT o, i, CASE o % 4 WHEN 0 THEN '- Hard rule: ' WHEN 1 THEN '- (rule:x' || o || ') ' WHEN 2 THEN '  - ' ELSE '' END || line AS line FROM (SELECT doc_id AS o, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) SELECT 'hard' AS kind, value FROM (SELECT trim(substring(trim(line), 13)) AS value FROM l WHERE starts_with(lower(trim(line)), '- hard rule:') AND length(trim(line)) > 12 ORDER BY o, i LIMIT 8) UNION ALL SELECT 'bullet', value FROM (SELECT trim(line) AS value FROM l WHERE starts_with(trim(line), '-') ORDER BY o, i LIMIT 8) UNION ALL SELECT DISTINCT 'id', 'rule:x' || o FROM l WHERE o % 4 = 1",
     "wal_state_with_ledger": f"WITH {WAL}, {LATEST} SELECT node_id, coalesce(d.text, latest.text) AS text, ts, op FROM latest LEFT JOIN (SELECT 'user:' || doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN source END AS text FROM documents) d ON d.id = node_id",
     "routing_index_dossiers": f"WITH {NODES}, t AS (SELECT scope, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, count(DISTINCT id) AS n_nodes FROM nodes GROUP BY scope) SELECT scope, n_nodes, tags, CASE scope WHEN 'src1' THEN 'notes/one.md' WHEN 'src9' THEN 'notes/nine.md' ELSE 'projects/' || scope || '.md' END AS dossier FROM t",
     "excerpt_text_budget": f"WITH {ANCHORS}, {PLACED}, w AS (SELECT m.session, m.ord, {redacted('m.text')} AS t FROM anchors a JOIN placed c ON c.session = a.session AND c.ord = anchor_ord JOIN placed m ON m.session = c.session AND abs(m.p - c.p) <= 2), b AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w) SELECT session, ord, sha256(CASE WHEN length(t) > 900 - before THEN rtrim(substring(t, 1, CAST(900 - before AS BIGINT))) || {lit(sessions.CUT_MARK)} ELSE t END) AS text_sha256 FROM b WHERE before < 900",
@@ -303,11 +310,11 @@ r AS (SELECT q.ord, coalesce(1.0::DOUBLE / min(rank), 0.0::DOUBLE) AS rr FROM (S
 l AS (SELECT session, string_agg('- **' || role || '**: ' || {clip('text', 80)}, chr(10) ORDER BY ord) AS body FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ord DESC) AS n FROM messages WHERE role <> 'system' AND {strip('text')} <> '') WHERE n <= 3 GROUP BY session)
 SELECT c.session, concat('# Session Summary: ', c.session, chr(10), chr(10), '## Metadata', chr(10), '- lines: ', lines, chr(10), '- messages_seen: ', m, chr(10), '- messages_omitted: ', o, chr(10), '- tool_events_seen: ', t, chr(10), '- errors_seen: 0', chr(10), chr(10), '## Messages (most recent sample)', chr(10), coalesce(body, '- (none captured)'), chr(10)) AS text FROM c LEFT JOIN l ON l.session = c.session""",
     "ledger_markdown": f"WITH {NODES} SELECT ord, concat('## ', id, chr(10), '- type: `', type, '`', chr(10), '- scope: `', scope, '`', chr(10), '- ts: `', ts, '`', chr(10), '- tags: ', array_to_string(tags, ', '), chr(10), chr(10), {strip('text')}, chr(10), chr(10), '---', chr(10)) AS section FROM nodes",
-    "chunk_upsert": f"WITH {NODES} SELECT id AS node_id, unnest(['c000', 'c001']) AS chunk_id, 'old' AS text FROM nodes WHERE ord % 3 <> 0 AND ord % 4 <> 0 UNION ALL SELECT id, 'c000', 'new' FROM nodes WHERE ord % 4 = 0",
-    "chunk_counts": f"WITH {NODES} SELECT scope AS project_id, count(*) AS n_nodes, 2 * count(*) AS n_chunks FROM nodes WHERE ord % 3 <> 0 GROUP BY scope",
-    "chunk_delete": f"WITH {NODES} SELECT id AS node_id, unnest(['c000', 'c001']) AS chunk_id, 'old' AS text FROM nodes WHERE ord % 3 <> 0 AND ord % 4 <> 0",
+    "chunk_upsert": f"SELECT node_id, chunk_id, CASE WHEN o % 4 = 0 THEN 'new: ' || text ELSE text END AS text FROM (SELECT *, CAST(split_part(node_id, ':', 2) AS BIGINT) AS o FROM ({CHUNKED})) WHERE o % 3 <> 0 OR o % 4 = 0",
+    "chunk_counts": f"SELECT project_id, count(DISTINCT node_id) AS n_nodes, count(*) AS n_chunks FROM ({CHUNKED}) WHERE CAST(split_part(node_id, ':', 2) AS BIGINT) % 3 <> 0 GROUP BY project_id",
+    "chunk_delete": f"SELECT node_id, chunk_id, text FROM (SELECT *, CAST(split_part(node_id, ':', 2) AS BIGINT) AS o FROM ({CHUNKED})) WHERE o % 3 <> 0 AND o % 4 <> 0",
     "index_full_counts": f"WITH {POSTINGS} SELECT 'postings' AS part, count(*) AS n_rows, count(DISTINCT token) AS n_keys FROM postings UNION ALL SELECT 'node_meta', count(*), count(DISTINCT type) FROM nodes UNION ALL SELECT 'routing', count(*), count(DISTINCT (kind, value)) FROM (SELECT DISTINCT scope, 'node' AS kind, id AS value FROM nodes UNION SELECT DISTINCT scope, 'tag', unnest(tags) FROM nodes)",
-    "index_fast_counts": f"WITH {NODES} SELECT id AS node_id, 'c000' AS chunk_id, CASE WHEN ord % 5 <> 0 THEN 'old' WHEN ord % 3 = 0 THEN type ELSE 'a fresh text' END AS text FROM nodes WHERE ord % 10 <> 0",
+    "index_fast_counts": f"WITH {NODES} SELECT id AS node_id, 'c000' AS chunk_id, CASE WHEN ord % 5 <> 0 THEN 'old' WHEN ord % 3 = 0 THEN type ELSE {clip('text', 140)} END AS text FROM nodes WHERE ord % 10 <> 0",
     "filename_ids": f"WITH {NODES} SELECT ord, type || '_' || ord || '.md' AS filename, id FROM nodes",
     "front_matter_stripped": f"WITH {NODES} SELECT ord, sha256(type || chr(10) || scope) AS text_sha256 FROM nodes",
     "excerpt_nodes": f"""WITH {ANCHORS}, {PLACED}, w AS (SELECT m.session, m.ord, m.role, {redacted('m.text')} AS t FROM anchors a JOIN placed c ON c.session = a.session AND c.ord = anchor_ord JOIN placed m ON m.session = c.session AND abs(m.p - c.p) <= 1), b AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
@@ -317,13 +324,17 @@ SELECT 'excerpt:' || session AS id, 'excerpt' AS type, 'alpha' AS scope, sha256(
     "merged_buckets": f"WITH {TOPICAL}, {UNKNOWN_TOKENS}, {UNKNOWN_PAIRS}, a AS (SELECT 0 AS r, term, n FROM pairs WHERE n >= 2 ORDER BY n DESC, term LIMIT 5), b AS (SELECT 1 AS r, term, n FROM tokens1 WHERE n >= 2 ORDER BY n DESC, term LIMIT 5), c AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT 'auto_' || replace(term, ' ', '_') AS bucket, term AS keyword, CASE WHEN n % 2 = 0 THEN 0 ELSE n END AS hits FROM c WHERE r = (SELECT min(r) FROM c)",
     "promotion_proposal": f"WITH found AS ({PROMOTION.replace('LIMIT 40', 'LIMIT 12')}) SELECT '# To be promoted, as of 2025-01-01T00:00:00Z' || chr(10) || chr(10) || 'From: `summary.md`' || chr(10) || chr(10) || '## Facts' || chr(10) || string_agg('- **' || type || '** `' || id || '` scope=`' || scope || '`' || chr(10) || '  - ' || text, chr(10) ORDER BY list_position({items(sessions.TYPE_ORDER)}, type), length(text), ord) || chr(10) AS text FROM found",
     "policy_document": f"WITH short AS ({RULES}), rules AS ({CORE_RULES}), kept AS ({budget(900, HEADER, None)}) SELECT {' || chr(10) || '.join(lit(x) for x in context.policy_header(900))} || chr(10) || string_agg(bullet, chr(10) ORDER BY rank) AS text FROM kept",
-    "working_set_document": "WITH l AS (SELECT doc_id AS o FROM documents), a AS (SELECT string_agg('- r' || o, chr(10) ORDER BY o) AS t FROM (SELECT o FROM l WHERE o % 5 = 2 ORDER BY o LIMIT 8)), b AS (SELECT string_agg('- (rule:c' || o || ') text', chr(10) ORDER BY o) AS t FROM (SELECT o FROM l WHERE o % 7 = 1 ORDER BY o LIMIT 8)), c AS (SELECT string_agg('- event ' || o, chr(10) ORDER BY o) AS t FROM (SELECT o FROM l ORDER BY o DESC LIMIT 10)) SELECT concat('<!-- made by a job; changes are lost -->', chr(10), '# Working set', chr(10), chr(10), 'as of 2025-01-01T00:00:00Z, mode build', chr(10), chr(10), '## Hard rules', chr(10), a.t, chr(10), chr(10), '## Policy', chr(10), b.t, chr(10), chr(10), '## Blockers', chr(10), '- (ci) red', chr(10), '- plain', chr(10), chr(10), '## Last events', chr(10), c.t, chr(10)) AS text FROM a, b, c",
+    "working_set_document": "WITH l AS (SELECT doc_id AS o, split_part(text, chr(10), 1) AS f FROM documents), a AS (SELECT string_agg('- ' || trim('r' || o || ' ' || f), chr(10) ORDER BY o) AS t FROM (SELECT * FROM l WHERE o % 5 = 2 ORDER BY o LIMIT 8)), b AS (SELECT string_agg(trim('- (rule:c' || o || ') ' || f), chr(10) ORDER BY o) AS t FROM (SELECT * FROM l WHERE o % 7 = 1 ORDER BY o LIMIT 8)), c AS (SELECT string_agg('- ' || CASE WHEN length(e) > 200 THEN substring(e, 1, 200) || '…' ELSE e END, chr(10) ORDER BY o) AS t FROM (SELECT o, 'event ' || o || ' ' || f AS e FROM l ORDER BY o DESC LIMIT 10)) SELECT concat('<!-- made by a job; changes are lost -->', chr(10), '# Working set', chr(10), chr(10), 'as of 2025-01-01T00:00:00Z, mode build', chr(10), chr(10), '## Hard rules', chr(10), a.t, chr(10), chr(10), '## Policy', chr(10), b.t, chr(10), chr(10), '## Blockers', chr(10), '- (ci) red', chr(10), '- plain', chr(10), chr(10), '## Last events', chr(10), c.t, chr(10)) AS text FROM a, b, c",
     "epoch_millis_iso": "SELECT event_id, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds(event_id * 100003017), '%Y-%m-%dT%H:%M:%S') AS iso FROM events",
     "unit_vectors": "SELECT vec_id, round(list_inner_product(u, u), 9) AS norm2, round(list_sum(u), 9) AS total FROM (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings))",
     "stream_distinct": f"WITH {WAL} SELECT DISTINCT op, node_id FROM wal",
-    "changed_logs": "SELECT 'log-' || doc_id AS path, CAST(n_chars AS BIGINT) AS size FROM documents WHERE n_chars % 3 = 0 OR n_chars % 5 = 0",
-    "cached_embeddings": f"SELECT doc_id AS key, text IN (SELECT text FROM documents WHERE doc_id % 4 = 0) AS hit, round(list_sum({hash_vector('text')}), 6) AS total FROM documents",
-    "external_min_score": "SELECT 'rule:no-' || i AS node_id, i / 40::DOUBLE AS score, 'body ' || i AS preview, 'external' AS method FROM range(40) t(i) WHERE i / 40::DOUBLE >= 0.35",
+    "changed_logs": "SELECT 'log-' || doc_id AS path, length(text) AS size FROM documents WHERE length(text) % 3 = 0 OR length(text) % 5 = 0",
+    "cached_embeddings": f"SELECT doc_id AS key, text IN (SELECT text FROM documents WHERE doc_id % 4 = 0) AS hit, round(list_sum({hash_vector('text')}), 6) + 0.0 AS total FROM documents",
+    "external_min_score": f"""WITH {NODES}, queries AS (SELECT 0 AS query_id, {lit(QUERY)} AS query), terms AS (SELECT DISTINCT query_id, unnest({tokens('query')}) AS token FROM queries),
+docs AS (SELECT id AS node_id, {tokens('text')} AS ts FROM nodes), stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
+tf AS (SELECT node_id, dl, token, count(*) AS tf FROM (SELECT node_id, len(ts) AS dl, unnest(ts) AS token FROM docs) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+s AS (SELECT query_id, node_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN tf USING (token) JOIN df USING (token), stats GROUP BY ALL)
+SELECT node_id, round(score / (score + 1.5), 6) AS score, substring(text, 1, 180) AS preview, 'external' AS method FROM (SELECT * FROM s ORDER BY score DESC, node_id LIMIT 16) JOIN nodes ON id = node_id WHERE round(score / (score + 1.5), 6) >= 0.45""",
     "node_previews": f"WITH {NODES} SELECT ord, {preview('text', 140)} AS short, {preview('text', 160)} AS middle FROM nodes",
     "ann_ivf_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "maintenance_report": f"WITH {NODES} SELECT 'rendered' AS part, count(DISTINCT id) AS n FROM nodes UNION ALL SELECT 'policy', 1 UNION ALL SELECT 'expired', count(*) FILTER (ord % 3 <> 0 AND ord % 11 <> 0 AND ts < '2024-07-01T00:00:00Z' AND source_path IS NOT NULL) FROM nodes WHERE type = 'excerpt' UNION ALL SELECT 'audit', count(*) FROM (SELECT * FROM nodes ORDER BY ts DESC, id LIMIT 50) WHERE source_path IS NULL",

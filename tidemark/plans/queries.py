@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +16,7 @@ from tidemark.functions import vectors as V
 from tidemark.operators import context, evaluate, ingest, lexical, recall, sessions
 from tidemark.operators.tables import shared_folder as shared
 from tidemark.plans import jobs
+from tidemark.shipping import workers_can_import
 from tidemark.sources import adapters, files
 from tidemark.streaming import wal as wal_stream
 
@@ -33,8 +36,13 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    REGISTRY[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def ready(spark, sf):
+        workers_can_import(spark)
+        return f(spark, sf)
+
+    REGISTRY[f.__name__] = ready
+    return ready
 
 
 def now():
@@ -145,7 +153,7 @@ def hash_embed(spark, sf):
     # every element takes part: their sum, and their sum weighted by place
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     weighted = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", F.size("e").cast("long").alias("dim"), F.round(total, 6).alias("total"), F.round(weighted, 6).alias("weighted"))
+    return rows.select("doc_id", F.size("e").cast("long").alias("dim"), (F.round(total, 6) + 0.0).alias("total"), (F.round(weighted, 6) + 0.0).alias("weighted"))
 
 
 @query
@@ -199,15 +207,21 @@ def fts_candidates(spark, sf):
 
 @query
 def recall_cascade(spark, sf):
-    """An external search (absent), then the hybrid one (no chunk of the scope), then the scan of the ledger."""
+    """Three recalls, of which each route wins one: an external search, the hybrid one where that is absent, the ledger's scan in a scope without chunks."""
+
+    def external(text: str, n: int) -> list[dict]:
+        rows = heuristic_scan(spark, sf).select("id", "score").collect()  # at most 8
+        return [{"node_id": r["id"], "score": r["score"] / 100, "text": r["id"]} for r in rows]
 
-    def hybrid():
-        asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUERY).alias("query"), V.hash_embedding(F.lit(QUERY), 64).alias("q"))
-        found = recall.hybrid(chunk_texts(spark, sf), asked, scope=SCOPE)
+    def hybrid(scope):
+        found = recall.hybrid(chunk_texts(spark, sf), every_20th(spark, sf).filter("query_id = 0"), 12, scope=scope)
         return recall.hits_of(found.select(F.col("node_id").alias("id"), F.lit("note").alias("type"), F.col("project_id").alias("scope"), "score", F.lit("").alias("ts"), "text", "source_path"), "hybrid")
 
-    scan = lambda: recall.heuristic(adapters.nodes(spark, sf), QUERY, SCOPE)
-    return recall.cascade([lambda: recall.external(spark), hybrid, scan]).select("node_id", "score", "method")
+    def recalled(name, search, scope):
+        routes = [lambda: recall.external(spark, search, QUERY, min_score=0.02), lambda: hybrid(scope), lambda: recall.heuristic(adapters.nodes(spark, sf), QUERY, scope)]
+        return recall.cascade(routes).select(F.lit(name).alias("recall"), "node_id", F.round("score", 9).alias("score"), "method")
+
+    return recalled("a", external, "p3").union(recalled("b", None, "p3")).union(recalled("c", None, SCOPE))
 
 
 @query
@@ -241,6 +255,15 @@ def hierarchical_summaries(spark, sf):
     return recall.hierarchical_search(hits, now=now()).select("node_id", "stage", F.round("score", 9).alias("score"))
 
 
+@query
+def hierarchical_two_searches(spark, sf):
+    """Summaries by one search, then chunks of their sources by another."""
+    path = F.when(F.col("ord") % 10 == 3, F.concat(F.lit("mem/summaries/"), F.col("ord").cast("string"))).otherwise(F.col("source_path"))
+    nodes = adapters.nodes(spark, sf).withColumn("source_path", path)
+    search = lambda n: recall.heuristic(nodes, QUERY, None, n)
+    return recall.hierarchical_searches(search, search, now=now()).select("node_id", "stage", F.round("score", 9).alias("score"))
+
+
 @query
 def cascade_first_nonempty(spark, sf):
     n = adapters.nodes(spark, sf)
@@ -533,14 +556,16 @@ def source_flat_sessions(spark, sf):
 
 @query
 def source_newest_log(spark, sf):
-    """The newest log of the first root that has any."""
+    """The newest log of the first root that has any: the last session's, written after all others; its messages."""
     root = f"{shared(spark)}/logs-{uuid.uuid4().hex}"
-    one = spark.range(1).select(F.lit("{}").alias("value")).coalesce(1)
-    for name in ("old.jsonl", "new.jsonl"):
-        one.write.text(f"{root}/{name}-folder")
-        files.rename_only(spark, f"{root}/{name}-folder", f"{root}/{name}")
-    found = files.newest_session(spark, [f"{root}/nothing", root])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    m = adapters.messages(spark, sf).withColumn("value", as_json("role", F.col("text").alias("message"), F.col("ts").alias("time"))).withColumn("s", F.col("session").cast("long"))
+    last = m.agg(F.max("s")).first()[0]
+    by_session = lambda df: df.repartition("s").sortWithinPartitions("s", "ord").select("s", "value").write.mode("append").partitionBy("s").text(root)
+    by_session(m.filter(F.col("s") != last))
+    time.sleep(1.1)  # stores tell times in seconds
+    by_session(m.filter(F.col("s") == last))
+    found = files.newest_session(spark, [f"{root}/nothing", root], "*.txt").first()["path"]
+    return files.parse_flat_sessions(files.lines(spark, found)).select("ts", "role", "text")
 
 
 @query
@@ -553,10 +578,11 @@ def source_tail(spark, sf):
 
 @query
 def source_markdown(spark, sf):
-    """Hard rules, bullets and rule ids among Markdown lines."""
+    """Hard rules, bullets and rule ids among the documents' lines, some of them made such."""
     o = F.col("doc_id")
-    lead = F.when(o % 4 == 0, F.concat(F.lit("- Hard rule: r"), o.cast("string"))).when(o % 4 == 1, F.concat(F.lit("- (rule:x"), o.cast("string"), F.lit(") text"))).when(o % 4 == 2, F.lit("  - item")).otherwise("text")
-    rows = adapters.table(spark, sf, "documents").select(o.alias("ord"), lead.alias("line"))
+    lines = adapters.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lead = F.when(o % 4 == 0, F.lit("- Hard rule: ")).when(o % 4 == 1, F.concat(F.lit("- (rule:x"), o.cast("string"), F.lit(") "))).when(o % 4 == 2, F.lit("  - ")).otherwise("")
+    rows = lines.select((o * 100_000 + F.col("i")).alias("ord"), F.concat(lead, "line").alias("line"))
     kinds = [files.hard_rules(rows).select(F.lit("hard").alias("kind"), F.col("rule").alias("value")), files.bullets(rows).select(F.lit("bullet").alias("kind"), F.col("line").alias("value")), files.rule_ids(rows).select(F.lit("id").alias("kind"), F.col("id").alias("value"))]
     return kinds[0].union(kinds[1]).union(kinds[2])
 
@@ -591,23 +617,24 @@ def ledger_markdown(spark, sf):
     return ingest.ledger_view(adapters.nodes(spark, sf)).select("ord", "section")
 
 
-def _chunk_keys(spark, sf, where, text):
-    return adapters.nodes(spark, sf).filter(where).select(F.col("id").alias("node_id"), F.explode(F.array(F.lit("c000"), F.lit("c001"))).alias("chunk_id"), F.lit(text).alias("text"))
+def _chunks(spark, sf, where):
+    return ingest.chunk_rows(adapters.nodes(spark, sf).filter(where), separator="\n")
 
 
 @query
 def chunk_upsert(spark, sf):
-    return ingest.upsert_chunks(_chunk_keys(spark, sf, "ord % 3 <> 0", "old"), _chunk_keys(spark, sf, "ord % 4 = 0", "new").filter("chunk_id = 'c000'"))
+    new = _chunks(spark, sf, "ord % 4 = 0").withColumn("text", F.concat(F.lit("new: "), "text"))
+    return ingest.upsert_chunks(_chunks(spark, sf, "ord % 3 <> 0"), new).select("node_id", "chunk_id", "text")
 
 
 @query
 def chunk_counts(spark, sf):
-    return ingest.count_chunks(_chunk_keys(spark, sf, "ord % 3 <> 0", "old").join(adapters.nodes(spark, sf).select(F.col("id").alias("node_id"), F.col("scope").alias("project_id")), "node_id"))
+    return ingest.count_chunks(_chunks(spark, sf, "ord % 3 <> 0"))
 
 
 @query
 def chunk_delete(spark, sf):
-    return ingest.delete_chunks(_chunk_keys(spark, sf, "ord % 3 <> 0", "old"), _chunk_keys(spark, sf, "ord % 4 = 0", "new"))
+    return ingest.delete_chunks(_chunks(spark, sf, "ord % 3 <> 0"), _chunks(spark, sf, "ord % 4 = 0")).select("node_id", "chunk_id", "text")
 
 
 @query
@@ -629,7 +656,7 @@ def lookup_stored(spark, sf):
 def index_fast_counts(spark, sf):
     """The chunk table after the feed: nodes touched or gone."""
     n = adapters.nodes(spark, sf)
-    feed = n.select("ord", F.when(F.col("ord") % 10 == 0, "delete").otherwise("update").alias("op"), F.col("id").alias("node_id"), F.lit("a fresh text").alias("text"), F.lit("2025-01-01").alias("ts")).filter("ord % 5 = 0")
+    feed = n.select("ord", F.when(F.col("ord") % 10 == 0, "delete").otherwise("update").alias("op"), F.col("id").alias("node_id"), X.clip("text", 140).alias("text"), F.lit("2025-01-01").alias("ts")).filter("ord % 5 = 0")
     ledger = n.withColumn("text", F.when(F.col("ord") % 3 == 0, F.col("type")))
     chunks = n.select(F.col("id").alias("node_id"), F.lit("c000").alias("chunk_id"), F.lit("old").alias("text"))
     return jobs.index_fast(feed, ledger, chunks).select("node_id", "chunk_id", "text")
@@ -682,11 +709,11 @@ def policy_document(spark, sf):
 
 @query
 def working_set_document(spark, sf):
-    d = adapters.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"))
+    d = adapters.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.split("text", "\n")[0].alias("first"))
     o = F.col("ord").cast("string")
-    memory = d.select("ord", F.when(F.col("ord") % 5 == 2, F.concat(F.lit("- Hard rule: r"), o)).otherwise("x").alias("line"))
-    core = d.select("ord", F.when(F.col("ord") % 7 == 1, F.concat(F.lit("- (rule:c"), o, F.lit(") text"))).otherwise("x").alias("line"))
-    events = files.tail(d.select("ord", F.concat(F.lit("event "), o).alias("line")), 10)
+    memory = d.select("ord", F.when(F.col("ord") % 5 == 2, F.concat(F.lit("- Hard rule: r"), o, F.lit(" "), "first")).otherwise(F.concat(F.lit("x"), "first")).alias("line"))
+    core = d.select("ord", F.when(F.col("ord") % 7 == 1, F.concat(F.lit("- (rule:c"), o, F.lit(") "), "first")).otherwise(F.concat(F.lit("x"), "first")).alias("line"))
+    events = files.tail(d.select("ord", F.concat(F.lit("event "), o, F.lit(" "), "first").alias("line")), 10)
     return jobs.working_set_document(memory, core, events, {"mode": "build", "blockers": [{"type": "ci", "detail": "red"}, "plain"]}, NOW)
 
 
@@ -714,7 +741,7 @@ def stream_distinct(spark, sf):
 
 @query
 def changed_logs(spark, sf):
-    logs = adapters.table(spark, sf, "documents").select(F.concat(F.lit("log-"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("long").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modified"))
+    logs = adapters.table(spark, sf, "documents").select(F.concat(F.lit("log-"), F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modified"))
     status = logs.filter("size % 3 <> 0").withColumn("size", F.when(F.col("size") % 5 == 0, F.lit(-1)).otherwise(F.col("size")))
     return jobs.changed_logs(logs, status).select("path", "size")
 
@@ -725,14 +752,21 @@ def cached_embeddings(spark, sf):
     d = adapters.table(spark, sf, "documents")
     cache = d.filter("doc_id % 4 = 0").select(F.sha2("text", 256).alias("text_sha256"), V.hash_embedding("text").alias("vector"))
     found = ingest.cached_embeddings(d.select(F.col("doc_id").alias("key"), "text"), cache, lambda t: V.hash_embedding(t))
-    return found.select("key", "hit", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return found.select("key", "hit", (F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"))
 
 
 @query
 def external_min_score(spark, sf):
-    """An external search's hits of the least score, named by the files it gives."""
-    rows = [{"file": f"out/rule_no_{i}.md", "score": i / 40, "text": f"---\nid: {i}\n---\nbody {i}"} for i in range(40)]
-    return recall.external(spark, lambda query, n: rows, "any").select("node_id", "score", "preview", "method")
+    """Hits of an external search of the least score: here one that answers by BM25, names files and gives scores from 0 to 1."""
+
+    def search(text: str, n: int) -> list[dict]:
+        asked = spark.createDataFrame([(0, text)], "query_id long, query string")
+        nodes = adapters.nodes(spark, sf)
+        hits = lexical.bm25(nodes, asked, n).join(nodes, F.col("node_id") == F.col("id"))
+        share = F.round(F.col("score") / (F.col("score") + 1.5), 6)
+        return [r.asDict() for r in hits.select(F.concat(F.lit("out/"), X.safe_filename("id"), F.lit(".md")).alias("file"), share.alias("score"), F.concat(F.lit("---\nid: x\n---\n\n"), "text").alias("text")).collect()]  # n of them
+
+    return recall.external(spark, search, QUERY, min_score=0.45).select("node_id", "score", "preview", "method")
 
 
 @query

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
-from tidemark.operators import context, ingest, lexical, recall
+from tidemark.operators import context, ingest, lexical, recall, segments
+from tidemark.operators.tables import written_at
 from tidemark.plans import jobs
+from tidemark.streaming.folds import WriteKeys
 
 LEDGER = "ord long, id string, type string, ts string, scope string, text string, tags array<string>, links array<string>, source_path string, session_id string, entity_id string, priority int, supersedes array<string>"
 #: The tags that a project starts with.
@@ -20,14 +22,16 @@ BASE_TAGS = ("decision", "constraint", "source", "insight", "risk", "next-step",
 OPTIONAL_TAGS = ("metric", "deadline", "process", "tool", "assumption")
 
 
+LEDGER_COLUMNS = [x.split()[0] for x in LEDGER.split(", ")]
 FEED = "ord long, op string, node_id string, text string, ts string"
 
 
 class MemoryStore:
     """Appends are new Parquet files under ``root/ledger``; rows are ordered by ``ord``.
 
-    ``ord`` is the time of writing in nanoseconds, and more than that of any row seen, so writers on several
-    hosts need no common counter. Small things (tags, where the indexes are, other settings) are one JSON
+    ``ord`` is the time of writing in nanoseconds, and more than that of any row that this object wrote, so writers on several
+    hosts need no common counter and an append reads nothing. Ids and facts that are known are kept as keys in
+    buckets, of which a write reads those of its own keys. Small things (tags, where the indexes are, other settings) are one JSON
     document, written anew beside the old one; the newest counts.
     """
 
@@ -35,6 +39,7 @@ class MemoryStore:
         self.spark, self.root, self.project = spark, root.rstrip("/"), project
         self.clock = clock or (lambda: datetime.now(UTC).isoformat(timespec="seconds"))
         self.settings = self._settings()
+        self._keys, self._last = None, 0
         self.tags = {*BASE_TAGS, *OPTIONAL_TAGS, *self.settings.get("tags", [])}
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -64,11 +69,44 @@ class MemoryStore:
     def routing(self) -> DataFrame:
         return ingest.routing_index(self.nodes())
 
-    def _append(self, rows: list[dict]) -> None:
-        start = max((self.nodes().agg(F.max("ord")).first()[0] or 0) + 1, time.time_ns())
+    def _next(self, n: int = 1) -> int:
+        """The first of ``n`` numbers that this object has not used."""
+        start = max(self._last + 1, time.time_ns())
+        self._last = start + n - 1
+        return start
+
+    @property
+    def keys(self) -> WriteKeys:
+        """The keys of what was written; made from the ledger where it has none yet."""
+        if self._keys is None:
+            self._keys = WriteKeys(self.spark, f"{self.root}/keys")
+            if not self._keys.keys.pointer.read({"number": 0})["number"]:
+                self._keys.add(self.nodes())
+        return self._keys
+
+    def _append(self, rows: list[dict]) -> DataFrame:
+        start = self._next(len(rows))
         names = self.spark.createDataFrame([], LEDGER).columns
         filled = [tuple({**r, "ord": start + i, "scope": self.project or "global"}.get(c) for c in names) for i, r in enumerate(rows)]
-        self.spark.createDataFrame(filled, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
+        df = self.spark.createDataFrame(filled, LEDGER)
+        df.coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
+        return df
+
+    def add_nodes(self, nodes: DataFrame) -> DataFrame:
+        """Write a table of nodes (the ledger's columns, as far as they are there) in the order of ``ord``, as ``add_node`` would one by one.
+
+        Returns ord, id and status of each. Tags are not validated here (``context.tag_violations``).
+        """
+        keys, start = self.keys, self._next(1 << 40)
+        full = self.spark.createDataFrame([], LEDGER).unionByName(nodes.select([c for c in nodes.columns if c in LEDGER_COLUMNS]), allowMissingColumns=True)
+        rows = full.withColumn("ord", F.col("ord") + start).withColumn("scope", F.coalesce("scope", F.lit(self.project or "global"))).withColumn("ts", F.coalesce("ts", F.lit(self.clock())))
+        told, path = written_at(keys.status(rows), "told")
+        keys.clean()
+        new = told.filter("status = 'write'").select(*LEDGER_COLUMNS)
+        new.write.mode("append").parquet(f"{self.root}/ledger")
+        new.select("ord", F.lit("add").alias("op"), F.col("id").alias("node_id"), "text", "ts").write.mode("append").parquet(f"{self.root}/feed")
+        keys.add(new)
+        return told.select((F.col("ord") - start).alias("ord"), "id", "status")
 
     def add_tag(self, *tags: str) -> list[str]:
         self.tags |= set(tags)
@@ -82,10 +120,10 @@ class MemoryStore:
             raise ValueError(f"tags must be registered and hold a base tag: {tags}")
         row = {"id": node_id, "type": node_type, "ts": ts or self.clock(), "text": text, "tags": tags, "links": list(links or []), "source_path": source_path, "priority": priority, "supersedes": list(supersedes or [])}
         new = self.spark.createDataFrame([(node_id, node_type, self.project or "global", text)], "id string, type string, scope string, text string")
-        status = ingest.dedupe_on_write(new, self.nodes()).first()["status"]
+        status = self.keys.of_one(new)
         if status == "write":
-            self._append([row])
-            self.spark.createDataFrame([(time.time_ns(), "add", node_id, text, row["ts"])], FEED).coalesce(1).write.mode("append").parquet(f"{self.root}/feed")
+            self.keys.add(self._append([row]))
+            self.spark.createDataFrame([(self._next(), "add", node_id, text, row["ts"])], FEED).coalesce(1).write.mode("append").parquet(f"{self.root}/feed")
         return {**row, "status": status}
 
     def jot(self, text: str, *, tags=None) -> dict:
@@ -103,25 +141,38 @@ class MemoryStore:
         out = [r.asDict() for r in ingest.jot_batch(batch, jots, self.project or "global", ts, placed).orderBy("i").collect()]  # a row for each text given
         new = [{"id": r["id"], "type": "note", "ts": ts, "text": r["text"], "tags": ["jot", *(tags or [])]} for r in out if r["status"] == "write"]
         if new:
-            self._append(new)
+            self.keys.add(self._append(new))
         return out
 
     def index(self) -> dict:
-        """Write all indexes of the ledger as it is; lookups and recalls read them, and the nodes written since."""
+        """Write all indexes of the ledger as it is; lookups and recalls read them. The full-text index only takes in what was written since the last time."""
         nodes = self.nodes()
         upto = nodes.agg(F.max("ord")).first()[0] or 0
+        self._index_texts(upto)
         self.set("index", {"ord": upto, "paths": jobs.index_full(nodes.filter(F.col("ord") <= upto), f"{self.root}/indexes")})
         return self.settings["index"]
 
-    def _newer(self) -> DataFrame:
-        return self.nodes().filter(F.col("ord") > self.settings["index"]["ord"])
+    def _texts(self) -> segments.TextSegments:
+        return segments.TextSegments(self.spark, f"{self.root}/segments")
+
+    def _index_texts(self, upto: int | None = None) -> segments.TextSegments:
+        """The full-text index with all nodes up to ``upto``, those that it lacks as one more segment."""
+        index, after = self._texts(), self.settings.get("texts", 0)
+        new = self.nodes().filter(F.col("ord") > after)
+        new = new if upto is None else new.filter(F.col("ord") <= upto)
+        last = new.agg(F.max("ord")).first()[0]
+        if last is not None:
+            index.apply(new.filter(F.col("ord") <= last))
+            index.merge()
+            self.set("texts", last)
+        return index
 
     def lookup(self, query: str, *, limit: int = 10, index: bool = True) -> list[str]:
         if not index:
             return [r["text"] for r in lexical.lookup_scan(self.nodes(), query, limit).collect()]
         queries = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         if "index" in self.settings:
-            found = jobs.stored_lookup(self.spark, self.settings["index"]["paths"], queries, limit, self._newer())
+            found = self._index_texts().lookup(queries, limit)
         else:
             found = lexical.lookup_indexed(lexical.postings(self.nodes()), lexical.node_meta(self.nodes()), queries, limit)
         return [r["text"] for r in found.orderBy("rank").collect()]

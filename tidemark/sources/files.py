@@ -108,10 +108,10 @@ def parse_flat_sessions(rows: DataFrame) -> DataFrame:
     return objects(rows).select(F.col("file").alias("session"), "ord", ts.alias("ts"), what.alias("kind"), F.coalesce(role, kind, F.lit("message")).alias("role"), said.alias("text"))
 
 
-def newest_session(spark: SparkSession, roots: list[str]) -> DataFrame:
+def newest_session(spark: SparkSession, roots: list[str], names: str = "*.jsonl") -> DataFrame:
     """(path, modified) of the newest log under the first root that has any; logs of the sessions' own list do not count."""
     for root in roots:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true")
+        found = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true")
         try:
             files = found.load(root).select("path", F.col("modificationTime").alias("modified")).filter(~F.col("path").endswith("sessions.jsonl"))
             if not files.isEmpty():

@@ -77,16 +77,34 @@ class WriteKeys:
 
     def __init__(self, spark: SparkSession, root: str):
         self.keys = Buckets(spark, root, self.SCHEMA, ["key"], indexed="key")
+        self.scratch: list[str] = []
+
+    def clean(self) -> None:
+        while self.scratch:
+            remove(self.keys.spark, self.scratch.pop())
 
     @staticmethod
     def keyed(rows: DataFrame) -> DataFrame:
         """``rows`` with _id and _fact, digests of both keys; null where there is none."""
-        fact = F.struct("type", F.coalesce("scope", F.lit("global")), X.strip("text"))
-        return rows.withColumns({"_id": F.when(F.col("id").isNotNull(), F.sha2(F.concat(F.lit("i:"), "id"), 256)), "_fact": F.when(X.strip("text") != "", F.sha2(F.concat(F.lit("f:"), F.to_json(fact, {"ignoreNullFields": "false"})), 256))})
+        fact = F.concat_ws("\0", F.lit("f"), F.coalesce("type", F.lit("\1")), F.coalesce("scope", F.lit("global")), X.strip("text"))
+        return rows.withColumns({"_id": F.when(F.col("id").isNotNull(), F.sha2(F.concat_ws("\0", F.lit("i"), "id"), 256)), "_fact": F.when(X.strip("text") != "", F.sha2(fact, 256))})
+
+    def of_one(self, row: DataFrame) -> str:
+        """The status of a single row, against all that was written."""
+        keyed = self.keyed(row).select("_id", "_fact")
+        mine = keyed.first()
+        pairs = keyed.select(F.explode(F.array_compact(F.array("_id", "_fact"))).alias("key"))
+        # the files' Bloom filters are asked for both keys
+        known = {r["key"] for r in self.keys.read(pairs).filter(F.col("key").isin([k for k in mine if k])).collect()}
+        return "SKIP_DUPLICATE_ID" if mine["_id"] in known else "SKIP_DUPLICATE_FACT" if mine["_fact"] in known else "write"
 
     def status(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (ord, id, type, scope, text, ...) with their status, against all earlier rows and one another."""
+        """``rows`` (ord, id, type, scope, text, ...) with their status, against all earlier rows and one another.
+
+        The tables of its rounds are in ``scratch``, to be deleted once the result has been read.
+        """
         keyed, path = written_at(self.keyed(rows).select("*", F.lit(None).cast("string").alias("status")), "dedupe")
+        self.scratch.append(path)
         pairs = keyed.select(F.explode(F.array_compact(F.array("_id", "_fact"))).alias("key")).distinct()
         known = self.keys.read(pairs).join(pairs, "key", "left_semi")
         made = []
@@ -98,7 +116,8 @@ class WriteKeys:
             # a row whose id an earlier one may still take has to wait, whatever its fact
             status = F.when(F.col("_a") & (F.col("_fact_ord") < F.col("ord")), "SKIP_DUPLICATE_FACT").when(F.col("_a") & F.col("_b"), "write")
             waiting = left.filter("status is null").withColumns({"_a": first("_id"), "_b": first("_fact")}).withColumn("status", status).drop("_a", "_b")
-            now, _ = written_at(left.filter("status is not null").unionByName(waiting).drop("_id_ord", "_fact_ord"), "dedupe")
+            now, path = written_at(left.filter("status is not null").unionByName(waiting).drop("_id_ord", "_fact_ord"), "dedupe")
+            self.scratch.append(path)
             made.append(now.filter("status is not null"))
             if now.filter("status is null").isEmpty():
                 break
@@ -119,11 +138,11 @@ class WriteKeys:
         """Write the rows of a stream that are new to the table ``out``, with the others' status beside them."""
 
         def batch(df: DataFrame, number: int) -> None:
-            told, path = written_at(self.status(df), "told")
             # a folder a batch: one that runs again replaces its own rows
-            told.write.mode("overwrite").parquet(f"{out}/batch={number}")
-            self.add(told.filter("status = 'write'"), number)
-            remove(df.sparkSession, path)
+            at = f"{out}/batch={number}"
+            self.status(df).write.mode("overwrite").parquet(at)
+            self.clean()
+            self.add(df.sparkSession.read.parquet(at).filter("status = 'write'"), number)
 
         rows.writeStream.foreachBatch(batch).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
 
