@@ -32,3 +32,21 @@ def test_rejects_what_is_not_clear(ready):
     for lang in texts:
         without = language.Classifier({k: v for k, v in known.items() if k != lang})
         assert accepted(without, texts[lang]) <= 0.05, lang
+
+
+def test_margin_by_cross_validation_over_training_rows(ready):
+    """Two folds of the rows that are not held out: nearly all right predictions stay, nearly all texts of a language left out go."""
+    df = ready.read.parquet(DOCUMENTS)
+    train = df.filter(~language.held_out(language.F.col("doc_id")) & language.F.col("lang").isNotNull())
+    fold = language.F.pmod(language.F.xxhash64("doc_id"), language.F.lit(2))
+    right, outside = [], []
+    for i in range(2):
+        known = language.learn(train.filter(fold == i))
+        of = language.Classifier(known)
+        without = {lang: language.Classifier({k: v for k, v in known.items() if k != lang}) for lang in known}
+        for r in train.filter(fold != i).collect():
+            name, _, accepted = of(r["text"])
+            right += [accepted] if name == r["lang"] else []
+            outside.append(without[r["lang"]](r["text"])[2])
+    assert len(right) > 650 and sum(right) / len(right) >= 0.99
+    assert sum(outside) / len(outside) <= 0.05
