@@ -17,8 +17,8 @@ that it meets at all; then components are taken, and only what may join two of t
 and large tiles that hold several components, in squares of up to SQUARE by SQUARE sets, each a group of its own,
 so that neither a square nor its pairs grow with the tile. There bitmaps (one hashed bit a shingle, in WIDE bits
 a shingle or more, folded for a first look) bound the overlap from above: each bit that only one of two sets has is a shingle that
-the other lacks. Pairs of different components that pass are intersected exactly: first only the likeliest partner of
-each set in each other component, and after taking components anew, in tiles where that left some out, all pairs. So a large group of near
+the other lacks. Pairs of different components that pass are intersected exactly: twice only the likeliest partner of
+each set, with components taken anew after each time, and then, in tiles where that left some out, all pairs. So a large group of near
 copies costs links in proportion to its size, and none is missed that would join two components.
 
 Verification compares bit counts, then sorted arrays of 40-bit hashes (a pair of texts of 500 words has equal
@@ -248,7 +248,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _square(rows: list[tuple], likeliest: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
     """Of rows (side, fp, root, n, bits) the pairs of side 0 and 1, or of side 0 alone, of different roots whose bitmaps may link; whether some were left out.
 
-    likeliest: only the likeliest partner of each set in each other component.
+    likeliest: only the likeliest partner of each set.
     """
     width = min(len(r[4]) for r in rows)
     side, fp, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in range(4))
@@ -270,11 +270,8 @@ def _square(rows: list[tuple], likeliest: bool) -> tuple[list[tuple[np.ndarray,
         bound = overlap_bound(wide[x], wide[others], n[x], n[others])
         may = linked(bound, n[x], n[others])
         found = others[may]
-        if likeliest and len(found):
-            order = np.lexsort((-(bound[may] / np.maximum(n[x], n[found])), root[found]))
-            best = found[order][np.append(True, np.diff(root[found][order]) != 0)]
-            left_out |= len(best) < len(found)
-            found = best
+        if likeliest and len(found) > 1:
+            found, left_out = found[[np.argmax(bound[may] / np.maximum(n[x], n[found]))]], True
         out.append((np.minimum(fp[x], fp[found]), np.maximum(fp[x], fp[found])))
     return out, left_out
 
@@ -329,7 +326,7 @@ def links(sets: DataFrame) -> DataFrame:
     tried = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     out = verified(tried)
     more = pairs.filter("small").select("a", "b")
-    for likeliest in (True, False):
+    for likeliest in (True, True, False):
         roots = component_roots(out)
         squares = _mixed_tiles(members, roots, kept)
         dealt = squares.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
