@@ -29,3 +29,28 @@ def test_a_long_chain_is_no_cycle(spark):
     nodes = spark.createDataFrame(rows, "ord long, id string, scope string, supersedes array<string>")
     assert sorted(r["id"] for r in context.active(nodes).collect()) == ["n2999", "x", "y"]
     assert sorted(graph.on_cycles([(f"n{i}", f"n{(i + 1) % 50_000}") for i in range(50_000)])) == sorted(f"n{i}" for i in range(50_000))
+
+
+def parts_of(df):
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["part"], set()).add(r["node"])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_large_strong_parts(spark):
+    """Rings, chains, dense parts, two-cycles and random graphs, with next to nothing left to a single task."""
+    rng = random.Random(9)
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    chain = [(1000 + i, 1001 + i) for i in range(20)] + [(5, 1000)]
+    dense = [(2000 + a, 2000 + b) for a in range(8) for b in range(8) if a != b]
+    tail = [(2003, 3000), (3000, 3001), (3001, 3000), (3001, 3002), (3002, 3003), (3003, 3002), (4000, 4000)]
+    wild = [(5000 + rng.randrange(20), 5000 + rng.randrange(20)) for _ in range(25)]
+    edges = ring + chain + dense + tail + wild
+    expected = sorted(sorted(g) for g in graph.strong_parts(edges) if len(g) > 1)
+    assert len(expected) >= 4
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert parts_of(graph.large_strong_parts(df, most_edges=30)) == expected
+    named = spark.createDataFrame([("s", f"n{a}", f"n{b}") for a, b in edges], "scope string, src string, dst string")
+    found = {r["id"] for r in graph.cyclic(named, most_edges=70).collect()}
+    assert found == {f"n{x}" for g in expected for x in g} | {f"n{a}" for a, b in edges if a == b}

@@ -15,12 +15,19 @@ TTL_DAYS = 30
 
 #: Ranges that stored postings are dealt into by a hash of their token, so a lookup reads those of its tokens only.
 TOKEN_PARTS = 64
+#: Folders of stored chunks, whatever the number of scopes.
+SCOPE_PARTS = 64
 
 
 def token_part(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(TOKEN_PARTS)).cast("int")
 
 
+def scope_part(scope: Column) -> Column:
+    """Which of SCOPE_PARTS a scope's chunks are stored in; a number, so a filter on a literal scope's part prunes folders."""
+    return F.pmod(F.xxhash64(scope), F.lit(SCOPE_PARTS)).cast("int")
+
+
 def dealt_postings(nodes: DataFrame) -> DataFrame:
     """Postings with their range, each range in one place and by token."""
     posted = lexical.postings(nodes).withColumn("part", token_part(F.col("token")))
@@ -31,7 +38,8 @@ def index_full(nodes: DataFrame, root: str, embed: str = "hash", int8: bool = Tr
     """Chunks with vectors, postings, node metadata and the routing index, each a new snapshot; its paths by name."""
     chunks = ingest.chunk_rows(nodes).withColumn("embedding", V.embedder(embed)(F.col("text")).cast("array<float>")).withColumn("embedding_backend", F.lit(embed))
     chunks = chunks.withColumn("embedding_int8", V.to_int8_blob("embedding")) if int8 else chunks
-    parts = {"chunks": (chunks, ("project_id",)), "postings": (dealt_postings(nodes), ("part",)), "node_meta": (lexical.node_meta(nodes), ()), "routing": (ingest.routing_index(nodes), ("kind",))}
+    chunks = chunks.withColumn("scope_part", scope_part(F.col("project_id")))
+    parts = {"chunks": (chunks, ("scope_part",)), "postings": (dealt_postings(nodes), ("part",)), "node_meta": (lexical.node_meta(nodes), ()), "routing": (ingest.routing_index(nodes), ("kind",))}
     return {name: files.write_snapshot(df, f"{root.rstrip('/')}/{name}", by) for name, (df, by) in parts.items()}
 
 

@@ -198,6 +198,7 @@ class MemoryStore:
 
     def _hybrid(self, query: str, scope: str | None) -> DataFrame:
         chunks = self.spark.read.parquet(self.settings["index"]["paths"]["chunks"])
+        chunks = chunks if scope is None else chunks.filter(F.col("scope_part") == jobs.scope_part(F.lit(scope)))
         asked = self.spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"), V.hash_embedding(F.lit(query)).alias("q"))
         # only with a full-text hit, as the nearest of hashed vectors says little
         found = recall.hybrid(chunks, asked, 200, 50, 20, scope).filter(F.forall(X.query_tokens(F.lit(query)), lambda t: F.contains(F.lower("text"), t)))

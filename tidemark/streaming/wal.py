@@ -9,13 +9,14 @@ trigger; the stream's own checkpoint holds what was read, which replaces truncat
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import Pointer, remove
+
 FEED = "ord long, op string, node_id string, text string, ts string"
 STATE = "node_id string, ord long, op string, text string, ts string"
 BUCKETS = 64
@@ -27,15 +28,12 @@ class WalFold:
     def __init__(self, root: str, buckets: int = BUCKETS):
         self.root, self.buckets = root.rstrip("/"), buckets
 
+    def _pointer(self, spark: SparkSession) -> Pointer:
+        return Pointer(spark, f"{self.root}/current")
+
     def _last(self, spark: SparkSession) -> dict:
-        """The pointer: buckets (number -> folder) and folders to be deleted."""
-        try:
-            newest = spark.read.schema("number long, value string").json(f"{self.root}/current").orderBy(F.desc("number")).first()
-        except Exception as e:  # before the first batch there is no pointer
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            newest = None
-        return {"number": newest["number"], **json.loads(newest["value"])} if newest else {"number": 0, "buckets": {}, "stale": []}
+        """The newest state: buckets (number -> folder) and folders to be deleted."""
+        return self._pointer(spark).read({"buckets": {}, "stale": []})
 
     def _read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
         return spark.read.schema(STATE).parquet(*folders) if folders else spark.createDataFrame([], STATE)
@@ -61,11 +59,9 @@ class WalFold:
         path = f"{self.root}/batch-{batch_id:012d}-{uuid.uuid4().hex}"
         state.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
         # the pointer moves after the buckets are whole
-        now = {"buckets": last["buckets"] | {b: f"{path}/bucket={b}" for b in touched}, "stale": old}
-        spark.createDataFrame([(last["number"] + 1, json.dumps(now))], "number long, value string").coalesce(1).write.mode("append").json(f"{self.root}/current")
+        self._pointer(spark).move({**last, "buckets": last["buckets"] | {b: f"{path}/bucket={b}" for b in touched}, "stale": old})
         for folder in last["stale"]:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(spark, folder)
 
 
 def merge_stream(spark: SparkSession, feed: str, root: str, files_per_batch: int = 100) -> WalFold:
