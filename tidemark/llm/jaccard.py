@@ -319,7 +319,8 @@ def links(sets: DataFrame) -> DataFrame:
     pairs = written(found.filter("a <> b").groupBy("a", "b").agg(F.max(F.isnull("key")).alias("small")), "pairs")
     members = found.filter("key is not null").select("key", F.col("b").alias("fp"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()  # a member of a large tile is in a pair
-    kept = written(once.select("fp", "n", "bits", "grams").join(named, "fp", "left_semi").dropDuplicates(["fp"]), "kept")
+    # merged at any size: these names grow with the documents, so they are not to be broadcast while they are few
+    kept = written(once.select("fp", "n", "bits", "grams").join(named.hint("merge"), "fp", "left_semi").dropDuplicates(["fp"]), "kept")
     of = lambda c: kept.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bits", "grams")])
     verified = lambda some: written(some.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(_verified, "a long, b long"), "links")
     # first each set with the smallest that it meets, which joins most; then what may join components
