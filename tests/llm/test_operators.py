@@ -449,12 +449,25 @@ def test_quality(case):
 
 
 def test_cascade_order(table):
-    order = quality.plan_cascade(quality.counts(quality.sampled(table[0].select("doc_id", "text"), 100)))
+    order = quality.plan_cascade(quality.counts(table[0]), rows=100)
     assert [x["gain"] for x in order] == sorted((x["gain"] for x in order), reverse=True) and len(order) == len(quality.RULES)
     forward, backward = (quality.judged(table[0], order=list(x)).drop("rejected_by").collect() for x in (quality.RULES, reversed(quality.RULES)))
     assert multiset(forward) == multiset(backward)
 
 
+def test_cascade_work(ready, empty):
+    """A rule that rejects most comes after one that rejects less for far less work; what rejects nothing comes last, the dearest of all at the end."""
+    words = " ".join(f"word{i}" for i in range(80))
+    texts = ["few"] * 3 + [" ".join(f"{i}" for i in range(1000, 1080))] * 6 + [words]
+    df = quality.counts(ready.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = quality.plan_cascade(df)
+    assert [x["rule"].name for x in plan[:2]] == ["few_words", "letters"] and plan[-1]["rule"].name == "distinct_words"
+    assert {x["rule"].name: x["selectivity"] for x in plan if x["selectivity"]} == {"few_words": 0.3, "letters": 0.6}
+    assert {x["rule"].name: x["cost"] for x in plan}["broken_lines"] == 3 * sum(map(len, texts)) / len(texts)
+    assert quality.plan_cascade(df) == plan
+    assert [x["rule"].name for x in quality.plan_cascade(quality.counts(empty))] == [r.name for r in quality.RULES]
+
+
 def test_cascade_stops(ready):
     """A rule is evaluated on the documents only that those before it have let pass."""
     words = " ".join(f"word{i}" for i in range(80))
