@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from llm_rows import SCHEMA, SF
 
-from tidemark.llm import near_copies
+from tidemark.llm import jaccard, near_copies
 
 
 def shingles(text):
@@ -58,6 +58,25 @@ def test_large_bucket(ready):
     assert kept(ready, texts) == {0}
 
 
+def test_template_on_a_third_of_rows(ready):
+    """Thousands of texts of one template that differ by about as much as links allow: the components are those of the exact join."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(200)]
+    texts = []
+    for i in range(6000):
+        words = list(base) if i % 3 == 0 else [f"u{rng.randrange(50_000)}" for _ in range(60)]
+        for at in rng.sample(range(len(words)), rng.randint(2, 7) if i % 3 == 0 else 0):
+            words[at] = f"v{rng.randrange(10**6)}"
+        texts.append((i, " ".join(words)))
+    df = ready.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    exact = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(df).collect()}
+    copies = [x for x in exact if exact[x] != x]
+    assert len(copies) > 500 and all(exact[i] == i for i in range(6000) if i % 3)
+    assert all(exact[found[x]] == exact[x] for x in found)
+    assert sum(found[x] != x for x in copies) >= 0.98 * len(copies)
+
+
 def test_groups_of_table(table):
     df, rows = table
     up = {r["doc_id"]: r["doc_id"] for r in rows}

@@ -311,10 +311,14 @@ def _mixed_tiles(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     return own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp", "root", "n", "bits")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): links of distinct sets (fp, n, bits, grams; copies may have null grams) with the same components as all links."""
+def links(sets: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
+    """(a, b): links of distinct sets (fp, n, bits, grams; copies may have null grams) with the same components as all links.
+
+    keyed: (key, fp) of other tiles; then with the components of the links whose sets share one.
+    """
     once = sets.filter("grams is not null")
-    keyed = once.select("fp", "n", "grams").mapInArrow(_entered, "key long, fp long")
+    if keyed is None:
+        keyed = once.select("fp", "n", "grams").mapInArrow(_entered, "key long, fp long")
     found = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_met, "a long, b long, key long"), "met")
     pairs = written(found.filter("a <> b").groupBy("a", "b").agg(F.max(F.isnull("key")).alias("small")), "pairs")
     members = found.filter("key is not null").select("key", F.col("b").alias("fp"))
