@@ -241,3 +241,16 @@ def test_text_functions(spark):
     assert one(X.tag_list(F.array(F.lit("a, b"), F.lit(""), F.lit("c")))) == ["a", "b", "c"]
     assert one(X.bigrams(X.topic_tokens(F.lit("memory the with quick brown foxes"), ["memory"]))) == ["quick brown", "brown foxes"]
     assert one(C.policy_categories(F.lit("nothing here"))) == ["none"]
+
+
+def test_percentiles_order_few_values(spark):
+    """Only the distinct values near the place stand in one order, of any distribution."""
+    rows = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("x"))
+    values = sorted(r[0] for r in rows.collect())
+    skewed = rows.select(F.when(F.col("x") < 9e8, 1.0).otherwise(F.col("x")).alias("x"))
+    for fraction in (0.0, 0.5, 0.95, 1.0):
+        place = round(19_999 * fraction)
+        found = evaluate.nearest_rank(rows, "x", fraction)
+        assert [r[0] for r in found.collect()] == [values[place]]
+        assert [r[0] for r in evaluate.nearest_rank(skewed, "x", fraction).collect()] == [1.0 if values[place] < 9e8 else values[place]]
+    assert "between" in found._jdf.queryExecution().analyzed().toString() or "<=" in found._jdf.queryExecution().analyzed().toString()
