@@ -2,13 +2,14 @@
 
 Vectors lie in the cell of the nearest centre by cosine, a folder each. A delta puts its vectors into their
 cells and takes those of changed and deleted nodes out; only the cells that this concerns are written anew, all
-others stay as they are. A cell of over ``most`` vectors is split by k-means on its own rows; the cells that it was
+others stay as they are. Cells of over ``most`` vectors are split, all in one pass, by k-means on their own rows; the cells that it was
 split into are remembered, so a node's place (its cell, kept in BUCKETS by a hash of its id) need not be
 rewritten. A JSON state names what counts and moves on when all is whole.
 
 A search reads 8-bit vectors of the probed cells: with the vector's distance from its 8-bit form, the product with a
 query is known within that distance times the query's length. Vectors that cannot be among the k best by these bounds
-are left out; the full vectors of the rest are read and ranked exactly. So the result is that of comparing all full vectors of the
+are left out; the full vectors of the rest are ranked exactly, in the same tile (``tiles``), so that candidates never
+are a table of their own. So the result is that of comparing all full vectors of the
 probed cells, and with all cells probed, of all vectors.
 """
 
@@ -18,13 +19,14 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
-from tidemark.operators import lexical
+from tidemark.operators import lexical, tiles
 from tidemark.operators.tables import Pointer, remove
 
 BUCKETS = 64
@@ -53,6 +55,27 @@ def bounded_topk(pairs: DataFrame, k: int) -> DataFrame:
     return scored.join(floor, "query_id", "left").filter(F.col("_high") >= F.coalesce("_floor", F.lit(-2.0))).drop("_low", "_high", "_floor")
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _centres_of(wanted: dict[int, int], seed: int):
+    """The centres of a cell's rows by k-means on the sphere, as many as ``wanted`` has for it; those without a row are left out."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cell = rows["cell"][0].as_py()
+        x = _unit(np.array(rows.sort_by("place")["embedding"].to_pylist(), dtype=np.float64))
+        k, rng = min(wanted[cell], len(x)), np.random.default_rng(seed)
+        centres = x[rng.choice(len(x), k, replace=False)]
+        for _ in range(10):
+            at = (x @ centres.T).argmax(axis=1)
+            held = np.unique(at)
+            centres = _unit(np.stack([x[at == c].sum(axis=0) for c in held]))
+        return pa.table({"cell": pa.array([cell] * len(centres), pa.int32()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
 class VectorCells:
     """The index under ``root``: ``apply`` writes a delta of chunks (node_id, chunk_id, project_id, embedding), ``search`` answers queries."""
 
@@ -139,8 +162,8 @@ class VectorCells:
             state["places"].pop(b, None)
             if f"at={b}" in there:
                 state["places"][b] = f"{path}/at={b}"
-        for c in sorted(c for c in touched if cells[c]["n"] > self.most):
-            old += self._split(c, cells, state)
+        if over := sorted(c for c in touched if cells[c]["n"] > self.most):
+            old += self._split(over, cells, state)
         state["cells"] = {str(c): x for c, x in cells.items() if x["folder"]} or {str(c): x for c, x in cells.items()}
         state = self.pointer.move(state)
         for folder in [*old, *stale]:
@@ -158,28 +181,56 @@ class VectorCells:
                 out.add(c)
         return out
 
-    def _split(self, cell: int, cells: dict, state: dict) -> list[str]:
-        """Cut a cell into ones of about half of ``most``; returns its folder."""
-        rows = self.rows(cells, {cell})
-        centres = {state["next"] + i: c for i, c in enumerate(self._centres(rows, max(2, -(-2 * cells[cell]["n"] // self.most))))}
-        written = self._write(rows.withColumn("cell", self._nearest(centres)(F.col("embedding"))), uuid.uuid4().hex)
+    def _split(self, over: list[int], cells: dict, state: dict) -> list[str]:
+        """Cut cells into ones of about half of ``most``, all at once; returns their folders."""
+        rows = self.rows(cells, set(over))
+        wanted = {c: max(2, -(-2 * cells[c]["n"] // self.most)) for c in over}
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node_id", "chunk_id")))
+        fit = rows.select("cell", "embedding", place.alias("place")).filter(F.col("place") <= SAMPLE)
+        # a centre for each new cell, as the state has
+        made = fit.groupBy("cell").applyInArrow(_centres_of(wanted, self.seed), "cell int, centre array<double>").collect()
+        centres = {state["next"] + i: (r["cell"], list(r["centre"])) for i, r in enumerate(sorted(made))}
         state["next"] += len(centres)
-        state["split"][str(cell)] = list(written)
-        folder = cells.pop(cell)["folder"]
-        cells |= {c: {**x, "centre": centres[c]} for c, x in written.items()}
-        return [folder]
+        written = self._write(rows.withColumn("cell", self._nearest_within(centres)(F.col("cell"), F.col("embedding"))), uuid.uuid4().hex)
+        for cell in over:
+            state["split"][str(cell)] = [c for c in written if centres[c][0] == cell]
+        folders = [cells.pop(cell)["folder"] for cell in over]
+        cells |= {c: {**x, "centre": centres[c][1]} for c, x in written.items()}
+        return folders
+
+    @staticmethod
+    def _nearest_within(centres: dict[int, tuple[int, list[float]]]):
+        """A column function of a cell and a vector: the number of the nearest of the ``centres`` (number -> cell, centre) of that cell."""
+        within = {}
+        for number, (cell, centre) in sorted(centres.items()):
+            within.setdefault(cell, []).append((number, centre))
+        within = {c: (np.array([n for n, _ in x], dtype=np.int32), _unit(np.array([v for _, v in x], dtype=np.float64))) for c, x in within.items()}
+
+        @F.pandas_udf("int")
+        def nearest(cell: pd.Series, vectors: pd.Series) -> pd.Series:
+            out = np.empty(len(cell), dtype=np.int32)
+            numbers = cell.to_numpy()
+            for c in np.unique(numbers):
+                at = np.flatnonzero(numbers == c)
+                found, matrix = within[int(c)]
+                out[at] = found[(np.stack(vectors.to_numpy()[at]).astype(np.float64) @ matrix.T).argmax(axis=1)]
+            return pd.Series(out)
+
+        return nearest
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, scope: str | None = None) -> DataFrame:
         """(query_id, rank, node_id, chunk_id, project_id, cell, score): the ``k`` closest of each of ``queries`` (query_id, q) among its nearest cells."""
         cells = {int(c): x for c, x in self.state["cells"].items()}
-        # the centres are a row for each cell
-        centres = self.spark.createDataFrame([(c, x["centre"]) for c, x in cells.items()], "cell int, centre array<double>")
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_near"), "cell"))
-        near = queries.crossJoin(centres).withColumn("_near", V.cosine(F.col("centre"), F.col("q"))).withColumn("_nth", nth)
-        asked = near.filter(F.col("_nth") <= (probes or self.probes)).select("query_id", "q", "cell")
         rows = self.rows({c: x for c, x in cells.items() if x["folder"]})
         rows = rows if scope is None else rows.filter(F.col("project_id") == scope)
-        may = bounded_topk(rows.drop("embedding").join(asked, "cell"), k).select("query_id", "cell", "node_id", "chunk_id", "project_id")
-        full = may.join(rows.select("cell", "node_id", "chunk_id", "embedding"), ["cell", "node_id", "chunk_id"]).join(queries.select("query_id", "q"), "query_id")
-        scored = full.withColumn("score", V.cosine(F.col("embedding"), F.col("q"))).drop("embedding", "q")
-        return lexical.top(scored, k, F.desc("score"), F.asc("node_id"), F.asc("chunk_id"))
+        asked, wanted = queries.select("query_id", "q"), probes or self.probes
+        if wanted < len(cells):
+            # the centres are a row for each cell; those closest to each query come by tiles as well
+            centres = self.spark.createDataFrame([(f"{c:012d}", x["centre"]) for c, x in cells.items()], "node_id string, embedding array<double>").withColumn("chunk_id", F.lit(""))
+            near = lexical.top(tiles.vector_top(centres, asked, wanted), wanted, F.desc("score"), F.asc("node_id"))
+            asked = near.select("query_id", F.col("node_id").cast("int").alias("cell")).join(asked, "query_id")
+            found = tiles.vector_top(rows, asked, k, "cell")
+        else:
+            found = tiles.vector_top(rows, asked, k)
+        best = lexical.top(found, k, F.desc("score"), F.asc("node_id"), F.asc("chunk_id"))
+        return best.select("query_id", "node_id", "chunk_id", "project_id", "cell", "score", "rank")
