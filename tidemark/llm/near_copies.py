@@ -86,3 +86,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, once if its row repeats."""
     return simhash.firsts(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def near_duplicates_of_both(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_duplicates``, by these links and those of ``simhash`` together; a component of either is whole in one of both."""
+    sets = written(_sets(docs, id_col, text_col), "sets")
+    rows = sets.select("doc_id", "k1", "k2", "fp")
+    alike = simhash.near_duplicates(docs, id_col, text_col).select("k1", "k2", F.col("first_k1").alias("h1"), F.col("first_k2").alias("h2")).distinct()
+    # a star in each component of fingerprints: its sets with the least of them
+    groups = written(rows.select("k1", "k2", "fp").distinct().join(alike, ["k1", "k2"]).select("h1", "h2", "fp").distinct(), "groups")
+    stars = groups.join(groups.groupBy("h1", "h2").agg(F.min("fp").alias("a")), ["h1", "h2"]).filter("a <> fp").select("a", F.col("fp").alias("b"))
+    return simhash.grouped(rows, lambda nodes: links(sets).select("a", "b").union(stars).distinct())
+
+
+def first_of_each_of_both(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``first_of_each``, by ``near_duplicates_of_both``."""
+    return simhash.firsts(docs, near_duplicates_of_both(docs, id_col, text_col), id_col, text_col)
