@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import let
+
 HASH_DIM = 96
 
 
@@ -41,8 +43,10 @@ def unit(a: Column) -> Column:
 def hash_embedding(text: Column | str, dim: int = HASH_DIM) -> Column:
     """The bytes of the text's SHA-256, repeated up to ``dim``, as numbers from -1 to 1."""
     digest = F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)
-    byte = lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(i) / F.lit(127.5) - F.lit(1.0))
+    byte = lambda d, i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    # one digest a text; a lambda that held it would compute it for each of its elements
+    numbers = let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i) / F.lit(127.5) - F.lit(1.0)))
+    return F.slice(F.flatten(F.array_repeat(numbers, -(-dim // 32))), 1, dim)
 
 
 def int8_scale(a: Column) -> Column:
