@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import catalog, language, mixing, near_copies, packing, secrets
+from tidemark.llm import catalog, language, mixing, near_copies, packing, secrets, simhash
 from tidemark.llm.common import documents, intermediates, prepare, remove, written_at
 
 #: No stage of the whole can be expressed in SQL (compression, XXH64 votes, byte-pair encoding).
@@ -29,7 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: by op 3's fingerprints, and by five-word shingles of similarity 0.8 or more."""
     prepare(spark)
-    return near_copies.first_of_each_of_both(docs)
+    # the tables of sets, larger than the texts, go as soon as it is known which documents are first
+    with intermediates(spark) as keep:
+        heads, path = written_at(near_copies.heads_of_both(docs), "heads")
+        keep.append(path)
+    return simhash.of_heads(docs, heads)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,6 @@ def near_duplicates_of_both(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return simhash.grouped(rows, lambda nodes: links(sets).select("a", "b").union(stars).distinct())
 
 
-def first_of_each_of_both(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``first_of_each``, by ``near_duplicates_of_both``."""
-    return simhash.firsts(docs, near_duplicates_of_both(docs, id_col, text_col), id_col, text_col)
+def heads_of_both(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``simhash.heads`` of ``near_duplicates_of_both``."""
+    return simhash.heads(near_duplicates_of_both(docs, id_col, text_col))

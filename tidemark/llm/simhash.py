@@ -290,7 +290,16 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def firsts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are first in their component of ``found``."""
-    heads = found.filter("k1 = first_k1 and k2 = first_k2").select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct()
+    return of_heads(docs, heads(found), id_col, text_col)
+
+
+def heads(found: DataFrame) -> DataFrame:
+    """(_h1, _h2): the keys of the rows that are first in their component of ``found``."""
+    return found.filter("k1 = first_k1 and k2 = first_k2").select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct()
+
+
+def of_heads(docs: DataFrame, heads: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with these keys, each once."""
     rows, name = numbered(docs)
     k1, k2 = row_keys(F.col(name[id_col]), F.col(name[text_col]))
     kept = rows.select("*", k1.alias("_k1"), k2.alias("_k2")).join(heads, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left_semi")
