@@ -14,8 +14,10 @@ import re
 import struct
 from functools import lru_cache
 
-#: Pieces that a worker's table takes in before it drops those not used since it last did.
-MOST_PIECES = 1_000_000
+#: Bytes of pieces and ids that a worker's table takes in before it drops those not used since it last did; it holds up to twice as many.
+MOST_BYTES = 48 << 20
+#: Bytes that an entry takes beside its piece and ids: two objects' heads and its share of the dictionary.
+ENTRY_BYTES = 164
 #: Latin letters: their lower case goes letter by letter and they are in composed form.
 LATIN = "ɐ"
 PUNCTUATION = ".,;:!?*%&$#|<>()=+@^~"
@@ -72,6 +74,7 @@ class _Pieces(dict):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.before: dict[bytes, bytes] = {}
+        self.held = 0
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.before.get(piece)
@@ -79,10 +82,12 @@ class _Pieces(dict):
             ids = self.make(self.text_of(piece))
             if len(piece) > 200:  # rarely seen again
                 return ids
-        if len(self) >= MOST_PIECES:
+        if self.held >= MOST_BYTES:
             self.before = dict(self)
             self.clear()
+            self.held = 0
         self[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY_BYTES
         return ids
 
     @staticmethod
