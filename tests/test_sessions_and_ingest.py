@@ -1,12 +1,14 @@
 """Behaviour of readers, session pipelines, chunkers, the change feed and its stream."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import ingest, sessions
+from tidemark.plans import queries
 from tidemark.sources import files
 from tidemark.streaming import wal as wal_stream
 
@@ -67,6 +69,25 @@ def pack(pieces, joint, most):
     return out + ([buf] if buf else [])
 
 
+def test_logs_are_files_of_one_folder_in_order(spark, tmp_path):
+    rows = [(f"{n % 40}.txt", n, f"line {n} \u00e4") for n in range(1000)]
+    files.write_logs(spark.createDataFrame(rows, "name string, ord long, line string").repartition(7), str(tmp_path / "logs"))
+    assert sorted(p.name for p in (tmp_path / "logs").iterdir()) == sorted(f"{n}.txt" for n in range(40))
+    for n in range(40):
+        assert (tmp_path / "logs" / f"{n}.txt").read_text() == "".join(f"line {k} \u00e4\n" for k in range(n, 1000, 40))
+
+
+def test_newest_log_makes_no_folder_a_session(spark, tmp_path):
+    shared = Path(queries.shared(spark).removeprefix("file:"))
+    before = set(shared.glob("logs-*"))
+    rows = [(c, t, "user", f"text {c} {t}") for c in range(60) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.source_newest_log(spark, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in got) == ["text 59 0", "text 59 1", "text 59 2"]
+    (root,) = set(shared.glob("logs-*")) - before
+    assert len(list(root.rglob("*.txt"))) == 60 and not [p for p in root.iterdir() if p.is_dir()]
+
+
 def test_chunkers(spark):
     rng = random.Random(4)
     texts = ["", "  ", "short", "x" * 50, "a b " + "y" * 40, "p1\n\np2\n\n" + "z " * 30] + ["\n\n".join(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6))) for _ in range(60)]

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -113,9 +115,10 @@ def newest_session(spark: SparkSession, roots: list[str], names: str = "*.jsonl"
     for root in roots:
         found = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true")
         try:
-            files = found.load(root).select("path", F.col("modificationTime").alias("modified")).filter(~F.col("path").endswith("sessions.jsonl"))
-            if not files.isEmpty():
-                return files.orderBy(F.desc("modified"), "path").limit(1)
+            files = found.load(root).select("path", F.unix_micros("modificationTime").alias("us")).filter(~F.col("path").endswith("sessions.jsonl"))
+            newest = files.orderBy(F.desc("us"), "path").limit(1).collect()  # read here, so that the files are looked at once
+            if newest:
+                return spark.createDataFrame(newest, "path string, us long").select("path", F.timestamp_micros("us").alias("modified"))
         except Exception as e:  # a root that does not exist has no logs
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -194,4 +197,29 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.select("filename", "markdown").mapInArrow(put, "n long").agg(F.sum("n")).collect()
 
 
+def write_logs(rows: DataFrame, path: str) -> None:
+    """(name, ord, line) as files ``path``/name, a name's lines in the order of ``ord``, each file written by one task as its lines come.
+
+    No file is renamed and nothing is held for a name, so the driver's work does not grow with the number of files.
+    """
+    folder = path.rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        last, out = None, None
+        for b in batches:
+            for name, some in groupby(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), key=itemgetter(0)):
+                if name != last:
+                    if out:
+                        out.close()
+                    last, out = name, system.open_output_stream(f"{root}/{name}")
+                out.write("".join(f"{line}\n" for _, line in some).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+        if out:
+            out.close()
+
+    rows.repartition("name").sortWithinPartitions("name", "ord").select("name", "line").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 MESSAGES = T.StructType([T.StructField(c, T.StringType()) for c in ("session", "id", "ts", "role", "text")])
