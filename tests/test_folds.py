@@ -1,6 +1,7 @@
 """Buckets folded batch by batch, against doing all at once; any batching, and batches that run again."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,20 @@ def test_summaries_of_sessions_that_grow(spark, tmp_path):
     grown = {e[0] for e in events if e not in first}
     assert {r["session"] for r in kept.documents(since=0).collect()} == grown and "s0" not in grown
     assert spark.read.parquet(source).groupBy("session").agg(F.count("*")).count() == 6
+
+
+def test_texts_are_shuffled_once_at_most_to_be_told_their_status(spark, tmp_path):
+    """The rounds are over keys; the texts went through each round's windows."""
+
+    def shuffled():
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    texts = [random.Random(i).randbytes(5000).hex() for i in range(300)]
+    rows = spark.createDataFrame([(i, f"id{i % 250}", "note", "global", x) for i, x in enumerate(texts)], COLUMNS)
+    keys, before = folds.WriteKeys(spark, str(tmp_path / "keys")), shuffled()
+    told = keys.status(rows).collect()
+    time.sleep(1)  # for the listener of finished stages
+    assert sum(r["status"] == "write" for r in told) == 250 and {r["text"] for r in told} == set(texts)
+    assert shuffled() - before < 1.5 * sum(map(len, texts)) / 2  # a hexadecimal digit is compressed to half a byte

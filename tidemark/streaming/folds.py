@@ -101,10 +101,12 @@ class WriteKeys:
     def status(self, rows: DataFrame) -> DataFrame:
         """``rows`` (ord, id, type, scope, text, ...) with their status, against all earlier rows and one another.
 
-        The tables of its rounds are in ``scratch``, to be deleted once the result has been read.
+        The rounds are over keys alone; what else is in the rows is shuffled once, to join their status.
+        The tables of the rounds are in ``scratch``, to be deleted once the result has been read.
         """
-        keyed, path = written_at(self.keyed(rows).select("*", F.lit(None).cast("string").alias("status")), "dedupe")
+        whole, path = written_at(self.keyed(rows).withColumn("_row", F.monotonically_increasing_id()), "dedupe")
         self.scratch.append(path)
+        keyed = whole.select("_row", "ord", "_id", "_fact", F.lit(None).cast("string").alias("status"))
         pairs = keyed.select(F.explode(F.array_compact(F.array("_id", "_fact"))).alias("key")).distinct()
         known = self.keys.read(pairs).join(pairs, "key", "left_semi")
         made = []
@@ -127,7 +129,7 @@ class WriteKeys:
         out = made[0]
         for more in made[1:]:
             out = out.unionByName(more)
-        return out.drop("_id", "_fact")
+        return whole.join(out.select("_row", "status"), "_row").select(*rows.columns, "status")
 
     def add(self, written: DataFrame, batch: int | None = None) -> None:
         """Remember the keys of rows that are written."""
