@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,29 @@ def test_excerpts_expire_as_time_passes(rocks, tmp_path):
         counted = {r["fate"]: r["count"] for r in fates.groupBy("fate").count().collect()}
         assert (counted.get("deleted", 0), counted.get("missing", 0)) == (report["deleted"], report["missing"]), step
     assert {r["id"] for r in fates.collect()} == {"a", "b", "c", "e"}
+
+
+def test_excerpts_without_a_timer_cost_no_state():
+    """A new excerpt has no timers to list, and one without a timer nothing to keep."""
+    done = []
+
+    class Row:
+        exists = staticmethod(lambda: False)
+        update = staticmethod(lambda row: done.append(row))
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Row)
+        listTimers = staticmethod(lambda: done.append("listed") or [])
+        registerTimer = staticmethod(lambda at: done.append(at))
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 50)
+
+    expiry = stateful._Expiry()
+    expiry.init(Handle)
+    rows = lambda *r: iter([pd.DataFrame([x], columns=["ord", "has_file", "pinned", "expires_ms"]) for x in r])
+    assert not list(expiry.handleInputRows(("a",), rows((1, True, False, 10.0), (2, True, True, 10.0)), Times))
+    assert not list(expiry.handleInputRows(("b",), rows((1, True, False, float("nan"))), Times))
+    assert done == []
+    assert not list(expiry.handleInputRows(("c",), rows((2, False, False, 90.0), (1, True, True, 10.0)), Times))
+    assert done == [(False, 90), 91]

@@ -60,15 +60,21 @@ class _Expiry(StatefulProcessor):
         self.row = handle.getValueState("row", "has_file boolean, expires_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        ord_, newest = None, None
         for pdf in rows:
-            own = pdf.loc[pdf["ord"].idxmax()]
-            newest = own if newest is None or own["ord"] > newest["ord"] else newest
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        expires = None if newest["pinned"] or pd.isna(newest["expires_ms"]) else int(newest["expires_ms"])
-        self.row.update((bool(newest["has_file"]), expires))
+            for at, *own in zip(pdf["ord"].tolist(), pdf["has_file"].tolist(), pdf["pinned"].tolist(), pdf["expires_ms"].tolist(), strict=True):
+                if ord_ is None or at > ord_:
+                    ord_, newest = at, own
+        has_file, pinned, ms = newest
+        expires = None if pinned or pd.isna(ms) else int(ms)
+        # state is kept, and so has to be asked for, only of excerpts with a timer
+        if self.row.exists():
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if expires is None:
+                self.row.clear()
         if expires is not None:
+            self.row.update((bool(has_file), expires))
             # over once the time has passed; a time in the past is over at the next one
             self.handle.registerTimer(max(expires + 1, timerValues.getCurrentWatermarkInMs() + 1))
         yield from ()
