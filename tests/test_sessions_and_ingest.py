@@ -80,7 +80,7 @@ def test_logs_are_files_of_one_folder_in_order(spark, tmp_path):
 def test_newest_log_makes_no_folder_a_session(spark, tmp_path):
     shared = Path(queries.shared(spark).removeprefix("file:"))
     before = set(shared.glob("logs-*"))
-    rows = [(c, t, "user", f"text {c} {t}") for c in range(60) for t in range(3)]
+    rows = [(c, t, "user" if t else "system", f"text {c} {t}") for c in range(60) for t in range(3)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = queries.source_newest_log(spark, str(tmp_path)).collect()
     assert sorted(r["text"] for r in got) == ["text 59 0", "text 59 1", "text 59 2"]
