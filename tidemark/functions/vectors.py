@@ -54,10 +54,15 @@ def int8_scale(a: Column) -> Column:
     return F.lit(127.0) / F.when(most < 1e-8, F.lit(1.0)).otherwise(most)
 
 
+def with_value(value: Column, of) -> Column:
+    """``of`` a value computed once; within a lambda over a vector's elements it would be computed for each of them."""
+    return F.transform(F.array(value), of)[0]
+
+
 def quantize(a: Column) -> Column:
     """Whole numbers from -127 to 127: the vector scaled by ``int8_scale``, halves to even."""
-    scale = int8_scale(a)
-    return F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x.cast("double") * scale).cast("int"))))
+    scaled = lambda scale: F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x.cast("double") * scale).cast("int"))))
+    return with_value(int8_scale(a), scaled)
 
 
 def dequantize(q: Column, scale: Column) -> Column:

@@ -1,8 +1,9 @@
 """A stored vector index in cells, kept up to date by deltas, scanned in 8 bits and ranked exactly.
 
-Vectors lie in the cell of the nearest centre by cosine, a folder each. A delta puts its vectors into their
-cells and takes those of changed and deleted nodes out; only the cells that this concerns are written anew, all
-others stay as they are. Cells of over ``most`` vectors are split, all in one pass, by k-means on their own rows; the cells that it was
+Vectors lie in the cell of the nearest centre by cosine, many cells to a pack (a folder). A delta puts its vectors into their
+cells and takes those of changed and deleted nodes out; only the cells that this concerns are written anew, to packs of their own, all
+others stay as they are. What a pack holds of cells written since is passed over, by the number of the write (``made``) that rows and cells have;
+a pack with no live row is deleted, and the cells of one with less than half of its rows live are written anew. Cells of over ``most`` vectors are split, all in one pass, by k-means on their own rows; the cells that it was
 split into are remembered, so a node's place (its cell, kept in BUCKETS by a hash of its id) need not be
 rewritten. A JSON state names what counts and moves on when all is whole.
 
@@ -10,7 +11,8 @@ A search reads 8-bit vectors of the probed cells: with the vector's distance fro
 query is known within that distance times the query's length. Vectors that cannot be among the k best by these bounds
 are left out; the full vectors of the rest are ranked exactly, in the same tile (``tiles``), so that candidates never
 are a table of their own. So the result is that of comparing all full vectors of the
-probed cells, and with all cells probed, of all vectors.
+probed cells, and with all cells probed, of all vectors. Where a search looks into a large part of all cells, a query has a bit for each
+cell and meets all rows in tiles; else it is sent to each of its cells.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import vectors as V
 from tidemark.operators import lexical, tiles
@@ -32,7 +33,12 @@ from tidemark.operators.tables import Pointer, remove
 BUCKETS = 64
 #: Rows that centres are fitted on.
 SAMPLE = 20_000
+#: Rows of a pack, about.
+PACK = 50_000
+#: A query that looks into more than this part of the cells meets all rows.
+PART = 8
 ROWS = "node_id string, chunk_id string, project_id string, embedding array<float>, q8 array<tinyint>, step double, length double, apart double, cell int"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
 #: More than the rounding errors of products in doubles.
 SLACK = 1e-9
 
@@ -41,8 +47,8 @@ def eighth(embedding: Column) -> dict[str, Column]:
     """q8 and step (the 8-bit form: q8 * step), length, and apart (the distance from that form)."""
     step = 1.0 / V.int8_scale(embedding)
     q = V.quantize(embedding)
-    off = F.zip_with(embedding, q, lambda x, y: x.cast("double") - y * step)
-    return {"q8": q.cast("array<tinyint>"), "step": step, "length": V.norm(embedding), "apart": F.sqrt(V.dot(off, off))}
+    off = V.with_value(step, lambda s: F.zip_with(embedding, q, lambda x, y: x.cast("double") - y * s))
+    return {"q8": q.cast("array<tinyint>"), "step": step, "length": V.norm(embedding), "apart": F.sqrt(V.with_value(off, lambda o: V.dot(o, o)))}
 
 
 def bounded_topk(pairs: DataFrame, k: int) -> DataFrame:
@@ -59,6 +65,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the centre with the largest product with each row, in blocks of bounded size."""
+    step = max(1, (1 << 22) // max(1, len(centres)))
+    return np.concatenate([np.empty(0, np.int64), *[(x[a : a + step] @ centres.T).argmax(axis=1) for a in range(0, len(x), step)]])
+
+
+def _probed(numbers: list[int], centres: list[list[float]], wanted: int):
+    """Batches of queries with ``among``: a bit for each cell number, those of the ``wanted`` nearest centres set."""
+    x, places = np.array(centres, dtype=np.float64), np.array(numbers)
+
+    def run(batches):
+        for batch in batches:
+            queries = pa.Table.from_batches([batch])
+            out = np.zeros((batch.num_rows, places[-1] + 1), bool)
+            out[:, places] = tiles.largest(x, tiles.vectors_of(queries["q"], x.shape[1]), wanted)
+            bits = pa.array([row.tobytes() for row in np.packbits(out, axis=1)], pa.binary())
+            yield from queries.append_column("among", bits).to_batches()
+
+    return run
+
+
 def _centres_of(wanted: dict[int, int], seed: int):
     """The centres of a cell's rows by k-means on the sphere, as many as ``wanted`` has for it; those without a row are left out."""
 
@@ -68,9 +95,9 @@ def _centres_of(wanted: dict[int, int], seed: int):
         k, rng = min(wanted[cell], len(x)), np.random.default_rng(seed)
         centres = x[rng.choice(len(x), k, replace=False)]
         for _ in range(10):
-            at = (x @ centres.T).argmax(axis=1)
-            held = np.unique(at)
-            centres = _unit(np.stack([x[at == c].sum(axis=0) for c in held]))
+            at = _closest(x, centres)
+            order = np.argsort(at, kind="stable")
+            centres = _unit(np.add.reduceat(x[order], np.flatnonzero(np.diff(at[order], prepend=-1))))
         return pa.table({"cell": pa.array([cell] * len(centres), pa.int32()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
     return run
@@ -85,21 +112,23 @@ class VectorCells:
 
     @property
     def state(self) -> dict:
-        """cells (number -> folder, n, centre), split (number -> the numbers it was split into), next number, places (bucket -> folder)."""
-        return self.pointer.read({"cells": {}, "split": {}, "next": 0, "places": {}})
+        """cells (number -> folder of its pack, made, n, centre), packs (folder -> rows), made (writes), split (number -> the numbers it was split into), next number, places (bucket -> folder)."""
+        return self.pointer.read({"cells": {}, "packs": {}, "made": 0, "split": {}, "next": 0, "places": {}})
 
     def _read(self, folders, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def rows(self, cells: dict, numbers=None) -> DataFrame:
         """The rows of all cells, or of some."""
-        wanted = [x["folder"] for c, x in cells.items() if numbers is None or int(c) in numbers]
-        return self._read(wanted, ROWS)
+        live = [(int(c), x["made"]) for c, x in cells.items() if x["folder"] and (numbers is None or int(c) in numbers)]
+        folders = sorted({x["folder"] for c, x in cells.items() if x["folder"] and (numbers is None or int(c) in numbers)})
+        rows = self._read(folders, f"{ROWS}, made int")
+        return (rows.join(F.broadcast(self.spark.createDataFrame(live, "cell int, made int")), ["cell", "made"], "left_semi") if live else rows).select(*NAMES)
 
     def _centres(self, rows: DataFrame, k: int) -> list[list[float]]:
-        fit = rows.orderBy(F.xxhash64("node_id", "chunk_id")).limit(SAMPLE).withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>")))
-        model = KMeans(k=k, featuresCol="_v", distanceMeasure="cosine", seed=self.seed, maxIter=10).fit(fit)
-        return [list(map(float, c)) for c in model.clusterCenters()]
+        fit = rows.orderBy(F.xxhash64("node_id", "chunk_id")).limit(SAMPLE).select(F.lit(0).alias("cell"), "embedding", F.xxhash64("node_id", "chunk_id").alias("place"))
+        made = fit.groupBy("cell").applyInArrow(_centres_of({0: k}, self.seed), "cell int, centre array<double>").collect()
+        return [list(r["centre"]) for r in made]
 
     @staticmethod
     def _nearest(centres: dict[int, list[float]]):
@@ -110,18 +139,22 @@ class VectorCells:
 
         @F.pandas_udf("int")
         def nearest(vectors: pd.Series) -> pd.Series:
-            return pd.Series(numbers[(np.stack(vectors.to_numpy()).astype(np.float64) @ matrix.T).argmax(axis=1)] if len(vectors) else [], dtype="int32")
+            return pd.Series(numbers[_closest(np.stack(vectors.to_numpy()).astype(np.float64), matrix)] if len(vectors) else [], dtype="int32")
 
         return nearest
 
-    def _write(self, rows: DataFrame, name: str) -> dict[int, dict]:
-        """Rows by their cell; the cells' folders and sizes."""
-        path = f"{self.root}/rows/{name}"
-        names = [x.split()[0] for x in ROWS.split(", ")]
+    def _write(self, rows: DataFrame, n: int, state: dict) -> dict[int, dict]:
+        """About ``n`` rows by their cell into packs, which ``state`` is told of; the cells' folders, numbers of the write and sizes."""
+        path, packs = f"{self.root}/rows/{uuid.uuid4().hex}", max(1, -(-n // PACK))
+        state["made"] += 1
         piece = F.pmod(F.xxhash64("node_id"), F.lit(8))
-        rows.select(*names, F.col("cell").alias("at")).repartition("cell", piece).write.partitionBy("at").parquet(path)
+        dealt = rows.select(*NAMES, F.lit(state["made"]).alias("made"), F.pmod("cell", F.lit(packs)).alias("at")).repartition("at", piece)
+        dealt.sortWithinPartitions("at", "cell").write.partitionBy("at").parquet(path)
         sizes = self.spark.read.parquet(path).groupBy("cell").count().collect() if self._any(path) else []
-        return {r["cell"]: {"folder": f"{path}/at={r['cell']}", "n": r["count"]} for r in sizes}
+        written = {r["cell"]: {"folder": f"{path}/at={r['cell'] % packs}", "made": state["made"], "n": r["count"]} for r in sizes}
+        for x in written.values():
+            state["packs"][x["folder"]] = state["packs"].get(x["folder"], 0) + x["n"]
+        return written
 
     def _any(self, path: str) -> bool:
         return any(s.isDirectory() for s in self.pointer.system.listStatus(self.pointer.jvm.org.apache.hadoop.fs.Path(path)))
@@ -135,12 +168,16 @@ class VectorCells:
         if not cells and (n := new.count()):
             k = max(1, -(-2 * n // self.most))
             fitted = self._centres(new, k) if k > 1 else [[1.0] * new.select(F.size("embedding")).first()[0]]
-            cells = {state["next"] + i: {"folder": None, "n": 0, "centre": c} for i, c in enumerate(fitted)}
+            cells = {state["next"] + i: {"folder": None, "made": 0, "n": 0, "centre": c} for i, c in enumerate(fitted)}
             state["next"] += len(cells)
         if not cells:
             return state
         placed = new.withColumns(eighth(F.col("embedding"))).withColumn("cell", self._nearest({c: x["centre"] for c, x in cells.items()})(F.col("embedding")))
-        gone = new.select("node_id") if deleted is None else new.select("node_id").union(deleted.select("node_id"))
+        # placed once, as this is the costly part
+        incoming = f"{self.root}/incoming/{name}"
+        placed.write.parquet(incoming)
+        placed = self.spark.read.schema(placed.schema).parquet(incoming)
+        gone = placed.select("node_id") if deleted is None else placed.select("node_id").union(deleted.select("node_id"))
         gone = gone.distinct()
         bucket = F.pmod(F.xxhash64("node_id"), F.lit(BUCKETS)).cast("string")
         touched_buckets = [r[0] for r in gone.select(bucket).distinct().collect()]  # at most BUCKETS
@@ -149,10 +186,9 @@ class VectorCells:
         lost = self.rows({c: x for c, x in cells.items() if x["folder"]}, self._leaves(was, state["split"])).join(gone, "node_id", "left_semi")
         touched = {r[0] for r in lost.select("cell").distinct().collect()} | {r[0] for r in placed.select("cell").distinct().collect()}
         kept = self.rows({c: x for c, x in cells.items() if x["folder"]}, touched).join(gone, "node_id", "left_anti")
-        written = self._write(kept.unionByName(placed), name)
-        old = [cells[c]["folder"] for c in touched if cells[c]["folder"]]
+        written = self._write(kept.unionByName(placed), placed.count() + sum(cells[c]["n"] for c in touched), state)
         for c in touched:
-            cells[c] = {**cells[c], **written.get(c, {"folder": None, "n": 0})}
+            cells[c] = {**cells[c], **written.get(c, {"folder": None, "made": 0, "n": 0})}
         placing = places.join(gone, "node_id", "left_anti").unionByName(placed.select("node_id", "cell").distinct())
         path = f"{self.root}/places/{name}"
         placing.withColumn("at", bucket).repartition("at").write.partitionBy("at").parquet(path)
@@ -163,10 +199,11 @@ class VectorCells:
             if f"at={b}" in there:
                 state["places"][b] = f"{path}/at={b}"
         if over := sorted(c for c in touched if cells[c]["n"] > self.most):
-            old += self._split(over, cells, state)
+            self._split(over, cells, state)
+        dropped = self._packed(cells, state)
         state["cells"] = {str(c): x for c, x in cells.items() if x["folder"]} or {str(c): x for c, x in cells.items()}
         state = self.pointer.move(state)
-        for folder in [*old, *stale]:
+        for folder in [*dropped, *stale, incoming]:
             remove(self.spark, folder)
         return state
 
@@ -181,8 +218,22 @@ class VectorCells:
                 out.add(c)
         return out
 
-    def _split(self, over: list[int], cells: dict, state: dict) -> list[str]:
-        """Cut cells into ones of about half of ``most``, all at once; returns their folders."""
+    def _packed(self, cells: dict, state: dict) -> list[str]:
+        """Write the cells of packs that are less than half live anew; the packs without a live row, which ``state`` then has no more."""
+        live = {}
+        for x in cells.values():
+            live[x["folder"]] = live.get(x["folder"], 0) + x["n"]
+        if weak := {c for c, x in cells.items() if x["folder"] and 2 * live[x["folder"]] < state["packs"][x["folder"]]}:
+            for c, x in self._write(self.rows(cells, weak), sum(cells[c]["n"] for c in weak), state).items():
+                cells[c] = {**cells[c], **x}
+        held = {x["folder"] for x in cells.values()}
+        dropped = [folder for folder in state["packs"] if folder not in held]
+        for folder in dropped:
+            del state["packs"][folder]
+        return dropped
+
+    def _split(self, over: list[int], cells: dict, state: dict) -> None:
+        """Cut cells into ones of about half of ``most``, all at once."""
         rows = self.rows(cells, set(over))
         wanted = {c: max(2, -(-2 * cells[c]["n"] // self.most)) for c in over}
         place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node_id", "chunk_id")))
@@ -191,12 +242,12 @@ class VectorCells:
         made = fit.groupBy("cell").applyInArrow(_centres_of(wanted, self.seed), "cell int, centre array<double>").collect()
         centres = {state["next"] + i: (r["cell"], list(r["centre"])) for i, r in enumerate(sorted(made))}
         state["next"] += len(centres)
-        written = self._write(rows.withColumn("cell", self._nearest_within(centres)(F.col("cell"), F.col("embedding"))), uuid.uuid4().hex)
+        written = self._write(rows.withColumn("cell", self._nearest_within(centres)(F.col("cell"), F.col("embedding"))), sum(cells[c]["n"] for c in over), state)
         for cell in over:
             state["split"][str(cell)] = [c for c in written if centres[c][0] == cell]
-        folders = [cells.pop(cell)["folder"] for cell in over]
+        for cell in over:
+            del cells[cell]
         cells |= {c: {**x, "centre": centres[c][1]} for c, x in written.items()}
-        return folders
 
     @staticmethod
     def _nearest_within(centres: dict[int, tuple[int, list[float]]]):
@@ -213,7 +264,7 @@ class VectorCells:
             for c in np.unique(numbers):
                 at = np.flatnonzero(numbers == c)
                 found, matrix = within[int(c)]
-                out[at] = found[(np.stack(vectors.to_numpy()[at]).astype(np.float64) @ matrix.T).argmax(axis=1)]
+                out[at] = found[_closest(np.stack(vectors.to_numpy()[at]).astype(np.float64), matrix)]
             return pd.Series(out)
 
         return nearest
@@ -224,13 +275,26 @@ class VectorCells:
         rows = self.rows({c: x for c, x in cells.items() if x["folder"]})
         rows = rows if scope is None else rows.filter(F.col("project_id") == scope)
         asked, wanted = queries.select("query_id", "q"), probes or self.probes
-        if wanted < len(cells):
-            # the centres are a row for each cell; those closest to each query come by tiles as well
-            centres = self.spark.createDataFrame([(f"{c:012d}", x["centre"]) for c, x in cells.items()], "node_id string, embedding array<double>").withColumn("chunk_id", F.lit(""))
-            near = lexical.top(tiles.vector_top(centres, asked, wanted), wanted, F.desc("score"), F.asc("node_id"))
-            asked = near.select("query_id", F.col("node_id").cast("int").alias("cell")).join(asked, "query_id")
-            found = tiles.vector_top(rows, asked, k, "cell")
-        else:
+        if wanted >= len(cells):
             found = tiles.vector_top(rows, asked, k)
+        elif wanted * PART > len(cells):
+            numbers = sorted(cells)
+            dim = len(cells[numbers[0]]["centre"])
+            fine = asked.filter(tiles.regular(F.col("q"), dim)).withColumn("q", F.col("q").cast("array<double>"))
+            schema = T.StructType([*fine.schema.fields, T.StructField("among", T.BinaryType())])
+            fine = fine.mapInArrow(_probed(numbers, [cells[c]["centre"] for c in numbers], wanted), schema)
+            found, odd = tiles.vector_top(rows, fine, k), asked.filter(~tiles.regular(F.col("q"), dim))
+            if odd.limit(1).count():
+                found = found.unionByName(self._by_cell(rows, odd, k, wanted, cells))
+        else:
+            found = self._by_cell(rows, asked, k, wanted, cells)
         best = lexical.top(found, k, F.desc("score"), F.asc("node_id"), F.asc("chunk_id"))
         return best.select("query_id", "node_id", "chunk_id", "project_id", "cell", "score", "rank")
+
+    def _by_cell(self, rows: DataFrame, asked: DataFrame, k: int, wanted: int, cells: dict) -> DataFrame:
+        """Candidates from the ``wanted`` nearest cells of each query, which is sent to each of them."""
+        # the centres are a row for each cell; those closest to each query come by tiles as well
+        centres = self.spark.createDataFrame([(f"{c:012d}", x["centre"]) for c, x in cells.items()], "node_id string, embedding array<double>").withColumn("chunk_id", F.lit(""))
+        near = lexical.top(tiles.vector_top(centres, asked, wanted), wanted, F.desc("score"), F.asc("node_id"))
+        asked = near.select("query_id", F.col("node_id").cast("int").alias("cell")).join(asked, "query_id")
+        return tiles.vector_top(rows, asked, k, "cell")
